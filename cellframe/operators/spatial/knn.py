@@ -26,7 +26,7 @@ from cellframe.session import cut
 
 # Points per bucket aimed at, as a multiple of k; and the size from which a bucket counts as crowded.
 BUCKET_FILL = 0.9
-CROWDED = 2048
+CROWDED = 512
 # Levels of halving below the base grid that crowded buckets are split into.
 FINE_LEVELS = 16
 SAFE = 1.0 - 1e-9
@@ -92,14 +92,12 @@ def _dist2() -> Column:
     return dx * dx + dy * dy
 
 
-def _nearest(pairs: DataFrame, keys: Sequence[str], k: int, extra: Sequence[str] = ()) -> DataFrame:
+def _nearest(pairs: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
     """The k + 1 nearest candidates per spot as a sorted array of ``(d2, id, label)``."""
     w = Window.partitionBy(*keys).orderBy("d2", "c_id")
     top = pairs.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= k + 1)
     entry = F.struct("d2", F.col("c_id").alias("id"), F.col("c_label").alias("label"))
-    return top.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(entry)).alias("nb"), *[F.first(c).alias(c) for c in extra]
-    )
+    return top.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("nb"))
 
 
 def _block_reach(side: str, low: str, high: str, index: str) -> Column:
@@ -121,17 +119,26 @@ def _first_pass(spots: DataFrame, reachable: DataFrame, crowded: DataFrame, k: i
         .withColumn("limit2", reach * reach * F.lit(SAFE))
         .select("basename", "bx", "by", "x", "y", "limit2")
     )
-    candidates = _around(reachable.select("basename", "bx", "by", *_candidate_cols()), 1)
-    pairs = (
-        sources.join(candidates, ["basename", "bx", "by"])
-        .withColumn("d2", _dist2())
-        .filter(F.col("d2") < F.col("limit2"))
+    # every block holds at most nine buckets that are not crowded, so the arrays are bounded
+    calm = reachable.join(crowded.select("basename", "bx", "by"), ["basename", "bx", "by"], "left_anti")
+    blocks = (
+        _around(calm.select("basename", "bx", "by", *_candidate_cols()), 1)
+        .groupBy("basename", "bx", "by")
+        .agg(F.collect_list(F.struct("c_id", "c_x", "c_y", "c_label")).alias("block"))
     )
-    # clustering by the bucket covers clustering by the spot: no shuffle of the pairs
-    found = _nearest(pairs, ["basename", "bx", "by", "x", "y"], k, ["limit2"])
-    return found.select(
-        "basename", "x", "y", "nb",
-        ((F.size("nb") >= k + 1) | (F.col("limit2") == F.lit(float("inf")))).alias("complete"),
+
+    def entry(c: Column) -> Column:
+        dx, dy = F.col("x") - c["c_x"], F.col("y") - c["c_y"]
+        return F.struct((dx * dx + dy * dy).alias("d2"), c["c_id"].alias("id"), c["c_label"].alias("label"))
+
+    inside = F.filter(F.transform("block", entry), lambda e: e["d2"] < F.col("limit2"))
+    return (
+        sources.join(blocks, ["basename", "bx", "by"])
+        .select("basename", "x", "y", "limit2", F.slice(F.sort_array(inside), 1, k + 1).alias("nb"))
+        .select(
+            "basename", "x", "y", "nb",
+            ((F.size("nb") >= k + 1) | (F.col("limit2") == F.lit(float("inf")))).alias("complete"),
+        )
     )
 
 
