@@ -136,12 +136,16 @@ def threshold_artifact(
 ) -> DataFrame:
     """The one-row threshold artifact: four maps, provenance and schema version.
 
-    Both inputs have ``name, threshold, ap``; one row per configured name.
+    Both inputs have ``name, threshold, ap``, one row per configured name; marker cuts are
+    keyed by ``channel``, as the loader of the artifact expects.
     """
     def maps(df: DataFrame, prefix: str) -> DataFrame:
         ap = F.coalesce("ap", F.raise_error(F.lit("cannot assign confidence from a non-finite AP")).cast("double"))
+        key = F.col("channel").cast("string") if "channel" in df.columns else F.col("name")
         return df.agg(
-            F.map_from_entries(F.sort_array(F.collect_list(F.struct("name", "threshold")))).alias(f"{prefix}_thresholds"),
+            F.map_from_entries(
+                F.sort_array(F.collect_list(F.struct(key.alias("k"), F.col("threshold"))))
+            ).alias(f"{prefix}_thresholds"),
             F.map_from_entries(
                 F.sort_array(F.collect_list(F.struct("name", stratum_of_ap(ap).alias("c"))))
             ).alias(f"{prefix}_confidence"),
@@ -203,13 +207,16 @@ def calibration_run(
 
     def marker_long(df: DataFrame) -> DataFrame:
         return stack_columns(df, [], [
-            {"name": F.lit(n), "y": truthy(F.col(ch(c, "pos"))), "score": F.col(ch(c, "prob_logreg"))}
+            {
+                "channel": F.lit(c), "name": F.lit(n), "y": truthy(F.col(ch(c, "pos"))),
+                "score": F.col(ch(c, "prob_logreg")),
+            }
             for n, c in panel.pairs
         ])
 
     phenotype_report = score_report(phenotype_long(tables["eval"]), ["name"])
     marker_report = calibration_rows(tables["train"], tables["eval"], panel, model)
-    marker_cuts = fit_operating_threshold(marker_long(tables["train"]), ["name"], "y", "score")
+    marker_cuts = fit_operating_threshold(marker_long(tables["train"]), ["channel", "name"], "y", "score")
     phenotype_cuts = fit_operating_threshold(phenotype_long(tables["train"]), ["name"], "y", "score")
     artifact = threshold_artifact(
         marker_cuts.join(marker_report.select("name", F.col("ap_logreg").alias("ap")), "name"),

@@ -239,7 +239,7 @@ def tile_pyramid(
     level halves the one above, tiles overlap by ``overlap`` pixels.
     """
     extent = F.greatest("height", "width")
-    top = F.floor(F.log2(extent.cast("double"))).cast("int")
+    top = F.length(F.bin(extent.cast("long"))) - 1
     down = F.explode(F.sequence(F.lit(0), top)).alias("__s")
     levels = points.select("basename", key, "x", "y", "height", "width", top.alias("__top"), down)
 
