@@ -53,9 +53,9 @@ def _base(text: str) -> list[str]:
 
 
 def _prob(c: int, signal: float, noise: float) -> str:
-    """A probability on a grid of a thousandth, in plain arithmetic that both engines share."""
+    """A probability on a fixed grid, in plain arithmetic that both engines share."""
     mix = f"{cc(c)}_true/20*cast({signal} as double) + {cc(c)}_noise*cast({noise} as double)"
-    return f"(floor(least(1.0e0, greatest(0.0e0, {mix}))*1000.0e0 + 0.5e0)/1000.0e0)"
+    return f"(floor(least(1.0e0, greatest(0.0e0, {mix}))*1009.0e0 + 0.5e0)/1009.0e0)"
 
 
 def _second() -> list[str]:
@@ -126,8 +126,8 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @planned
 def model2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Predictions of a second model: nine channels, four fifths of the cells."""
-    c = cells(spark, sf_dir).filter("cell_id % 5 <> 0")
+    """Predictions of a second model: nine channels, only where the nuclear stain is visible."""
+    c = cells(spark, sf_dir).filter(MODEL2_COVER)
     return c.selectExpr(*_model2())
 
 
@@ -146,6 +146,7 @@ def _manifest(text: str) -> list[str]:
 
 
 MODEL2 = "m2"
+MODEL2_COVER = "ch00_true >= 2.0"
 MODEL2_CHANNELS = P.channels[:9]
 
 
@@ -156,6 +157,47 @@ def _model2() -> list[str]:
     ]
 
 
+@planned
+def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A closed diamond around every cell with a visible nucleus."""
+    c = cells(spark, sf_dir).filter(f"not ({TINY})")
+    return c.selectExpr(
+        "basename", "cell_id", "cast(centroid_y as double) as centroid_y", "cast(centroid_x as double) as centroid_x",
+        f"cell_id % 5 + 2 as r",
+    ).selectExpr(
+        "basename", "cell_id", "centroid_y", "centroid_x",
+        "array(array(centroid_x-r/2,centroid_y),array(centroid_x,centroid_y-r/2),array(centroid_x+r/2,centroid_y),"
+        "array(centroid_x,centroid_y+r/2),array(centroid_x-r/2,centroid_y)) as nucleus_xy",
+        "array(array(centroid_x-r,centroid_y),array(centroid_x,centroid_y-r),array(centroid_x+r,centroid_y),"
+        "array(centroid_x,centroid_y+r),array(centroid_x-r,centroid_y)) as expanded_xy",
+        "r*r/2.0e0 as area_nucleus_px", "2.0e0*r*r as area_expanded_px",
+        "4 as n_verts_nucleus", "4 as n_verts_expanded", "'' as flags",
+    )
+
+
+@planned
+def skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cells(spark, sf_dir).filter(TINY).selectExpr(
+        "basename", "cell_id", "'tiny' as reason", "3.0e0 as area_nucleus_px", "9.0e0 as area_expanded_px"
+    )
+
+
+@planned
+def consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consensus columns on their own, as a labelling run leaves them."""
+    from cellframe.operators.labels import consensus_labels
+
+    out = consensus_labels(cells(spark, sf_dir), TAUS, 2, P)
+    names = [f"{cc(c)}_pos_{x}" for c in P.channels for x in ("consensus", "disagree", "gmm_orig")]
+    return out.select("basename", "cell_id", *names)
+
+
+TINY = "ch00_noise < 0.02"
+TAUS = {
+    c: {"gmm": round(9.0 + 0.05 * i, 2), "otsu": 8.4, "quantile": 10.0, "gmm_existing": 8.8}
+    for i, c in enumerate(P.channels)
+}
+
 # ---------------------------------------------------------------- SQL side
 
 CELLS = (
@@ -167,7 +209,7 @@ MANIFEST = (
     "mk as (select distinct basename, core_no as k from cells), "
     "cores as (select " + ", ".join(_manifest("varchar")) + " from mk)"
 )
-MODEL2_SQL = "preds2 as (select " + ", ".join(_model2()) + " from cells where cell_id % 5 <> 0)"
+MODEL2_SQL = "preds2 as (select " + ", ".join(_model2()) + f" from cells where {MODEL2_COVER})"
 
 # Phenotype rules as SQL over the columns {name}_p of the markers.
 _AND = "({a}*{b})"
@@ -269,3 +311,41 @@ def tidy(df: DataFrame) -> DataFrame:
             c = F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
         out.append(c.alias(name))
     return df.select(*out)
+
+
+def votes_sql(c: int) -> dict[str, str]:
+    t = TAUS[c]
+    return {m: f"({cc(c)}_true > {t[m]})" for m in ("gmm", "otsu", "quantile")}
+
+
+def total_sql(c: int) -> str:
+    return "(" + "+".join(f"cast({v} as int)" for v in votes_sql(c).values()) + ")"
+
+
+POLYGONS = (
+    f"polys as (select basename, cell_id, cast(centroid_y as double) as centroid_y, "
+    f"cast(centroid_x as double) as centroid_x, cell_id % 5 + 2 as r, "
+    f"(cell_id % 5 + 2)*(cell_id % 5 + 2)/2.0 as area_nucleus_px, 2.0*(cell_id % 5 + 2)*(cell_id % 5 + 2) as area_expanded_px "
+    f"from cells where not ({TINY})), "
+    f"skips as (select basename, cell_id from cells where {TINY})"
+)
+
+
+def edges_sql(radius: float | None = None, k: int = 16, table: str = "typed") -> str:
+    """CTE ``edges`` (with ``rank`` for the nearest-neighbour graph)."""
+    pairs = (
+        f"select a.basename, a.cell_id as src_cell_id, b.cell_id as dst_cell_id, "
+        f"a.dominant_phenotype as src_phenotype, b.dominant_phenotype as dst_phenotype, "
+        f"(a.centroid_x-b.centroid_x)*(a.centroid_x-b.centroid_x)+(a.centroid_y-b.centroid_y)*(a.centroid_y-b.centroid_y) as d2 "
+        f"from {table} a join {table} b on a.basename=b.basename and a.cell_id<>b.cell_id"
+    )
+    if radius is not None:
+        return (
+            f"pairs as ({pairs}), edges as (select *, sqrt(cast(d2 as double)) as distance_px from pairs "
+            f"where d2 <= {radius * radius})"
+        )
+    return (
+        f"pairs as ({pairs}), ranked as (select *, row_number() over (partition by basename, src_cell_id "
+        f"order by d2, dst_cell_id) as rank from pairs), "
+        f"edges as (select *, sqrt(cast(d2 as double)) as distance_px from ranked where rank <= {k})"
+    )

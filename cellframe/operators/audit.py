@@ -13,6 +13,7 @@ from cellframe.operators.cluster import cluster_zscore
 from cellframe.operators.labels import otsu_cuts
 from cellframe.operators.normalize import checked_intensity
 from cellframe.panel import DEFAULT_PANEL, MarkerPanel, ch
+from cellframe.session import cut
 
 # Share of positives from which an alternative contradicts a zero consensus.
 SUSPICIOUS_FRACTION = 0.05
@@ -100,7 +101,8 @@ def derive_audit(counts: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 def audit_summary(audit: DataFrame) -> DataFrame:
     """Mean, population deviation and median over cores of the four measures, per marker."""
     rows = [{"measure": F.lit(m), "value": nan_to_null(F.col(m))} for m in MEASURES]
-    long = stack_columns(audit, ["marker"], rows)
+    # the moments and the median are separate branches over the whole audit
+    long = cut(stack_columns(audit, ["marker"], rows))
     key = ["marker", "measure"]
     stats = long.groupBy(*key).agg(
         F.count("value").alias("n_cores"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std")

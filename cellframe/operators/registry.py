@@ -16,7 +16,7 @@ STATUSES = USABLE + REJECTED
 
 def manifest_status(manifest: DataFrame) -> DataFrame:
     """Cores per slide and status, zeros included."""
-    counts = manifest.groupBy("tma").pivot("status", list(STATUSES)).agg(F.count("*"))
+    counts = manifest.groupBy("tma").pivot("status", list(STATUSES)).agg(F.count(F.lit(1)))
     return counts.na.fill(0)
 
 
@@ -44,7 +44,7 @@ def repair_manifest(manifest: DataFrame, meta: DataFrame, cutoff: float) -> Data
     above = decidable & (F.col("__r") > cutoff)
     revive = decidable & (F.col("__r") <= cutoff) & ~F.col("status").isin(*USABLE)
     note = F.concat(
-        F.lit("rigid_D="), F.format_string("%.1f", F.col("__r")), F.lit(f"px > {cutoff}")
+        F.lit("rigid_D="), F.format_string("%.1f", F.bround("__r", 1)), F.lit(f"px > {cutoff}")
     )
     error = F.col("error") if "error" in manifest.columns else F.lit(None).cast("string")
     return joined.withColumns({
