@@ -13,6 +13,7 @@ from cellframe.operators import quality as Q
 from cellframe.operators import regions as RE
 from cellframe.operators import rules as R
 from cellframe.operators.spatial import polygons as PG
+from cellframe.session import scratch_folder
 from cellframe.sources import sinks, tables
 
 # ---- pixels: an 8 x 8 block round every cell, in the label image of its core
@@ -251,11 +252,73 @@ add("q7_hygiene_scan_pages",
 # ---- sinks that write and read back
 
 
-def _scratch(d):
-    import os
-    import tempfile
+def bundle(spark, d):
+    from catalog.stat_queries import summary
 
-    return tempfile.mkdtemp(prefix="cellframe-sink-")
+    return tables.Bundle(
+        cells=D.scored(spark, d).drop("core_no", *[f"{cc(c)}_noise" for c in P.channels]), cores=summary(spark, d),
+        cell_polygons=D.polygons(spark, d), polygons_skipped=D.skips(spark, d))
+
+
+def k1(spark, d):
+    """Write the bundle, load and validate it again, and summarise what came back."""
+    path = scratch_folder(spark, "bundle")
+    sinks.write_bundle(bundle(spark, d), path, THR)
+    back = tables.load_bundle(spark, path)
+    return back.cells.groupBy("basename").agg(
+        F.count("*").alias("n"), F.sum("ch27_true").alias("total"), F.count_if("ch27_pos").alias("n_pos"))
+
+
+_k1 = f"with {CELLS} select basename, count(*) as n, {r6('sum(ch27_true)', 'total')}, cast(sum(cast(ch27_pos as int)) as bigint) as n_pos from cells group by 1"
+add("k1_write_bundle", k1, _k1)
+
+
+def s3(spark, d):
+    path = scratch_folder(spark, "bundle")
+    sinks.write_bundle(bundle(spark, d), path, THR)
+    back = tables.load_bundle(spark, path)
+    return back.cell_polygons.join(back.cores, "basename").groupBy("basename", "n_cells").agg(F.count("*").alias("n_polygons"))
+
+
+add("s3_load_bundle", s3,
+    f"with {CELLS}, {D.POLYGONS} select basename, (select count(*) from cells c where c.basename=p.basename) as n_cells, count(*) as n_polygons from polys p group by 1")
+
+
+def k2(spark, d):
+    """Rewriting twice gives the same rows, with columns in name order."""
+    path = scratch_folder(spark, "rewrite")
+    for _ in range(2):
+        sinks.rewrite_cells(D.cells(spark, d).select("basename", "cell_id", "ch27_true", "ch27_pos"), path)
+    back = tables.read_cells(spark, f"{path}/cells.parquet")
+    return back.groupBy("basename").agg(F.count("*").alias("n"), F.sum("ch27_true").alias("total"), F.count_if("ch27_pos").alias("n_pos"))
+
+
+add("k2_rewrite_cells", k2, _k1)
+
+
+def k3(spark, d):
+    path = scratch_folder(spark, "polygons")
+    sinks.write_polygons(D.polygons(spark, d), D.skips(spark, d), path)
+    polys = spark.read.parquet(f"{path}/cell_polygons.parquet")
+    skipped = spark.read.option("header", True).schema(tables.SKIP_SCHEMA).csv(f"{path}/polygons_skipped.csv")
+    return polys.select("basename", "cell_id", F.lit("polygon").alias("kind"), "area_nucleus_px").unionByName(
+        skipped.select("basename", "cell_id", F.col("reason").alias("kind"), "area_nucleus_px"))
+
+
+add("k3_write_polygons", k3,
+    f"with {CELLS}, {D.POLYGONS} select basename, cell_id, 'polygon' as kind, cast(area_nucleus_px as double) as area_nucleus_px from polys "
+    "union all select basename, cell_id, 'tiny', 3.0e0 from skips")
+
+
+def k9(spark, d):
+    path = scratch_folder(spark, "export")
+    b = bundle(spark, d)
+    sinks.export_core(tables.Bundle(cells=b.cells.select("basename", "cell_id", "ch27_true"), cores=b.cores), None, path)
+    back = spark.read.option("header", True).schema("cell_id long, ch27_true double, basename string").csv(f"{path}/cells.csv")
+    return back.groupBy("basename").agg(F.count("*").alias("n"), F.sum("ch27_true").alias("total"))
+
+
+add("k9_export_core", k9, f"with {CELLS} select basename, count(*) as n, {r6('sum(ch27_true)', 'total')} from cells group by 1")
 
 
 def features(spark, d):

@@ -24,7 +24,7 @@ def inside_ring(ring: Column, x: Column, y: Column) -> Column:
     edges = F.arrays_zip(ring.alias("p"), previous.alias("q"))
 
     def crosses(e: Column) -> Column:
-        p, q = e["0"], e["1"]
+        p, q = e["p"], e["q"]
         straddles = (p[1] > y) != (q[1] > y)
         at = (q[0] - p[0]) * (y - p[1]) / (q[1] - p[1] + F.lit(1e-12)) + p[0]
         return straddles & (x < at)
