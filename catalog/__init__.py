@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("rule_queries", "stat_queries", "metric_queries", "spatial_queries", "table_queries")
+MODULES = ("rule_queries", "stat_queries", "metric_queries", "spatial_queries", "table_queries", "artifact_queries")
 
 
 def load():

@@ -196,15 +196,17 @@ add("e12_hierarchy_penalty", e12,
 
 
 def e13(spark, d):
-    df = D.scored(spark, d)
-    mk = M.marker_metrics(df, MODEL, P).select("name", F.col("best_threshold").alias("threshold"), "ap")
-    fk = M.phenotype_metrics(df, MODEL, P).select("name", F.col("best_threshold").alias("threshold"), "ap")
-    art = CB.threshold_artifact(mk, fk, {"source": "derived"})
-    return art.select("schema_version", F.size("marker_thresholds").alias("n_markers"), F.size("phenotype_thresholds").alias("n_phenotypes"),
-                      F.element_at("marker_thresholds", "CD68").alias("cd68"), F.element_at("marker_confidence", "CD68").alias("cd68_confidence"))
+    from catalog.artifact_queries import artifact
+
+    return artifact(spark, d).select(
+        "schema_version", F.size("marker_thresholds").alias("n_markers"), F.size("phenotype_thresholds").alias("n_phenotypes"),
+        F.element_at("marker_thresholds", "27").alias("cd68"), F.element_at("marker_confidence", "CD68").alias("cd68_confidence"))
 
 
-add("e13_threshold_artifact", e13)
+add("e13_threshold_artifact", e13,
+    f"with {CELLS}, {long_sql(src='cells', phenotypes=False)}, {pr_sql(KEY)}, {_best.format(k=_k)}, ap as (select name, {_AP} as ap from pr group by 1) "
+    f"select cast(1 as bigint) as schema_version, cast(12 as bigint) as n_markers, cast(9 as bigint) as n_phenotypes, {r6('score', 'cd68')}, "
+    "case when ap>=0.70 then 'strong' when ap>=0.55 then 'moderate' else 'weak' end as cd68_confidence from br join ap using (name) where r_=1 and name='CD68'")
 add("x3_safe_metric",
     lambda s, d: M.rank_metrics(
         D.cells(s, d).select("basename", (F.col("ch27_pos") & F.col("basename").startswith("ccRCC")).alias("y"), F.col(ch(27, "pred", MODEL)).alias("score")),

@@ -66,7 +66,9 @@ def j3(spark, d):
     return rows
 
 
-add("j3_add_models", j3)
+add("j3_add_models", j3,
+    f"with {CELLS} select cast(0 as bigint) as position, '{MODEL2}' as model, sum(cast({D.MODEL2_COVER} as int))::bigint as covered from cells "
+    "union all select 1, 'v1', count(*) from cells")
 
 
 def summary(spark, d):
@@ -475,8 +477,10 @@ add("d25_reaudit", d25,
     f"with {AUDIT} select basename, marker, cast(n_pos_leiden_zscore as bigint) as n_pos_consensus, cast(n_pos_leiden_zscore as bigint) as n_pos_leiden_zscore, "
     f"{r6('abs(frac_per_core_otsu-frac_leiden)', 'disagreement_score')} from audit")
 add("k6_audit_json",
-    lambda s, d: sinks.audit_json(audit(s, d)).select("basename", F.length("value").alias("n_chars"),
-                                                      F.get_json_object("value", "$.n_cells").cast("long").alias("n_cells")))
+    lambda s, d: sinks.audit_json(audit(s, d)).select(
+        "basename", F.get_json_object("value", "$.n_cells").cast("long").alias("n_cells"),
+        F.get_json_object(F.get_json_object("value", "$.per_marker.CD68"), "$.n_pos_consensus").cast("long").alias("cd68")),
+    f"with {AUDIT} select basename, n_cells, cast(n_pos_consensus as bigint) as cd68 from audit where marker='CD68'")
 add("k7_label_provenance",
     lambda s, d: sinks.label_provenance(c4(s, d), {"zscore_tau": TAU}, P).select(
         F.get_json_object("value", "$.n_cores").cast("long").alias("n_cores"),

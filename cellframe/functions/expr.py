@@ -88,6 +88,21 @@ def require(df: DataFrame, columns: Iterable[str]) -> None:
         raise ValueError(f"missing columns: {missing}")
 
 
+def fail_when(df: DataFrame, broken: DataFrame, message: str) -> DataFrame:
+    """``df``, with a run-time error if the one-row ``broken`` table says so in its column ``broken``.
+
+    The check is a branch of its own (a union that adds no rows), so it also runs
+    where ``df`` turns out to be empty.
+    """
+    verdict = F.when(F.col("broken"), F.raise_error(F.lit(message)).cast("boolean")).otherwise(F.lit(False))
+    rows = broken.filter(verdict).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in df.schema.fields])
+    return df.unionByName(rows)
+
+
+def fail_if_empty(df: DataFrame, message: str) -> DataFrame:
+    return fail_when(df, df.agg((F.count("*") == 0).alias("broken")), message)
+
+
 def stack_columns(
     df: DataFrame, keep: Iterable[str | Column], rows: Iterable[dict[str, Column]]
 ) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.functions.expr import nan_to_null, require, truthy
+from cellframe.functions.expr import fail_if_empty, nan_to_null, require, truthy
 from cellframe.operators.rules import canonical_pred_cols, phenotype_calls, phenotype_scores, resolve_pred_cols
 from cellframe.panel import CELL_KEY, DEFAULT_PANEL, MarkerPanel, Thresholds, ch, ph
 
@@ -99,12 +99,7 @@ def cells_with_polygons(
     joined = joined.withColumn("ring", close_ring(F.col(ring)))
     if basename is None:
         return joined
-    some = joined.agg(F.count("*").alias("__n")).select(
-        F.when(F.col("__n") > 0, F.lit(basename)).otherwise(
-            F.raise_error(F.lit(f"no cells with polygons in core {basename!r}"))
-        ).alias("basename")
-    )
-    return joined.join(F.broadcast(some), "basename", "left_semi")
+    return fail_if_empty(joined, f"no cells with polygons in core {basename!r}")
 
 
 def polygon_coverage(cells: DataFrame, polys: DataFrame, skips: DataFrame) -> DataFrame:
@@ -204,12 +199,7 @@ def cell_detail(
     )
     if basename is None or cell_id is None:
         return out
-    some = out.agg(F.count("*").alias("__n")).select(
-        F.when(F.col("__n") > 0, F.lit(basename)).otherwise(
-            F.raise_error(F.lit(f"cell not found: core={basename!r} cell_id={cell_id}"))
-        ).alias("basename")
-    )
-    return out.join(F.broadcast(some), "basename", "left_semi")
+    return fail_if_empty(out, f"cell not found: core={basename!r} cell_id={cell_id}")
 
 
 def emit_labels(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.functions.expr import (
-    any_of, clip, finite, literal_map, nan_to_null, require, stack_columns, stratum_of_ap, truthy,
+    any_of, clip, fail_when, finite, literal_map, nan_to_null, require, stack_columns, stratum_of_ap, truthy,
 )
 from cellframe.functions.running import group_quantiles
 from cellframe.panel import (
@@ -256,18 +256,6 @@ def filter_cores(
     return cores
 
 
-def _known(cores: DataFrame, column: str, value: str) -> DataFrame:
-    """Keep rows with ``column == value``; fail at run time if no core has that value."""
-    present = cores.agg(
-        F.max(F.when(F.col(column) == value, 1)).alias("__hit"),
-    ).select(
-        F.when(F.col("__hit") == 1, F.lit(value))
-        .otherwise(F.raise_error(F.lit(f"unknown {column} {value!r}")))
-        .alias(column)
-    )
-    return cores.join(F.broadcast(present), column, "left_semi")
-
-
 def filter_cohort(
     cores: DataFrame, tissue: str | None = None, tma: str | None = None, split: str | None = None
 ) -> DataFrame:
@@ -278,8 +266,8 @@ def filter_cohort(
         out = out.filter((F.col("tma") == tma) | F.col("tma").endswith(f"_{tma}"))
     for column, value in (("tissue", tissue), ("split", split)):
         if value is not None:
-            checked = _known(cores, column, value).select("basename")
-            out = out.filter(F.col(column) == value).join(checked, "basename", "left_semi")
+            unknown = cores.agg((F.count_if(F.col(column) == value) == 0).alias("broken"))
+            out = fail_when(out.filter(F.col(column) == value), unknown, f"unknown {column} {value!r}")
     return out
 
 
@@ -328,15 +316,15 @@ def names_table(df: DataFrame, names: Iterable[str], column: str = "basename") -
 
 
 def restrict_cores(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Rows of the named cores; fails at run time listing names that are absent."""
+    """Rows of the named cores; fails at run time naming one that is absent."""
     wanted = names_table(df, names)
-    absent = wanted.join(df.select("basename").distinct(), "basename", "left_anti")
-    checked = absent.agg(F.sort_array(F.collect_list("basename")).alias("absent")).select(
-        F.when(F.size("absent") > 0,
-               F.raise_error(F.concat(F.lit("cores not found: "), F.array_join("absent", ", "))))
-        .otherwise(F.lit(True)).alias("__ok")
-    )
-    kept = wanted.withColumn("__ok", F.lit(True)).join(checked, "__ok").select("basename")
+    absent = wanted.join(df.select("basename").distinct(), "basename", "left_anti").orderBy("basename").limit(1)
+    listed = absent.agg(F.max("basename").alias("name"))
+    verdict = F.when(
+        F.col("name").isNotNull(),
+        F.raise_error(F.concat(F.lit("cores not found: "), F.col("name"))).cast("boolean"),
+    ).otherwise(F.lit(False))
+    kept = wanted.unionByName(listed.filter(verdict).select(F.col("name").alias("basename")))
     return df.join(kept, "basename", "left_semi")
 
 
