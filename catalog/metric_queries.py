@@ -15,6 +15,7 @@ from cellframe.operators import compose as C
 from cellframe.operators import labels as L
 from cellframe.operators import metrics as M
 from cellframe.operators import normalize as N
+from cellframe.operators import rules as R
 from cellframe.operators import sampling as SM
 from cellframe.panel import ch, ph
 from cellframe.plans import bundle as PL
@@ -84,6 +85,13 @@ add("e6_model_metrics",
     f"select {_k}, cast(t as bigint) as n, cast(p as bigint) as n_pos, {r6('ap', 'ap')}, {r6('avg(ap) over (partition by kind)', 'macro_ap')} from m")
 
 
+add("p22_strata_buckets",
+    lambda s, d: R.strata_buckets(R.confidence_stratum(M.model_metrics(D.scored(s, d), MODEL, P)), "name", "confidence"),
+    f"with {SCORED}, {long_sql()}, {pr_sql(KEY)}, m as (select name, {_AP} as ap from pr group by {_k}), "
+    "b as (select name, case when ap>=0.70 then 'strong' when ap>=0.55 then 'moderate' else 'weak' end as stratum from m) "
+    "select stratum, count(*) as n, string_agg(name, ',' order by name) as names from b group by 1")
+
+
 def lift(spark, d):
     return M.within_core_lift(D.cells(spark, d), MODEL, N.core_mean_preds(D.cells(spark, d), MODEL, P), P)
 

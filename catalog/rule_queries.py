@@ -184,11 +184,6 @@ def p21(spark, d):
 _strat = "case " + " ".join(f"when {c}=1 then '{THR.stratum(n)}'" for n, c in zip(PN, calls(PN))) + " else 'unknown' end"
 add("p21_feature_stratum", p21,
     f"with {SCORED} select basename, cell_id, {_strat} as by_phenotype, '{THR.stratum('CD68')}' as by_marker from scored")
-add("p22_strata_buckets",
-    lambda s, d: R.strata_buckets(R.confidence_stratum(per_core_rates(s, d)), "basename", "confidence"),
-    f"""with {CELLS}, a as (select basename, avg(case when ch27_pred_{MODEL}>=0.25 then 1.0 else 0.0 end) as ap from cells group by 1),
-    b as (select basename, case when ap>=0.70 then 'strong' when ap>=0.55 then 'moderate' else 'weak' end as stratum from a)
-    select stratum, count(*) as n, string_agg(basename, ',' order by basename) as names from b group by 1""")
 STOPS = ((0.0, (68, 1, 84)), (0.25, (59, 82, 139)), (0.5, (33, 145, 140)), (0.75, (94, 201, 98)), (1.0, (253, 231, 37)))
 
 

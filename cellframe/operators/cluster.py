@@ -1,7 +1,7 @@
 """Cluster-then-label: communities of cells per core and positivity by cluster mean.
 
 A core of any size is handled. Up to ``MAX_PROTOTYPES`` cells it is clustered
-cell by cell; a larger one is represented by that many prototype cells, which
+cell by cell; a larger one is represented by about that many prototype cells, which
 are clustered, and every cell takes the cluster of its nearest prototype. The
 prototypes of a core are the only rows that meet in one task; the assignment
 runs over salted slices of the core.
@@ -13,12 +13,13 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.functions.expr import require, stack_columns
 from cellframe.operators.normalize import zscore_by_core
 from cellframe.operators.rules import phenotype_labels
+from cellframe.operators.sampling import uniform
 from cellframe.panel import CELL_KEY, DEFAULT_PANEL, MarkerPanel, ch, ph
 from cellframe.session import cut
 
@@ -143,9 +144,12 @@ def cluster_cells(
     require(df, [*CELL_KEY, *columns])
     vector = F.array(*[F.col(c).cast("double") for c in columns])
     cells = df.select("basename", "cell_id", vector.alias("v"))
-    # the limit is applied before the shuffle, so a huge core does not meet in one task
-    order = Window.partitionBy("basename").orderBy(F.xxhash64("cell_id", F.lit(seed)), "cell_id")
-    prototypes = cells.withColumn("__rn", F.row_number().over(order)).filter(F.col("__rn") <= MAX_PROTOTYPES)
+    sizes = cells.groupBy("basename").agg(F.count("*").alias("__n"))
+    # all cells of a small core; of a large one a hashed share, drawn before anything is shuffled
+    share = F.lit(float(MAX_PROTOTYPES)) / F.col("__n")
+    prototypes = cells.join(sizes, "basename").filter(
+        (F.col("__n") <= MAX_PROTOTYPES) | (uniform(seed, ["cell_id"]) < share)
+    )
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell_id")
@@ -157,7 +161,6 @@ def cluster_cells(
             label, f"basename string, cell_id long, v array<double>, {out} int"
         )
     )
-    sizes = cells.groupBy("basename").agg(F.count("*").alias("__n"))
     small = labelled.join(sizes.filter(F.col("__n") <= MAX_PROTOTYPES).select("basename"), "basename", "left_semi")
     large = sizes.filter(F.col("__n") > MAX_PROTOTYPES).withColumn(
         "__slices", F.ceil(F.col("__n") / CELLS_PER_SLICE)

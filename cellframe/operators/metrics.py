@@ -124,32 +124,54 @@ def fit_operating_threshold(
     )
 
 
-def melt_scored(
+Item = tuple[str, int, str]
+
+
+def melt_items(
     df: DataFrame, model: str | None, panel: MarkerPanel = DEFAULT_PANEL,
     keep: Sequence[str] = (), pred: str = "pred", truth: str = "pos",
     markers: bool = True, phenotypes: bool = True,
-) -> DataFrame:
-    """Long ``kind, position, name, y, score`` rows of every marker and phenotype with both columns."""
+) -> tuple[DataFrame, list[Item]]:
+    """Long ``item, y, score`` rows of every marker and phenotype that has both columns.
+
+    ``item`` indexes the returned ``(kind, position, name)`` list: a small integer is
+    shuffled instead of the names.
+    """
+    items: list[Item] = []
     rows = []
+
+    def include(kind: str, position: int, name: str, score: str, label: str) -> None:
+        if score in df.columns and label in df.columns:
+            rows.append({
+                "item": F.lit(len(items)), "y": truthy(F.col(label)), "score": nan_to_null(F.col(score)),
+            })
+            items.append((kind, position, name))
+
     if markers:
         for i, (n, c) in enumerate(panel.pairs):
-            s, t = ch(c, pred, model), ch(c, truth)
-            if s in df.columns and t in df.columns:
-                rows.append({
-                    "kind": F.lit("marker"), "position": F.lit(i), "name": F.lit(n),
-                    "y": truthy(F.col(t)), "score": nan_to_null(F.col(s)),
-                })
+            include("marker", i, n, ch(c, pred, model), ch(c, truth))
     if phenotypes:
         for i, n in enumerate(panel.phenotypes):
-            s, t = ph(n, "score", model), ph(n, "label")
-            if s in df.columns and t in df.columns:
-                rows.append({
-                    "kind": F.lit("phenotype"), "position": F.lit(i), "name": F.lit(n),
-                    "y": truthy(F.col(t)), "score": nan_to_null(F.col(s)),
-                })
+            include("phenotype", i, n, ph(n, "score", model), ph(n, "label"))
     if not rows:
         raise ValueError(f"no evaluable predictions for model {model!r}")
-    return stack_columns(df, keep, rows)
+    return stack_columns(df, keep, rows), items
+
+
+def name_items(df: DataFrame, items: Sequence[Item]) -> DataFrame:
+    """Replace ``item`` by ``kind, position, name``."""
+    table = F.array(*[
+        F.struct(F.lit(k).alias("kind"), F.lit(i).alias("position"), F.lit(n).alias("name")) for k, i, n in items
+    ])
+    entry = F.get(table, F.col("item"))
+    front = [c for c in df.columns if c == "basename"]
+    rest = [c for c in df.columns if c not in ("item", *front)]
+    return df.select(*front, *[entry[c].alias(c) for c in METRIC_KEY], *rest)
+
+
+def melt_scored(df: DataFrame, model: str | None, panel: MarkerPanel = DEFAULT_PANEL, **options) -> DataFrame:
+    """The rows of :func:`melt_items` with their names."""
+    return name_items(*melt_items(df, model, panel, **options))
 
 
 METRIC_KEY = ("kind", "position", "name")
@@ -160,10 +182,11 @@ def model_metrics(df: DataFrame, model: str, panel: MarkerPanel = DEFAULT_PANEL)
 
     Names without positives are left out; a kind without any evaluable name is an error.
     """
-    long = melt_scored(df, model, panel)
-    ap = average_precision(long, METRIC_KEY, "y", "score", single_class_null=False).filter(
+    long, items = melt_items(df, model, panel)
+    ap = average_precision(long, ["item"], "y", "score", single_class_null=False).filter(
         (F.col("n") >= 2) & F.col("ap").isNotNull()
     )
+    ap = name_items(ap, items)
     # one row per configured name, so the window holds a few dozen rows
     macro = F.avg("ap").over(Window.partitionBy("kind"))
     return ap.select(*METRIC_KEY, "n", "n_pos", "ap", macro.alias("macro_ap"))
@@ -234,18 +257,18 @@ def score_report(long: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def marker_metrics(df: DataFrame, model: str | None, panel: MarkerPanel = DEFAULT_PANEL,
                    pred: str = "pred") -> DataFrame:
-    return score_report(
-        melt_scored(df, model, panel, pred=pred, phenotypes=False), METRIC_KEY
-    )
+    long, items = melt_items(df, model, panel, pred=pred, phenotypes=False)
+    return name_items(score_report(long, ["item"]), items)
 
 
 def phenotype_metrics(df: DataFrame, model: str | None, panel: MarkerPanel = DEFAULT_PANEL) -> DataFrame:
-    return score_report(melt_scored(df, model, panel, markers=False), METRIC_KEY)
+    long, items = melt_items(df, model, panel, markers=False)
+    return name_items(score_report(long, ["item"]), items)
 
 
 def per_core_ap(df: DataFrame, model: str, panel: MarkerPanel = DEFAULT_PANEL) -> DataFrame:
-    long = melt_scored(df, model, panel, keep=["basename"])
-    return average_precision(long, ["basename", *METRIC_KEY], "y", "score")
+    long, items = melt_items(df, model, panel, keep=["basename"])
+    return name_items(average_precision(long, ["basename", "item"], "y", "score"), items)
 
 
 def focal_bce(

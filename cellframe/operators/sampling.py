@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from cellframe.panel import CELL_KEY
 
 
+SLICES = 64
+
+
 def _order(seed: int, keys: Sequence[str]) -> list[Column]:
     return [F.xxhash64(*keys, F.lit(int(seed))), *[F.col(k) for k in keys]]
 
@@ -54,9 +57,17 @@ def epoch_sample(
 def stratified_sample(
     df: DataFrame, stratum: str, n: int, seed: int, keys: Sequence[str] = CELL_KEY
 ) -> DataFrame:
-    """At most n rows per stratum; the limit is applied before the shuffle."""
-    w = Window.partitionBy(stratum).orderBy(*_order(seed, keys))
-    return df.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
+    """At most n rows per stratum.
+
+    The limit is taken in salted slices first, so a stratum of any size leaves at most
+    n rows per slice for the final ranking.
+    """
+    order = _order(seed, keys)
+    out = df.withColumn("__salt", F.pmod(F.xxhash64(*keys, F.lit("salt")), F.lit(SLICES)))
+    for part in ([stratum, "__salt"], [stratum]):
+        w = Window.partitionBy(*part).orderBy(*order)
+        out = out.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
+    return out.drop("__salt")
 
 
 def weighted_positive_sample(
