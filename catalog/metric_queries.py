@@ -294,7 +294,7 @@ def t6(spark, d):
     from catalog.table_queries import tile_pixels
     from cellframe.operators.regions import positive_tiles
 
-    tiles = positive_tiles(tile_pixels(spark, d), 9.0, 0.2)
+    tiles = positive_tiles(tile_pixels(spark, d), 9.0, 0.6)
     return SM.weighted_positive_sample(tiles, 60, 0.5, {c: 1.0 + i for i, c in enumerate(P.channels)}, 11, ["basename", "tile_y", "tile_x"])
 
 

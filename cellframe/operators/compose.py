@@ -18,6 +18,7 @@ from cellframe.functions.running import group_quantiles
 from cellframe.operators.metrics import average_precision
 from cellframe.operators.rules import filter_cohort
 from cellframe.panel import DEFAULT_PANEL, MarkerPanel, Thresholds, ch, ph
+from cellframe.session import cut
 
 NO_CALL = "no_call"
 HISTOGRAM_BINS = 10
@@ -234,7 +235,8 @@ def validation_table(
 
 def summarize_ap(df: DataFrame, by: Sequence[str], ap: str = "ap") -> DataFrame:
     """Mean, median and population deviation of the finite values per group."""
-    clean = df.select(*by, nan_to_null(F.col(ap)).alias("__v"))
+    # the moments and the median are separate branches
+    clean = cut(df.select(*by, nan_to_null(F.col(ap)).alias("__v")))
     stats = clean.groupBy(*by).agg(
         F.avg("__v").alias("mean"), F.stddev_pop("__v").alias("std"), F.count("__v").alias("n")
     )

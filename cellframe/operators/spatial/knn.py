@@ -69,14 +69,9 @@ def _bucketed(df: DataFrame, grid: DataFrame) -> DataFrame:
 
 def _around(df: DataFrame, reach: int) -> DataFrame:
     """Replicate rows to the (2 reach + 1)^2 buckets around theirs."""
-    steps = F.array(*[
-        F.struct(F.lit(i).cast("long").alias("__dx"), F.lit(j).cast("long").alias("__dy"))
-        for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)
-    ])
-    return (
-        df.select("*", F.inline(steps))
-        .withColumns({"bx": F.col("bx") + F.col("__dx"), "by": F.col("by") + F.col("__dy")})
-        .drop("__dx", "__dy")
+    steps = ", ".join(f"({i}L, {j}L)" for i in range(-reach, reach + 1) for j in range(-reach, reach + 1))
+    return df.selectExpr("*", f"inline(array({steps})) as (__dx, __dy)").selectExpr(
+        *[c for c in df.columns if c not in ("bx", "by")], "bx + __dx as bx", "by + __dy as by"
     )
 
 
