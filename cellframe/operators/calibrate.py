@@ -142,20 +142,16 @@ def threshold_artifact(
     def maps(df: DataFrame, prefix: str) -> DataFrame:
         ap = F.coalesce("ap", F.raise_error(F.lit("cannot assign confidence from a non-finite AP")).cast("double"))
         key = F.col("channel").cast("string") if "channel" in df.columns else F.col("name")
-        return df.agg(
-            F.map_from_entries(
-                F.sort_array(F.collect_list(F.struct(key.alias("k"), F.col("threshold"))))
-            ).alias(f"{prefix}_thresholds"),
-            F.map_from_entries(
-                F.sort_array(F.collect_list(F.struct("name", stratum_of_ap(ap).alias("c"))))
-            ).alias(f"{prefix}_confidence"),
-        ).withColumn("schema_version", F.lit(1))
+        cuts = F.collect_list(F.struct(key.alias("k"), F.col("threshold")))
+        strata = F.collect_list(F.struct("name", stratum_of_ap(ap).alias("c")))
+        return df.agg(F.struct(
+            F.map_from_entries(F.sort_array(cuts)).alias(f"{prefix}_thresholds"),
+            F.map_from_entries(F.sort_array(strata)).alias(f"{prefix}_confidence"),
+        ).alias(prefix))
 
     note = F.to_json(F.create_map(*[F.lit(str(x)) for kv in provenance.items() for x in kv]))
-    return (
-        maps(marker_rows, "marker").join(maps(phenotype_rows, "phenotype"), "schema_version")
-        .withColumn("provenance", note)
-    )
+    both = maps(marker_rows, "marker").withColumn("phenotype", maps(phenotype_rows, "phenotype").scalar())
+    return both.select("marker.*", "phenotype.*", F.lit(1).alias("schema_version"), note.alias("provenance"))
 
 
 def calibration_run(

@@ -225,7 +225,7 @@ def validation_table(
     return (
         entry.select("id", "kind", "position", "name", "confidence_stratum", checked.alias("macro_ap"))
         .join(per_core, "name", "left")
-        .join(cores_with_truth(cores, panel).withColumn("id", F.lit(model)), "id")
+        .withColumn("n_cores_with_truth", cores_with_truth(cores, panel).scalar())
         .select(
             "kind", "position", "name", "macro_ap", "n_cores_with_truth", "confidence_stratum",
             "per_core_ap",

@@ -72,13 +72,16 @@ def zscore_by_core(
     return logged.join(stats, "basename").select(*keep, *[v.alias(n) for n, v in out.items()])
 
 
-def global_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Replace missing values by the mean over all rows, 0 if a column has none."""
-    key = "__all"
-    means = df.agg(*[F.avg(nan_to_null(F.col(c))).alias(f"__g_{c}") for c in columns]).withColumn(key, F.lit(0))
-    filled = {
-        c: F.coalesce(nan_to_null(F.col(c)), F.col(f"__g_{c}"), F.lit(0.0)) for c in columns
-    }
-    # the right side is one row
-    joined = df.withColumn(key, F.lit(0)).join(F.broadcast(means), key)
-    return joined.withColumns(filled).select(*df.columns)
+def global_fill(df: DataFrame, columns: Sequence[str], source: DataFrame | None = None) -> DataFrame:
+    """Replace missing values by the mean over all rows, 0 if a column has none.
+
+    The means are one row and become literals, so the rows to fill are not joined with
+    anything. ``source`` names a cheaper table with the same known values.
+    """
+    if not columns:
+        return df
+    table = source if source is not None else df
+    means = table.agg(*[F.avg(nan_to_null(F.col(c))).alias(c) for c in columns]).first()
+    return df.withColumns({
+        c: F.coalesce(nan_to_null(F.col(c)), F.lit(float(means[c] or 0.0))) for c in columns
+    })

@@ -24,10 +24,10 @@ def residual_stats(manifest: DataFrame) -> DataFrame:
     """Count, mean, median, 95th percentile and maximum residual of the usable cores."""
     usable = manifest.filter(F.col("status").isin(*USABLE)).select(
         nan_to_null(F.col("rigid_D_px")).alias("v")
-    ).filter("v is not null").withColumn("scope", F.lit("usable"))
-    stats = usable.groupBy("scope").agg(F.avg("v").alias("mean"), F.max("v").alias("max"))
-    quantiles = group_quantiles(usable, ["scope"], "v", {"median": 0.5, "p95": 0.95})
-    return quantiles.join(stats, "scope").select("n", "mean", "median", "p95", "max")
+    ).filter("v is not null")
+    stats = usable.agg(F.struct(F.avg("v").alias("mean"), F.max("v").alias("max")).alias("s")).scalar()
+    quantiles = group_quantiles(usable, [], "v", {"median": 0.5, "p95": 0.95})
+    return quantiles.select("n", stats["mean"].alias("mean"), "median", "p95", stats["max"].alias("max"))
 
 
 def repair_manifest(manifest: DataFrame, meta: DataFrame, cutoff: float) -> DataFrame:

@@ -348,11 +348,11 @@ def knn_features(
                 )
         if "density" in features:
             aggs[f"nbr{k}_density"] = F.avg(F.when(near, F.lit(1.0) / (F.col("distance_px") + F.lit(1.0))))
-    per_cell = pairs.groupBy("basename", F.col("src_cell_id").alias("cell_id")).agg(
+    # the overall means and the result both read the features
+    per_cell = cut(pairs.groupBy("basename", F.col("src_cell_id").alias("cell_id")).agg(
         *[c.alias(n) for n, c in aggs.items()]
-    )
-    joined = df.join(per_cell, ["basename", "cell_id"], "left")
-    return global_fill(joined, list(aggs))
+    ))
+    return global_fill(df.join(per_cell, ["basename", "cell_id"], "left"), list(aggs), per_cell)
 
 
 def feature_columns(ks: Sequence[int], features: Sequence[str], channels: Sequence[int]) -> list[str]:

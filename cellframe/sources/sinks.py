@@ -136,15 +136,16 @@ def label_provenance(
     """One JSON row with the parameters, sizes and positive cells per marker."""
     counts = positive_counts(df, panel, family).agg(
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("marker", "n_positive")))).alias("per_marker_positive_counts")
-    ).withColumn("schema_version", F.lit(1))
+    )
     sizes = df.groupBy("basename").agg(F.count("*").alias("n")).agg(
-        F.count("*").alias("n_cores"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_cells_total")
-    ).withColumn("schema_version", F.lit(1))
+        F.struct(F.count("*").alias("n_cores"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_cells_total")).alias("s")
+    ).scalar()
     settings = F.create_map(*[F.lit(str(x)) for kv in params.items() for x in kv])
     stamp = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss")
-    return counts.join(sizes, "schema_version").select(F.to_json(F.struct(
-        "schema_version", stamp.alias("timestamp"), settings.alias("parameters"),
-        "n_cores", "n_cells_total", "per_marker_positive_counts",
+    return counts.select(F.to_json(F.struct(
+        F.lit(1).alias("schema_version"), stamp.alias("timestamp"), settings.alias("parameters"),
+        sizes["n_cores"].alias("n_cores"), sizes["n_cells_total"].alias("n_cells_total"),
+        "per_marker_positive_counts",
     )).alias("value"))
 
 
