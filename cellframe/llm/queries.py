@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cellframe.llm import simhash
+from cellframe.llm import bpe, dac, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,13 +15,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public vocabulary lies; the operators take any such path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.hex16().alias("fingerprint"), "component_id")
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dac.read(spark, dac.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
+
+
 QUERIES: dict[str, Query] = {
+    "op4_bpe_round_trip": op4_bpe_round_trip,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_token_files": op9_token_files,
 }
 
 ORACLES: dict[str, str] = {}
