@@ -7,7 +7,7 @@ the same packs, whatever tasks run again.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellframe.session import scratch_folder
+from cellframe.session import cut, scratch_folder
 
 PACK_BYTES = 4 << 20
 SCHEMA = "pack long, n_bytes long, rows binary"
@@ -66,6 +66,31 @@ def n_shards(packs: DataFrame, shard_bytes: int) -> int:
     return max(1, -(-int(packs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]) // shard_bytes))
 
 
+def frequent(table: DataFrame, values_of: Callable[[pa.Table], np.ndarray], share: float) -> np.ndarray:
+    """Values (uint64) with at least ``share`` of all that the packs have, sorted; at most 2 / share of them.
+
+    A pack reports what has half that share of the pack, so what other packs leave out of a value that frequent is
+    less than half of it.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                values = values_of(open_pack(data))
+                value, n = np.unique(values, return_counts=True)
+                much = n >= max(2, share / 2 * len(values))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.append(value[much], np.uint64(0)).view(np.int64)), pa.array(np.append(n[much], len(values)).astype(np.int64)), pa.array([False] * int(much.sum()) + [True])],
+                    ["value", "n", "total"],
+                )
+
+    counted = table.select("rows").mapInArrow(run, "value long, n long, total boolean").groupBy("total", "value").agg(F.sum("n").alias("n"))
+    counted = cut(counted)
+    total = counted.where("total").agg(F.sum("n")).first()[0] or 0
+    kept = counted.where(~F.col("total") & (F.col("n") >= max(2.0, share / 2 * total))).orderBy(F.desc("n"), "value").limit(int(2 / share))
+    return np.array(sorted(r.value for r in kept.select("value").collect()), np.int64).view(np.uint64)
+
+
 def to_bytes(*arrays: np.ndarray | bytes) -> bytes:
     """Arrays and byte strings as one compressed string."""
     parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]

@@ -89,27 +89,6 @@ class Pack:
         self.key = span_hashes(self.h, self.start, self.start + self.count + WINDOW - 1)
 
 
-def frequent(table: DataFrame) -> np.ndarray:
-    """Anchors with at least HOT_SHARE of all segments, at most 2 / HOT_SHARE of them.
-
-    A pack reports an anchor with half that share of the pack; what the others leave out is less than half of it.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column(0).to_pylist():
-                anchor = Pack(packs.open_pack(data), None).anchor
-                value, n = np.unique(anchor, return_counts=True)
-                much = n >= max(2, HOT_SHARE / 2 * len(anchor))
-                yield pa.RecordBatch.from_arrays([pa.array(np.append(value[much], np.uint64(0)).view(np.int64)), pa.array(np.append(n[much], len(anchor)).astype(np.int64)), pa.array([False] * int(much.sum()) + [True])], ["anchor", "n", "total"])
-
-    counted = table.select("rows").mapInArrow(run, "anchor long, n long, total boolean").groupBy("total", "anchor").agg(F.sum("n").alias("n"))
-    # of a group of one row or none for the total
-    total = counted.where("total").select(F.sum("n")).first()[0] or 0
-    kept = counted.where(~F.col("total") & (F.col("n") >= max(2.0, HOT_SHARE / 2 * total))).orderBy(F.desc("n"), "anchor").limit(int(2 / HOT_SHARE))
-    return np.array(sorted(r.anchor for r in kept.select("anchor").collect()), np.int64).view(np.uint64)
-
-
 def slots_of(hot: np.ndarray) -> Slots | None:
     if not len(hot):
         return None
@@ -197,7 +176,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).drop("n_words", "n_removed")
     table = packs.write(docs)
-    hot = frequent(table)
+    hot = packs.frequent(table, lambda rows: Pack(rows, None).anchor, HOT_SHARE)
     n = packs.n_shards(table, SHARD_BYTES)
     out_schema = StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType())])
     names = docs.columns
