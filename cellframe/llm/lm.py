@@ -32,7 +32,7 @@ from cellframe.llm.pieces import Slots
 from cellframe.llm.text import Words, mix, ragged, utf8
 from cellframe.session import cut
 
-FOLDS, ALPHA, WEIGHT = 10, 0.1, 5.0
+FOLDS, ALPHA, WEIGHT = 10, 0.1, 300.0
 HOT_SHARE = 1 / 20_000
 SHARD_BYTES = 4 << 20
 #: Hashes that stand for the end and the start; no word has white space in it.

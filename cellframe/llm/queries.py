@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, dac, lm, simhash, substring, toxicity
+from cellframe.llm import bpe, dac, html, lm, simhash, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -50,6 +50,10 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.read(spark, dac.write(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op4_bpe_round_trip": op4_bpe_round_trip,
@@ -57,6 +61,7 @@ QUERIES: dict[str, Query] = {
     "op7_lm_scores": op7_lm_scores,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_token_files": op9_token_files,
+    "op10_main_text": op10_main_text,
 }
 
 ORACLES: dict[str, str] = {}
