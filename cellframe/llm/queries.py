@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, dac, html, lm, simhash, substring, toxicity
+from cellframe.llm import bpe, dac, fingerprint, html, lm, simhash, substring, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +28,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
@@ -56,6 +60,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_fingerprints": op2_fingerprints,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op6_toxicity": op6_toxicity,
     "op7_lm_scores": op7_lm_scores,
@@ -64,4 +69,7 @@ QUERIES: dict[str, Query] = {
     "op10_main_text": op10_main_text,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": substring.ORACLE_SQL,
+    "op2_fingerprints": fingerprint.ORACLE_SQL,
+}

@@ -224,3 +224,16 @@ def dedup(docs: DataFrame) -> DataFrame:
     asked = table.select("pack", "rows").mapInArrow(send, "shard long, pack long, segments binary")
     answers = asked.groupBy("shard").applyInArrow(answer, "pack long, answers binary")
     return table.select("pack", "rows").groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(finish, out_schema)
+
+
+#: The query's rows in DuckDB's SQL.
+ORACLE_SQL = """
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+windows as (select doc_id, i, array_to_string(list_slice(w, i, i + 12), ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 11)) as i from d)),
+owners as (select k, min(doc_id) as first_id from windows group by k),
+gone as (select distinct doc_id, unnest(range(i, i + 13)) as p from windows join owners using (k) where first_id < doc_id),
+words as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d),
+kept as (select doc_id, count(*) as n_kept, string_agg(word, ' ' order by p) as text from words anti join gone using (doc_id, p) group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, (len(d.w) - coalesce(n_kept, 0))::bigint as n_removed, sha256(coalesce(kept.text, '')) as kept_sha256
+from d left join kept on kept.doc_id = d.doc_id
+"""
