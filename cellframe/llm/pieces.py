@@ -94,6 +94,9 @@ def join(text: str, mid: int, left: np.ndarray, right: np.ndarray) -> np.ndarray
         reach *= 4
 
 
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
 class Slots:
     """Integers by 64-bit key: an open hash table that looks up whole arrays."""
 
@@ -101,9 +104,13 @@ class Slots:
         self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
         self.keys, self.values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
 
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        """The first place of each key; keys that are close to each other lie apart."""
+        return (keys * GOLDEN >> self.shift).astype(np.int64)
+
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         """New, distinct keys."""
-        at = (keys >> self.shift).astype(np.int64)
+        at = self.slot(keys)
         while len(keys):
             free = np.flatnonzero(self.values[at] < 0)
             self.keys[at[free]], self.values[at[free]] = keys[free], values[free]  # of several to one slot, the last stays
@@ -112,7 +119,7 @@ class Slots:
 
     def get(self, keys: np.ndarray) -> np.ndarray:
         """Their values, -1 where a key is absent."""
-        at = (keys >> self.shift).astype(np.int64)
+        at = self.slot(keys)
         out = self.values[at]
         open_ = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
         while len(open_):
