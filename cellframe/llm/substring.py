@@ -5,11 +5,11 @@ has a word sequence that also starts in a document with a smaller doc_id.
 
 Equal windows must meet in one shard, without every shard seeing every document. A window belongs to the least of its
 ANCHOR-word sequences, by hash; consecutive windows with the same anchor form a segment, and the anchor's hash names
-the segment's shard. Each pack of documents sends every distinct segment once, with the least and greatest doc_id that
-hold it. A shard drops anchors that one document alone holds, builds an FM-index over the distinct segments that are
-left and streams the segments' windows through it: the search goes backwards while the passage also occurs elsewhere,
-and where WINDOW words match, the least doc_id of the interval is the window's answer. Answers return to the packs
-that can use them.
+the segment's shard. Packs first send 32 bits of each of their anchors and learn which ones occur in another document
+too (a chance match only adds some). Then each pack sends every distinct segment with such an anchor once, with the
+least and greatest doc_id that hold it. A shard builds an FM-index over the distinct segments and streams the segments'
+windows through it: the search goes backwards while the passage also occurs elsewhere, and where WINDOW words match,
+the least doc_id of the interval is the window's answer. Answers return to the packs that can use them.
 
 Frequent anchors (over about HOT_SHARE of all segments) are chosen last: only windows made of nothing but frequent
 sequences have one, and such segments are few different ones, that every pack sends once. So a passage in a third of
@@ -97,7 +97,41 @@ def slots_of(hot: np.ndarray) -> Slots | None:
     return slots
 
 
-def shard_answers(group: pa.Table, hot: Slots | None) -> Iterator[tuple[int, bytes]]:
+def anchor_parts(pack: Pack, n_shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A pack's distinct anchors in order of shard, their shards, whether two of its documents share it, and where each segment's anchor is."""
+    anchor, back = np.unique(pack.anchor, return_inverse=True)
+    least, most = np.full(len(anchor), LAST), np.full(len(anchor), np.iinfo(np.int64).min)
+    own = pack.own[pack.row]
+    np.minimum.at(least, back, own)
+    np.maximum.at(most, back, own)
+    shard = (mix(anchor) % np.uint64(n_shards)).astype(np.int64)
+    order = np.argsort(shard, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return anchor[order], shard[order], (least < most)[order], place[back]
+
+
+def heads_of(shard: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of the runs of equal values."""
+    if not len(shard):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    heads = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]]))
+    return heads, np.append(heads[1:], len(shard))
+
+
+def shared_anchors(messages: list[bytes]) -> list[bytes]:
+    """For every pack's anchors a bit that says whether two documents hold it."""
+    parts = [packs.from_bytes(m, "<u4", "u1") for m in messages]
+    key, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    twice = np.bincount(back, minlength=len(key)) + np.bincount(back, np.concatenate([np.unpackbits(p[1], count=len(p[0])) for p in parts]), len(key)) > 1
+    out, at = [], 0
+    for p in parts:
+        out.append(np.packbits(twice[back[at : at + len(p[0])]]).tobytes())
+        at += len(p[0])
+    return out
+
+
+def shard_answers(group: pa.Table) -> Iterator[tuple[int, bytes]]:
     """(pack, answers) of one shard's segments."""
     texts: list[bytes] = []
     low, high, pack = [], [], []
@@ -111,24 +145,11 @@ def shard_answers(group: pa.Table, hot: Slots | None) -> Iterator[tuple[int, byt
     lo, hi, pack_of = np.concatenate(low), np.concatenate(high), np.concatenate(pack)
     words = Words(texts)
     h, first = words.hashes(), words.first
-    inner = anchors(h, hot)
-    inner = np.append(inner, np.full(len(h) - len(inner), np.iinfo(np.uint64).max, np.uint64))
-    for k in range(1, ANCHOR):
-        inner[first[1:] - k] = np.iinfo(np.uint64).max
-    anchor = np.minimum.reduceat(inner, first[:-1])
-    _, at = np.unique(anchor, return_inverse=True)
-    least, most = np.full(at.max() + 1, LAST), np.full(at.max() + 1, np.iinfo(np.int64).min)
-    np.minimum.at(least, at, lo)
-    np.maximum.at(most, at, hi)
-    shared = np.flatnonzero((least < most)[at])
-    if not len(shared):
-        return
-    key, where, back = np.unique(span_hashes(h, first[:-1][shared], first[1:][shared]), return_index=True, return_inverse=True)
+    key, where, back = np.unique(span_hashes(h, first[:-1], first[1:]), return_index=True, return_inverse=True)
     least = np.full(len(key), LAST)
-    np.minimum.at(least, back, lo[shared])
-    chosen = shared[where]
-    counts = words.counts[chosen]
-    index = FMIndex(h[ragged(first[:-1][chosen], counts)], counts)
+    np.minimum.at(least, back, lo)
+    counts = words.counts[where]
+    index = FMIndex(h[ragged(first[:-1][where], counts)], counts)
     n_windows = counts - WINDOW + 1
     ends = ragged(index.starts + WINDOW - 1, n_windows)
     matched, a, b = index.search(ends, WINDOW)
@@ -138,12 +159,11 @@ def shard_answers(group: pa.Table, hot: Slots | None) -> Iterator[tuple[int, byt
     answer[full] = index.least(of_place, a[full], b[full])
     at = np.concatenate([[0], np.cumsum(n_windows)])
     best = np.minimum.reduceat(answer, at[:-1])
-    useful = best[back] < hi[shared]
-    entry, owner = back[useful], pack_of[shared][useful]
+    useful = best[back] < hi
+    entry, owner = back[useful], pack_of[useful]
     order = np.argsort(owner, kind="stable")
     entry, owner = entry[order], owner[order]
-    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else []
-    for i, end in zip(heads, np.append(heads[1:], len(owner)) if len(heads) else []):
+    for i, end in zip(*heads_of(owner)):
         mine = entry[i:end]
         yield int(owner[i]), packs.to_bytes(key[mine], answer[ragged(at[mine], n_windows[mine])])
 
@@ -181,31 +201,46 @@ def dedup(docs: DataFrame) -> DataFrame:
     out_schema = StructType([*docs.schema.fields, StructField("n_words", LongType()), StructField("n_removed", LongType())])
     names = docs.columns
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent_ones = slots_of(hot)
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield sent(number, Pack(packs.open_pack(data), frequent_ones))
-
-    def sent(number: int, pack: Pack) -> pa.RecordBatch:
-        key, where, back = np.unique(pack.key, return_index=True, return_inverse=True)
+                anchor, shard, twice, _ = anchor_parts(Pack(packs.open_pack(data), frequent_ones), n)
+                begin, end = heads_of(shard)
+                message = [packs.to_bytes((mix(anchor[i:j]) >> np.uint64(32)).astype("<u4"), np.packbits(twice[i:j])) for i, j in zip(begin.tolist(), end.tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(shard[begin]), pa.array(np.full(len(begin), number)), pa.array(message, pa.binary())], ["shard", "pack", "message"])
+
+    def tell(group: pa.Table) -> pa.Table:
+        bits = shared_anchors(group.column("message").to_pylist())
+        return pa.table({"pack": group.column("pack"), "shard": group.column("shard"), "bits": pa.array(bits, pa.binary())})
+
+    def send(left: pa.Table, right: pa.Table) -> pa.Table:
+        pack = Pack(packs.open_pack(left.column("rows")[0].as_py()), slots_of(hot))
+        anchor, shard, _, place = anchor_parts(pack, n)
+        given, begin, end = dict(zip(right.column("shard").to_pylist(), right.column("bits").to_pylist())), *heads_of(shard)
+        bits = [np.unpackbits(np.frombuffer(given[s], np.uint8), count=j - i) for s, i, j in zip(shard[begin].tolist(), begin.tolist(), end.tolist())]
+        chosen = np.flatnonzero(np.concatenate(bits)[place]) if bits else np.empty(0, np.int64)
+        return sent(left.column("pack")[0].as_py(), pack, chosen)
+
+    def sent(number: int, pack: Pack, chosen: np.ndarray) -> pa.Table:
+        key, where, back = np.unique(pack.key[chosen], return_index=True, return_inverse=True)
+        where = chosen[where]
         lo, hi = np.full(len(key), LAST), np.full(len(key), np.iinfo(np.int64).min)
-        own = pack.own[pack.row]
+        own = pack.own[pack.row[chosen]]
         np.minimum.at(lo, back, own)
         np.maximum.at(hi, back, own)
         shard = (mix(pack.anchor[where]) % np.uint64(n)).astype(np.int64)
         order = np.argsort(shard, kind="stable")
         shard, where, lo, hi = shard[order], where[order], lo[order], hi[order]
         a, b = pack.words.starts[pack.start[where]], pack.words.ends[pack.start[where] + pack.count[where] + WINDOW - 2]
-        heads = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else np.empty(0, np.int64)
-        joined, blobs = pack.words.joined, []
-        for i, end in zip(heads.tolist(), np.append(heads[1:], len(shard)).tolist()):
-            text = b"".join([joined[x:y] for x, y in zip(a[i:end].tolist(), b[i:end].tolist())])
-            blobs.append(packs.to_bytes((b[i:end] - a[i:end]).astype("<u4"), lo[i:end], hi[i:end], text))
-        return pa.RecordBatch.from_arrays([pa.array(shard[heads]), pa.array(np.full(len(heads), number)), pa.array(blobs, pa.binary())], ["shard", "pack", "segments"])
+        joined, blobs, (begin, end) = pack.words.joined, [], heads_of(shard)
+        for i, j in zip(begin.tolist(), end.tolist()):
+            text = b"".join([joined[x:y] for x, y in zip(a[i:j].tolist(), b[i:j].tolist())])
+            blobs.append(packs.to_bytes((b[i:j] - a[i:j]).astype("<u4"), lo[i:j], hi[i:j], text))
+        return pa.table({"shard": pa.array(shard[begin]), "pack": pa.array(np.full(len(begin), number)), "segments": pa.array(blobs, pa.binary())})
 
     def answer(group: pa.Table) -> pa.Table:
-        rows = list(shard_answers(group, slots_of(hot)))
+        rows = list(shard_answers(group))
         return pa.table({"pack": pa.array([r[0] for r in rows], pa.int64()), "answers": pa.array([r[1] for r in rows], pa.binary())})
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -221,9 +256,11 @@ def dedup(docs: DataFrame) -> DataFrame:
         columns = {c: rows.column(c) for c in names} | {"text": pa.array(texts, pa.string()), "n_words": pa.array(words.counts), "n_removed": pa.array(n_gone)}
         return pa.table(columns)
 
-    asked = table.select("pack", "rows").mapInArrow(send, "shard long, pack long, segments binary")
-    answers = asked.groupBy("shard").applyInArrow(answer, "pack long, answers binary")
-    return table.select("pack", "rows").groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(finish, out_schema)
+    rows = table.select("pack", "rows")
+    bits = rows.mapInArrow(ask, "shard long, pack long, message binary").groupBy("shard").applyInArrow(tell, "pack long, shard long, bits binary")
+    segments_ = rows.groupBy("pack").cogroup(bits.groupBy("pack")).applyInArrow(send, "shard long, pack long, segments binary")
+    answers = segments_.groupBy("shard").applyInArrow(answer, "pack long, answers binary")
+    return rows.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(finish, out_schema)
 
 
 #: The query's rows in DuckDB's SQL.
