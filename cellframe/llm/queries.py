@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, dac, decontaminate, fingerprint, html, lm, simhash, substring, toxicity
+from cellframe.llm import bpe, dac, decontaminate, fingerprint, html, lm, simhash, substring, toolcalls, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +40,11 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
 
 
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    calls, results = toolcalls.from_conversations(table(spark, sf_dir, "conversations"))
+    return toolcalls.linked(calls, results, toolcalls.tool_table(spark))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score(docs, toxicity.fit(docs, labels)).select("doc_id", "held_out", "score", "predicted", "evidence")
@@ -67,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op2_fingerprints": op2_fingerprints,
     "op3_decontamination": op3_decontamination,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_tool_calls": op5_tool_calls,
     "op6_toxicity": op6_toxicity,
     "op7_lm_scores": op7_lm_scores,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
@@ -77,4 +83,5 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substring.ORACLE_SQL,
     "op2_fingerprints": fingerprint.ORACLE_SQL,
+    "op5_tool_calls": toolcalls.ORACLE_SQL,
 }
