@@ -65,10 +65,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = utf8(batch.column(1))
             fp = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            same = np.array([xxhash.xxh64_intdigest(t) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), pa.array(same)], ["doc_id", "fp", "text_hash"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp), batch.column(2)], ["doc_id", "fp", "text_hash"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long, text_hash long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
+    return rows.mapInArrow(run, "doc_id long, fp long, text_hash long")
 
 
 def ball(bits: int, radius: int, shift: int) -> list[int]:
@@ -181,13 +181,25 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, text_hash, component_id (smallest doc_id of the group) of every row of ``docs``."""
+    """doc_id, fp, text_hash, root (the group's key), component_id (its smallest doc_id) of every row of ``docs``."""
     marked = cut(fingerprints(docs))
     distinct = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     rooted = components(links(distinct)).withColumnRenamed("node", "fp")
     groups = distinct.join(rooted, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    named = groups.join(groups.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "text_hash", "component_id")
+    named = groups.join(groups.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "text_hash", "root", "component_id")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of each group, with all columns: of the smallest doc_id (nulls last), then of the smallest text hash."""
+    last = F.lit(2**63 - 1)
+    rows = near_duplicates(docs).groupBy("root", F.coalesce("doc_id", last).alias("_id"), "text_hash").agg(F.count("*").alias("times"))
+    kept = cut(rows.groupBy("root").agg(F.min(F.struct("_id", "text_hash", "times")).alias("first")).select("first._id", F.col("first.text_hash").alias("_hash"), "first.times"))
+    keyed = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), last)).withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+    out = keyed.join(kept, ["_id", "_hash"])
+    if not kept.where("times > 1").isEmpty():  # repeated rows with one doc_id and text
+        out = out.dropDuplicates(["_id", "_hash"])
+    return out.select(docs.columns)
 
 
 def hex16(fp: str = "fp"):

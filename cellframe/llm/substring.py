@@ -189,10 +189,11 @@ def removed(pack: Pack, answers: list[bytes]) -> np.ndarray:
     return np.cumsum(gone)[:-1] > 0
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, keep_unchanged: bool = False) -> DataFrame:
     """All columns of ``docs``, with ``text`` replaced by the kept words joined by a space, and n_words, n_removed.
 
-    ``docs`` needs doc_id and text; columns named n_words or n_removed are replaced.
+    ``docs`` needs doc_id and text; columns named n_words or n_removed are replaced. With ``keep_unchanged``, a text
+    that loses no word stays as it is, white space and nulls included.
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).drop("n_words", "n_removed")
     table = packs.write(docs)
@@ -250,7 +251,11 @@ def dedup(docs: DataFrame) -> DataFrame:
         words, first = pack.words, pack.words.first
         n_gone = np.add.reduceat(np.append(gone, False).astype(np.int64), first[:-1]) * (words.counts > 0)
         starts, ends, texts = words.starts, words.ends, []
+        before = rows.column("text").to_pylist() if keep_unchanged else []
         for i, (x, y) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+            if keep_unchanged and not n_gone[i]:
+                texts.append(before[i])
+                continue
             keep = x + np.flatnonzero(~gone[x:y])
             texts.append(b" ".join([words.joined[p:q] for p, q in zip(starts[keep].tolist(), ends[keep].tolist())]).decode())
         columns = {c: rows.column(c) for c in names} | {"text": pa.array(texts, pa.string()), "n_words": pa.array(words.counts), "n_removed": pa.array(n_gone)}

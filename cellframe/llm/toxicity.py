@@ -300,3 +300,22 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,toxic:int,cosine:double>>")
     held_out = F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score below 0.5; each is judged by its text alone."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        plain = model.score(vote(np.empty(0), np.empty(0), model.prior)) < 0.5
+        for batch in batches:
+            first, term, weight = model.vectors([x or "" for x in batch.column(at).to_pylist()])
+            keep = np.full(batch.num_rows, plain)
+            for i in np.flatnonzero(np.diff(first)):
+                example, cosine = model.near(term[first[i] : first[i + 1]], weight[first[i] : first[i + 1]])
+                keep[i] = model.score(vote(model.labels[example], cosine, model.prior)) < 0.5
+            yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
