@@ -10,7 +10,7 @@ A shard adds up, builds its trie in a mapped file (contexts, monotone pointers,
 answers each pack in the pack's own order, so no key travels back. All counts of all training rows enter; nothing is
 pruned.
 
-Tokens are told apart by 64 bits, a context's successors within a shard by 40. Nulls: a null text has the end alone;
+Tokens are told apart by 56 bits within their shard, a context's successors within a shard by 40. Nulls: a null text has the end alone;
 a row without doc_id is scored, but is neither counted nor held out (held_out is null). Repeated rows count each.
 """
 
@@ -35,6 +35,8 @@ from cellframe.session import cut
 FOLDS, ALPHA, WEIGHT = 10, 0.1, 300.0
 HOT_SHARE = 1 / 20_000
 SHARD_BYTES = 4 << 20
+#: Bytes of a token's hash that travel; the shard, which another hash of the token chooses, tells more of them apart.
+KEY_BYTES = 7
 #: Hashes that stand for the end and the start; no word has white space in it.
 END, START = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -90,19 +92,16 @@ class Asked:
     def message(self, tokens: np.ndarray, pairs: np.ndarray) -> bytes:
         owner = self.owner[pairs]
         heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
-        short = np.ascontiguousarray(self.suffix[pairs].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, : Trie.SUFFIX // 8]
-        return packs.to_bytes(
-            self.token[tokens], self.token_count[tokens], self.keys[owner[heads]], np.diff(np.append(heads, len(owner))).astype("<u4"), np.ascontiguousarray(short), self.pair_count[pairs]
-        )
+        own = lambda keys: packs.narrow(keys >> np.uint64(64 - 8 * KEY_BYTES), KEY_BYTES)
+        sizes = np.diff(np.append(heads, len(owner))).astype("<u4")
+        return packs.to_bytes(own(self.token[tokens]), self.token_count[tokens], own(self.keys[owner[heads]]), sizes, packs.narrow(self.suffix[pairs], Trie.SUFFIX // 8), self.pair_count[pairs])
 
 
 def answer_shard(messages: list[bytes]) -> tuple[list[bytes], int, int]:
     """Answers to the packs' messages, and the shard's distinct and total training tokens."""
-    parts = [packs.from_bytes(m, "<u8", "<u4", "<u8", "<u4", "u1", "<u4") for m in messages]
-    token, count, context, size, short, pairs = (np.concatenate([p[i] for p in parts]) for i in range(6))
-    wide = np.zeros((len(pairs), 8), np.uint8)
-    wide[:, : Trie.SUFFIX // 8] = short.reshape(-1, Trie.SUFFIX // 8)
-    suffix = wide.view("<u8").ravel()
+    parts = [packs.from_bytes(m, "u1", "<u4", "u1", "<u4", "u1", "<u4") for m in messages]
+    token, count, context, size, suffix, pairs = (np.concatenate([p[i] for p in parts]) for i in range(6))
+    token, context, suffix = packs.widen(token, KEY_BYTES), packs.widen(context, KEY_BYTES), packs.widen(suffix, Trie.SUFFIX // 8)
     _, of = np.unique(token, return_inverse=True)
     total = np.bincount(of, count)
     size = size.astype(np.int64)
@@ -122,7 +121,7 @@ def answer_shard(messages: list[bytes]) -> tuple[list[bytes], int, int]:
     out, t, p = [], 0, 0
     whole = total[of].astype("<u8")
     for part in parts:
-        n, m = len(part[0]), len(part[5])
+        n, m = len(part[1]), len(part[5])
         out.append(packs.to_bytes(whole[t : t + n], codes[p : p + m]))
         t, p = t + n, p + m
     return out, int((total > 0).sum()), int(total.sum())

@@ -24,7 +24,7 @@ SCHEMA = "pack long, n_bytes long, rows binary"
 
 def squeeze(rows: list[pa.RecordBatch]) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+    with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as out:
         for batch in rows:
             out.write_batch(batch)
     return sink.getvalue().to_pybytes()
@@ -91,6 +91,18 @@ def frequent(table: DataFrame, values_of: Callable[[pa.Table], np.ndarray], shar
     return np.array(sorted(r.value for r in kept.select("value").collect()), np.int64).view(np.uint64)
 
 
+def narrow(values: np.ndarray, n: int) -> np.ndarray:
+    """The low n bytes of every value."""
+    return np.ascontiguousarray(np.ascontiguousarray(values, "<u8").view(np.uint8).reshape(-1, 8)[:, :n])
+
+
+def widen(data: np.ndarray, n: int) -> np.ndarray:
+    """The values that ``narrow`` cut to n bytes."""
+    out = np.zeros((len(data) // n, 8), np.uint8)
+    out[:, :n] = data.reshape(-1, n)
+    return out.view("<u8").ravel()
+
+
 def to_bytes(*arrays: np.ndarray | bytes) -> bytes:
     """Arrays and byte strings as one compressed string."""
     parts = [a if isinstance(a, bytes) else np.ascontiguousarray(a).tobytes() for a in arrays]
