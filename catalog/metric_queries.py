@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import derived as D
@@ -108,8 +109,9 @@ add("e7_within_core_lift", lift,
     f"{r6('a', 'model_ap')}, {r6('b', 'baseline_ap_core_mean')}, {r6('a-b', 'lift')} from lf")
 add("e7_macro_lift", lambda s, d: M.macro_lift(lift(s, d)),
     f"with {LIFT} select {r6('avg(a)', 'macro_model_ap')}, {r6('avg(b)', 'macro_baseline_ap_core_mean')}, {r6('avg(a-b)', 'macro_within_core_lift')} from lf")
-add("t7_lift_order", lambda s, d: SM.lift_order(lift(s, d)).select("name", "lift").limit(5),
-    f"with {LIFT} select name, {r6('a-b', 'lift')} from lf order by a-b desc, name limit 5")
+add("t7_lift_order", lambda s, d: SM.lift_order(lift(s, d)).select("name", "lift").withColumn("place", F.monotonically_increasing_id()).withColumn(
+        "place", F.rank().over(Window.orderBy("place"))),
+    f"with {LIFT} select name, {r6('a-b', 'lift')}, row_number() over (order by a-b desc, name) as place from lf")
 
 
 def report_sql(cte, key=_k):
@@ -203,6 +205,22 @@ add("e12_hierarchy_penalty", e12,
     + " from scored group by 1")
 
 
+def e12_gaps(spark, d):
+    df = D.scored(spark, d)
+    known = lambda i, n: F.when(F.col("cell_id") % 7 == i % 7, F.lit(None)).otherwise(F.log((F.col(ph(n, "score", MODEL)) + 0.001) / (F.lit(1.001) - F.col(ph(n, "score", MODEL)))))
+    return M.hierarchy_penalty(df, {n: known(i, n) for i, n in enumerate(PN)}, ["basename"], P)
+
+
+def _gap_logit(n):
+    return f"case when cell_id % 7 <> {PN.index(n) % 7} then {LOGIT.format(p=f'phenotype_{n}_score_{MODEL}')} end"
+
+
+add("e12_penalty_of_unknown", e12_gaps,
+    f"with {SCORED}, g as (select basename, " + ", ".join(f"{_gap_logit(n)} as g{i}" for i, n in enumerate(PN)) + " from scored) select basename, " + r6("(" + "+".join(
+        "avg(case when g{0} is not null and g{1} is not null then greatest(g{0}-g{1}, 0.0) end)".format(PN.index(a), PN.index(b)) for a, b in P.hierarchy) + f")/{len(P.hierarchy)}", "hierarchy_penalty")
+    + " from g group by 1")
+
+
 def e13(spark, d):
     from catalog.artifact_queries import artifact
 

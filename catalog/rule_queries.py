@@ -72,6 +72,20 @@ add("p3_phenotype_labels",
 add("p4_phenotype_scores",
     lambda s, d: R.phenotype_scores(D.cells(s, d), MODEL, P).select("basename", "cell_id", *[ph(n, "score", MODEL) for n in PN]),
     f"with {SCORED} select basename, cell_id, " + ", ".join(r6(f"phenotype_{n}_score_{MODEL}", f"phenotype_{n}_score_{MODEL}") for n in PN) + " from scored")
+
+
+def gaps(spark, d):
+    """Cells some of whose predictions are unknown: null in every 17th cell, NaN in every 19th."""
+    gap = lambda c: F.when(F.col("cell_id") % 17 == c % 17, F.lit(None)).when(F.col("cell_id") % 19 == c % 19, F.lit(float("nan"))).otherwise(F.col(ch(c, "pred", MODEL)))
+    return D.cells(spark, d).withColumns({ch(c, "pred", MODEL): gap(c) for c in P.channels})
+
+
+GAPS = CELLS + ", gaps as (select * replace (" + ", ".join(
+    f"case when cell_id % 17 = {c % 17} or cell_id % 19 = {c % 19} then null else {cc(c)}_pred_{MODEL} end as {cc(c)}_pred_{MODEL}" for c in P.channels) + ") from cells)"
+add("p4_scores_of_unknown",
+    lambda s, d: R.phenotype_scores(gaps(s, d), MODEL, P).select("basename", "cell_id", *[ph(n, "score", MODEL) for n in PN]),
+    f"with {GAPS} select basename, cell_id, " + ", ".join(
+        r6(e, f"phenotype_{n}_score_{MODEL}") for n, e in D.score_sql({n: f"{cc(c)}_pred_{MODEL}" for n, c in P.pairs}).items()) + " from gaps")
 add("p5_dominant_phenotype", lambda s, d: D.typed(s, d).select("basename", "cell_id", "dominant_phenotype"),
     f"with {TYPED} select basename, cell_id, dominant_phenotype from typed")
 _code = "case " + " ".join(f"when {c}=1 then {i}" for i, c in enumerate(calls(PN))) + " else -1 end"
@@ -207,6 +221,11 @@ add("p25_to_log1p",
     ).withColumn("back", R.from_log1p(F.col("z"), F.lit(1.0), F.lit(15.0))),
     f"""with {CELLS}, z as (select basename, cell_id, ln(1+greatest((ch03_true/2.0-1.0)/(15.0-1.0+1e-6), 0.0)) as z from cells)
     select basename, cell_id, {r6('z', 'z')}, {r6('(exp(z)-1)*14.0+1.0', 'back')} from z""")
+add("p25_log1p_of_unknown",
+    lambda s, d: gaps(s, d).select("basename", "cell_id", *[
+        R.to_log1p(F.col(ch(c, "pred", MODEL)), F.lit(0.2), F.lit(0.9)).alias(f"z{c}") for c in P.channels]),
+    f"with {GAPS} select basename, cell_id, " + ", ".join(
+        r6(f"case when {cc(c)}_pred_{MODEL} is not null then ln(1+greatest(({cc(c)}_pred_{MODEL}-0.2)/(0.9-0.2+1e-6), 0.0)) end", f"z{c}") for c in P.channels) + " from gaps")
 add("p26_to_float01",
     lambda s, d: R.to_float01(
         D.cells(s, d).select("basename", "cell_id", F.floor(F.col("ch03_true") * 100).alias("value")), "value", "uint16"

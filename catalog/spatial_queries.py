@@ -37,8 +37,8 @@ add("j7_annotate_edges",
 add("w4_rank_neighbours", lambda s, d: K.rank_neighbours(within(s, d)).select("basename", "src_cell_id", "dst_cell_id", "rank"),
     f"with {TYPED}, {WITHIN} select basename, src_cell_id, dst_cell_id, row_number() over (partition by basename, src_cell_id order by d2, dst_cell_id) as rank from edges")
 
-FEAT_CH = (3, 27)
-FEAT_TAU = {3: 0.4, 27: 0.4}
+FEAT_CH = P.channels
+FEAT_TAU = {c: 0.4 for c in FEAT_CH}
 
 
 def j10(spark, d):
@@ -156,6 +156,17 @@ def radius_summary(spark, d):
     return PL.summarize_edges(typed, K.radius_edges(typed, float(RADIUS), LABEL))
 
 
+
+
+def undefined_z(spark, d):
+    """Preference rows some of which have no z, as pairs without variance."""
+    return PR.cozi(D.typed(spark, d), within(spark, d)).withColumn(
+        "z", F.when(F.col("n_a") % 3 == 0, F.lit(None)).when(F.col("n_a") % 3 == 1, F.lit(float("nan"))).otherwise(F.col("z") * 20))
+
+
+add("d36_matrix_of_unknown", lambda s, d: PR.cozi_matrix(undefined_z(s, d)),
+    f"with {TYPED}, {WITHIN}, {COZI} select a as phenotype_a, " + ", ".join(
+        r6(f"avg(case when b='{n}' and n_a % 3 = 2 and z is not null then greatest(-30.0, least(30.0, z*20)) end)", n) for n in LABELS) + " from cozi group by 1")
 add("d36_cozi_matrix", lambda s, d: PR.cozi_matrix(PR.cozi(D.typed(s, d), within(s, d))),
     f"with {TYPED}, {WITHIN}, {COZI} select a as phenotype_a, " + ", ".join(r6(f"avg(case when b='{n}' then greatest(-30.0, least(30.0, z)) end)", n) for n in LABELS) + " from cozi group by 1")
 add("d38_spatial_slice",

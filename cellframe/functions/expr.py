@@ -28,7 +28,8 @@ def truthy(c: Column) -> Column:
 
 
 def clip(c: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), c))
+    """The value kept inside the bounds; an unknown one (null or NaN) is null, not a bound."""
+    return F.when(c.isNotNull() & ~F.isnan(c.cast("double")), F.greatest(F.lit(lo), F.least(F.lit(hi), c)))
 
 
 def ratio(num: Column, den: Column) -> Column:

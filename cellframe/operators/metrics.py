@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.functions.expr import (
-    nan_to_null, ratio, stack_columns, truthy,
+    clip, nan_to_null, ratio, stack_columns, truthy,
 )
 from cellframe.functions.running import running_totals, tie_totals
 from cellframe.panel import DEFAULT_PANEL, MarkerPanel, ch, ph
@@ -319,9 +319,12 @@ def hierarchy_penalty(
     df: DataFrame, logits: dict[str, Column], by: Sequence[str] = (),
     panel: MarkerPanel = DEFAULT_PANEL,
 ) -> DataFrame:
-    """Mean over the hierarchy pairs of the mean positive part of child minus parent logit."""
+    """Mean over the hierarchy pairs of the mean positive part of child minus parent logit.
+
+    A cell without one of a pair's logits is no part of that pair's mean.
+    """
     terms = [
-        F.avg(F.greatest(logits[c] - logits[p], F.lit(0.0))) for c, p in panel.hierarchy
+        F.avg(clip(logits[c] - logits[p], 0.0, float("inf"))) for c, p in panel.hierarchy
     ]
     if not terms:
         return df.groupBy(*by).agg(F.lit(0.0).alias("hierarchy_penalty"))

@@ -91,7 +91,10 @@ def phenotype_labels(
 def phenotype_scores(
     df: DataFrame, model: str, panel: MarkerPanel = DEFAULT_PANEL, family: str = "pred"
 ) -> DataFrame:
-    """Fuzzy phenotype score of every rule; a channel without a column counts as 0."""
+    """Fuzzy phenotype score of every rule; a channel without a column counts as 0.
+
+    A rule that reads an unknown prediction (null or NaN) has no score.
+    """
     if family == "pred":
         cols = resolve_pred_cols(df, model, panel)
     else:
@@ -100,7 +103,7 @@ def phenotype_scores(
     for name in {n for n, _ in DEFAULT_PANEL.pairs} | set(panel.names):
         column = cols.get(panel.channel(name)) if name in panel.names else None
         markers[name] = (
-            F.when(F.col(column).isNotNull(), clip(nan_to_null(F.col(column)), 0.0, 1.0))
+            clip(F.col(column).cast("double"), 0.0, 1.0)
             if column
             else F.lit(0.0)
         )
@@ -413,10 +416,10 @@ def melt_markers(
 
 
 def to_log1p(value: Column, lo: Column, hi: Column, norm: Column | float = 1.0) -> Column:
-    """Normalised, floored at zero and log-transformed intensity."""
+    """Normalised, floored at zero and log-transformed intensity; unknown stays unknown."""
     n = norm if isinstance(norm, Column) else F.lit(float(norm))
     z = (value / n - lo) / (hi - lo + F.lit(1e-6))
-    return F.log1p(F.greatest(z, F.lit(0.0)))
+    return F.log1p(clip(z, 0.0, float("inf")))
 
 
 def from_log1p(value: Column, lo: Column, hi: Column) -> Column:

@@ -12,7 +12,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellframe.functions.expr import ratio, stack_columns, two_sided_p
+from cellframe.functions.expr import clip, ratio, stack_columns, two_sided_p
 from cellframe.panel import BACKGROUND, PHENOTYPE_NAMES
 
 LABELS = (*PHENOTYPE_NAMES, BACKGROUND)
@@ -208,5 +208,5 @@ def spatial_slice(summary: DataFrame, basename: str | None = None, n: int | None
 
 def cozi_matrix(summary: DataFrame, labels: Sequence[str] = LABELS, limit: float = 30.0) -> DataFrame:
     """Mean clipped z as a matrix: one row per source label, one column per target label."""
-    cells = summary.withColumn("__z", F.greatest(F.lit(-limit), F.least(F.lit(limit), F.col("z"))))
+    cells = summary.withColumn("__z", clip(F.col("z"), -limit, limit))
     return cells.groupBy("phenotype_a").pivot("phenotype_b", list(labels)).agg(F.avg("__z"))
