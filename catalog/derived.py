@@ -72,9 +72,9 @@ def _second() -> list[str]:
 # ---------------------------------------------------------------- Spark side
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores when the input is one small file; a table of many files is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) == 1 else df
+    """Deal a table out anew if the session asks for it (``cellframe.catalog.partitions``, as the benchmark does)."""
+    n = df.sparkSession.conf.get("cellframe.catalog.partitions", None)
+    return df.repartition(int(n), key) if n else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,13 +82,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _PLANS: dict = {}
+MOST_PLANS = 64
 
 
 def planned(build):
     """Build each derived plan once per session and folder; the plan is lazy, no data is kept."""
     def get(spark: SparkSession, sf_dir: str) -> DataFrame:
-        key = (build.__name__, spark.sparkContext.applicationId, sf_dir)
+        key = (build.__name__, spark.sparkContext.applicationId, sf_dir, spark.conf.get("cellframe.catalog.partitions", None))
         if key not in _PLANS:
+            if len(_PLANS) >= MOST_PLANS:
+                _PLANS.clear()
             _PLANS[key] = build(spark, sf_dir)
         return _PLANS[key]
     return get

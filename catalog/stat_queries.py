@@ -257,11 +257,11 @@ def consensus_cells(spark, d):
 
 add("o6_consensus_labels",
     lambda s, d: consensus_cells(s, d).select("basename", "cell_id", *[
-        ch(c, w) for c in P.channels[:6] for w in ("pos", "pos_gmm_orig", "pos_gmm", "pos_otsu", "pos_quantile", "pos_consensus", "pos_disagree")]),
+        ch(c, w) for c in P.channels for w in ("pos", "pos_gmm_orig", "pos_gmm", "pos_otsu", "pos_quantile", "pos_consensus", "pos_disagree")]),
     f"with {CELLS} select basename, cell_id, " + ", ".join(
         f"{D.total_sql(c)} >= 2 as {cc(c)}_pos, {cc(c)}_pos as {cc(c)}_pos_gmm_orig, {v['gmm']} as {cc(c)}_pos_gmm, {v['otsu']} as {cc(c)}_pos_otsu, "
         f"{v['quantile']} as {cc(c)}_pos_quantile, {D.total_sql(c)} >= 2 as {cc(c)}_pos_consensus, {D.total_sql(c)} in (1,2) as {cc(c)}_pos_disagree"
-        for c in P.channels[:6] for v in [D.votes_sql(c)]) + " from cells")
+        for c in P.channels for v in [D.votes_sql(c)]) + " from cells")
 add("d26_label_change", lambda s, d: C.label_change(consensus_cells(s, d), P, by=["basename"]),
     f"with {CELLS} " + " union all ".join(
         f"select basename, cast({c} as bigint) as channel, '{n}' as name, count(*) as n_cells, {r6(f'avg(cast({cc(c)}_pos as int))', 'frac_pos_gmm')}, "

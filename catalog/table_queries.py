@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import derived as D
@@ -81,6 +82,44 @@ add("r7_cap_ring",
     f"""with {CELLS}, {D.POLYGONS}, v as (select basename, cell_id, centroid_x as x, centroid_y as y, r from polys)
     select basename, cell_id, cast(4 as bigint) as n_verts, case when x-r<0 or y-r<0 or x+r>{D.SIDE - 1} or y+r>{D.SIDE - 1} then 'border' else '' end as flags, false as degenerate,
     cast(2*greatest(x-r,0.0)+least(x+r,{D.SIDE - 1})+2*x+3*y+greatest(y-r,0.0)+least(y+r,{D.SIDE - 1}) as double) as total from v""")
+
+
+def long_rings(spark, d):
+    """Rings of 5 to 200 vertices on a circle around every cell, some of them over the image's border."""
+    c = D.cells(spark, d).select("basename", "cell_id", "centroid_x", "centroid_y", (F.col("cell_id") % 196 + 5).alias("m"))
+    angle = lambda i: i * F.lit(6.283185307179586) / F.col("m")
+    point = lambda i: F.array(F.col("centroid_x") + F.lit(40.0) * F.cos(angle(i)), F.col("centroid_y") + F.lit(40.0) * F.sin(angle(i)))
+    return c.withColumn("ring", F.transform(F.sequence(F.lit(0), F.col("m").cast("int") - 1), point))
+
+
+def ring_area(ring):
+    """Area of a closed ring by the sums of its edges."""
+    edge = F.transform(F.sequence(F.lit(1), F.size(ring) - 1), lambda i: F.get(ring, i - 1)[0] * F.get(ring, i)[1] - F.get(ring, i)[0] * F.get(ring, i - 1)[1])
+    return F.abs(F.aggregate(edge, F.lit(0.0), lambda a, x: a + x)) / 2
+
+
+def _clamped(axis, wave, j):
+    return f"least({D.SIDE - 1}.0, greatest(0.0, centroid_{axis} + 40.0*{wave}(({j})*6.283185307179586/t)))"
+
+
+def _ring_sql(keep):
+    """Area of each circle after keeping ``keep`` vertices at most, as SQL."""
+    return (
+        "u as (select basename, cell_id, centroid_x, centroid_y, cell_id % 196 + 5 as t from cells), "
+        # after clamping, a last vertex equal to the first closes the ring
+        f"v as (select *, t - cast({_clamped('x', 'cos', 't-1')} = {_clamped('x', 'cos', '0')} and {_clamped('y', 'sin', 't-1')} = {_clamped('y', 'sin', '0')} as int) as m from u), "
+        f"i as (select *, least(m, {keep}) as k, unnest(range(0, least(m, {keep}))) as i from v), "
+        "p as (select *, case when m > k then floor(i*m/cast(k as double)) else i end as j from i), "
+        f"q as (select basename, cell_id, m, k, i, {_clamped('x', 'cos', 'j')} as x, {_clamped('y', 'sin', 'j')} as y from p), "
+        "r as (select *, coalesce(lead(x) over w, first_value(x) over w) as x1, coalesce(lead(y) over w, first_value(y) over w) as y1 from q window w as (partition by basename, cell_id order by i rows between unbounded preceding and unbounded following)) "
+    )
+
+
+for _name, _most in (("r7_long_rings", None), ("r7_thinned_rings", 32)):
+    add(_name,
+        lambda s, d, most=_most: PG.cap_ring(long_rings(s, d), "ring", F.lit(D.SIDE), F.lit(D.SIDE), most).select(
+            "basename", "cell_id", "n_verts", F.col("flags").contains("truncated").alias("truncated"), ring_area(F.col("ring")).alias("area")),
+        f"with {CELLS}, {_ring_sql(_most or 1000)} select basename, cell_id, cast(max(k) as bigint) as n_verts, bool_or(m > k) as truncated, {r6('abs(sum(x*y1 - x1*y))/2', 'area')} from r group by 1,2")
 add("r8_ring_bbox",
     lambda s, d: PG.ring_bbox(D.polygons(s, d), "expanded_xy").select("basename", "cell_id", "min_x", "min_y", "max_x", "max_y"),
     f"with {CELLS}, {D.POLYGONS} select basename, cell_id, centroid_x-r as min_x, centroid_y-r as min_y, centroid_x+r as max_x, centroid_y+r as max_y from polys")
@@ -89,7 +128,9 @@ add("r9_nonzero_window_rescale",
     f"""with {PX}, w as (select basename, quantile_cont(value,0.01) as lo, quantile_cont(value,0.99) as hi from image where value>0 group by 1)
     select basename, cast(floor((least(greatest(value,lo),hi)-lo)/(hi-lo)*255.0e0+0.5e0) as bigint) as rescaled, {r6('lo', 'p_low')}, {r6('hi', 'p_high')}, count(*) as n
     from image join w using (basename) group by 1,2,lo,hi""")
-add("r10_core_norm", lambda s, d: RE.core_norm(image(s, d), 4),
+add("r10_core_norm", lambda s, d: RE.core_norm(image(s, d)),
+    f"with {PX} select basename, {r6('greatest(quantile_cont(value, 0.999), 1e-6)', 'norm')} from image group by 1")
+add("r10_strided_norm", lambda s, d: RE.core_norm(image(s, d), 4),
     f"with {PX} select basename, {r6('greatest(quantile_cont(value, 0.999), 1e-6)', 'norm')} from image where x%4=0 and y%4=0 group by 1")
 add("r11_percentile_window",
     lambda s, d: RE.percentile_window(image(s, d)).groupBy("basename").agg(F.avg("normalized").alias("mean"), F.count_if(F.col("normalized") >= 1.0).alias("saturated")),
@@ -174,8 +215,9 @@ add("r16_dense_lattice", lambda s, d: RE.dense_lattice(slots(s, d), flip_cols=Tr
     select tma, chr(cast(r as int)) as row, c as col, cast(r-r0 as bigint) as grid_y, cast(c1-c as bigint) as grid_x,
     exists (select 1 from sl where sl.tma=g2.tma and sl.row=chr(cast(g2.r as int)) and sl.col=g2.c) as present from g2""")
 add("r17_core_sort",
-    lambda s, d: RE.core_sort(D.manifest(s, d).select("core")).limit(12),
-    f"with {CELLS}, {MANIFEST} select core from cores order by split_part(core,'-',1), cast(split_part(core,'-',2) as int) limit 12")
+    lambda s, d: RE.core_sort(D.manifest(s, d).select("core")).withColumn("place", F.monotonically_increasing_id()).withColumn(
+        "place", F.row_number().over(Window.orderBy("place"))),
+    f"with {CELLS}, {MANIFEST} select core, row_number() over (order by split_part(core,'-',1), cast(split_part(core,'-',2) as int)) as place from cores")
 
 # ---- sets
 

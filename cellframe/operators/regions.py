@@ -122,9 +122,9 @@ def nonzero_window_rescale(
     ).withColumns({"p_low": F.coalesce("p_low", F.lit(0.0)), "p_high": F.coalesce("p_high", F.lit(0.0))})
 
 
-def core_norm(pixels: DataFrame, stride: int = 64) -> DataFrame:
-    """99.9th percentile per core over the pixels of a stride grid, at least 1e-6."""
-    sample = pixels.filter((F.col("y") % stride == 0) & (F.col("x") % stride == 0))
+def core_norm(pixels: DataFrame, stride: int = 1) -> DataFrame:
+    """99.9th percentile per core over all pixels, or over those of a stride grid; at least 1e-6."""
+    sample = pixels if stride == 1 else pixels.filter((F.col("y") % stride == 0) & (F.col("x") % stride == 0))
     return group_quantiles(sample, ["basename"], "value", {"norm": 0.999}).select(
         "basename", F.greatest("norm", F.lit(1e-6)).alias("norm")
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_VERTICES = 32
 
 
 def ring_bbox(polys: DataFrame, ring: str) -> DataFrame:
@@ -71,8 +70,12 @@ def points_in_polygons(
     return hits.groupBy("basename", point_key).agg(F.min("__id").alias("polygon_id"))
 
 
-def cap_ring(polys: DataFrame, ring: str, height: Column, width: Column) -> DataFrame:
-    """Clamp a closed ring to the image, cut it to 32 vertices and close it again.
+def cap_ring(
+    polys: DataFrame, ring: str, height: Column, width: Column, max_vertices: int | None = None
+) -> DataFrame:
+    """Clamp a closed ring to the image and close it again.
+
+    With ``max_vertices``, a longer ring is thinned evenly around its whole outline.
 
     Adds ``n_verts``, ``degenerate`` (fewer than three distinct vertices) and the
     sorted, comma-separated ``flags``.
@@ -89,11 +92,17 @@ def cap_ring(polys: DataFrame, ring: str, height: Column, width: Column) -> Data
 
     border = F.exists(r, lambda p: (p[0] < 0) | (p[1] < 0) | (p[0] > width - 1) | (p[1] > height - 1))
     out = polys.withColumn("__border", border).withColumn("__r", close_ring(F.transform(r, clamp)))
-    long = F.size("__r") - 1 > MAX_VERTICES
-    out = out.withColumn("__truncated", long).withColumn(
-        "__r",
-        F.when(long, F.concat(F.slice("__r", 1, MAX_VERTICES), F.slice("__r", 1, 1))).otherwise(F.col("__r")),
-    )
+    n = F.size("__r") - 1
+    if max_vertices is None:
+        out = out.withColumn("__truncated", F.lit(False))
+    else:
+        every = F.transform(
+            F.sequence(F.lit(0), F.lit(max_vertices - 1)),
+            lambda i: F.get(F.col("__r"), F.floor(i * n / F.lit(max_vertices)).cast("int")),
+        )
+        out = out.withColumn("__truncated", n > max_vertices).withColumn(
+            "__r", F.when(n > max_vertices, F.concat(every, F.slice("__r", 1, 1))).otherwise(F.col("__r"))
+        )
     degenerate = F.size(F.array_distinct("__r")) < 3
     flags = F.array(
         F.when(F.col("__border"), F.lit("border")), F.when(degenerate, F.lit("degenerate")),
