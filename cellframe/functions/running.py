@@ -2,9 +2,12 @@
 
 A window over a whole group puts the group into one task. The helpers here
 order a group by value without that: ties are collapsed first, the values are
-cut into nested bins that adapt to the number and range of the values, only the
-few bin totals are accumulated per group, and the exact running sum is finished
-inside a bin.
+cut into nested bins of about equal count, whose edges come from a quantile
+sketch, only the few bin totals are accumulated per group, and the exact running
+sum is finished inside a bin. A bin's edges may be a little off; the sums are not.
+
+Joins with the statistics of a group carry a salt of the row in their key, so a
+group with a third of all rows is dealt over SALTS tasks (:func:`join_salted`).
 
 Group keys must not be null. All branches read the same tie table. Counting rows over every column keeps the
 table's shuffle identical in each branch, so Spark runs it once and reuses the
@@ -19,7 +22,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ROWS_PER_BIN = 4096
-MAX_BINS = 65536
+#: Edges per static bin, as LEVELS groups of LEVELS.
+LEVELS = 32
+#: Slices of a group in joins with its statistics.
+SALTS = 16
 
 
 def tie_totals(
@@ -49,24 +55,36 @@ def _coarse(x: Column) -> Column:
     ).cast("int")
 
 
+def join_salted(big: DataFrame, small: DataFrame, keys: Sequence[str], row: Column, how: str = "inner") -> DataFrame:
+    """Join a table with a few rows per key: the key carries a salt of ``row``, the few rows are repeated.
+
+    The salt stays in the column ``__salt``, for an aggregate by (keys, ``__salt``) that needs no
+    further shuffle; drop it after.
+    """
+    salted = big.withColumn("__salt", F.pmod(F.xxhash64(row), F.lit(SALTS)).cast("int"))
+    spread = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(spread, [*keys, "__salt"], how)
+
+
 def _binned(ties: DataFrame, by: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
-    """Number nested bins: the static one, then equal widths of about ROWS_PER_BIN rows inside it."""
+    """Number nested bins: the static one, then equal counts of about ROWS_PER_BIN rows inside it."""
     first = ties.withColumn("__b1", _coarse(F.col(value)))
     keys = [*by, "__b1"]
-    span = first.groupBy(*keys).agg(
-        F.min(value).alias("__lo"), F.max(value).alias("__hi"),
-        F.expr(f"count({', '.join(sums)})").alias("__rows"),
-    ).select(
-        *keys, "__lo",
-        F.least(F.ceil(F.col("__rows") / ROWS_PER_BIN), F.lit(MAX_BINS)).cast("double").alias("__bins"),
-        (F.col("__hi") - F.col("__lo")).alias("__width"),
+    n = LEVELS * LEVELS
+    edges = F.percentile_approx(value, [i / n for i in range(1, n)], 4 * n)
+    span = first.groupBy(*keys).agg(edges.alias("__edges"), F.expr(f"count({', '.join(sums)})").alias("__rows"))
+    # a static bin with few rows uses every k-th edge only
+    span = span.select(
+        *keys, "__edges", F.greatest(F.lit(1), F.floor(F.lit(n) / F.ceil(F.col("__rows") / ROWS_PER_BIN))).cast("int").alias("__each"),
+        F.transform(F.sequence(F.lit(LEVELS), F.lit(n - LEVELS), F.lit(LEVELS)), lambda i: F.get("__edges", i - 1)).alias("__tops"),
     )
-    position = F.try_divide(F.col(value) - F.col("__lo"), F.col("__width")) * F.col("__bins")
-    bounded = F.least(F.coalesce(F.floor(position).cast("double"), F.lit(0.0)), F.col("__bins") - 1)
+    below = lambda edges: F.size(F.filter(edges, lambda e: e < F.col(value)))
+    top = below(F.col("__tops"))
+    place = top * LEVELS + below(F.slice("__edges", top * LEVELS + 1, F.lit(LEVELS - 1)))
     return (
-        first.join(span, keys)
-        .withColumn("__b2", bounded.cast("int"))
-        .drop("__lo", "__width", "__bins")
+        join_salted(first, span, keys, F.col(value))
+        .withColumn("__b2", F.floor(place / F.col("__each")).cast("int"))
+        .drop("__edges", "__tops", "__each", "__salt")
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.functions.expr import nan_to_null, ratio0, stack_columns, truthy
-from cellframe.functions.running import group_quantiles
+from cellframe.functions.running import group_quantiles, join_salted
 from cellframe.operators.cluster import cluster_zscore
 from cellframe.operators.labels import otsu_cuts
 from cellframe.operators.normalize import checked_intensity
@@ -53,11 +53,12 @@ def audit_markers(
         })
     long = stack_columns(cells, ["basename"], rows)
     cuts = otsu_cuts(long, ["basename", "marker"], "v").drop("n")
-    counts = long.join(cuts, ["basename", "marker"]).groupBy("basename", "marker", "channel", "otsu").agg(
+    key = ["basename", "marker", "channel", "otsu"]
+    counts = join_salted(long, cuts, ["basename", "marker"], F.col("v")).groupBy(*key, "__salt").agg(
         F.count("*").alias("n_cells"),
         F.count_if("cons").alias("n_pos_consensus"),
         F.count_if(F.col("v") > F.col("otsu")).alias("n_pos_per_core_otsu"),
-    )
+    ).groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("n_cells", "n_pos_consensus", "n_pos_per_core_otsu")])
     cz = cluster_zscore(cells, cluster, zscore, panel)
     clusters = cz.groupBy("basename", "marker").agg(
         F.max("z").alias("max_z"),

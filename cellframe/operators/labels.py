@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.functions.expr import nan_to_null, ratio, stack_columns, truthy
-from cellframe.functions.running import group_quantiles
+from cellframe.functions.running import group_quantiles, join_salted
 from cellframe.panel import DEFAULT_PANEL, MarkerPanel, ch
 
 OTSU_BINS = 256
@@ -34,13 +34,15 @@ def otsu_cuts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     width = (F.col("__hi") - F.col("__lo")) / F.lit(float(OTSU_BINS))
     position = F.try_divide((F.col("__v") - F.col("__lo")) * F.lit(float(OTSU_BINS)), F.col("__hi") - F.col("__lo"))
     hist = (
-        clean.join(span, list(by))
+        join_salted(clean, span, list(by), F.col("__v"))
         .select(
-            *by, "n", "__lo", "__hi",
+            *by, "__salt", "n", "__lo", "__hi",
             F.least(F.coalesce(F.floor(position), F.lit(0)), F.lit(OTSU_BINS - 1)).alias("__bin"),
         )
+        .groupBy(*by, "__salt", "n", "__lo", "__hi", "__bin")
+        .agg(F.count("*").alias("__c"))
         .groupBy(*by, "n", "__lo", "__hi", "__bin")
-        .agg(F.count("*").cast("double").alias("__c"))
+        .agg(F.sum("__c").cast("double").alias("__c"))
         .withColumn("__x", F.col("__lo") + width * (F.col("__bin") + F.lit(0.5)))
     )
     whole = Window.partitionBy(*by)

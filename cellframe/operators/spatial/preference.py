@@ -13,12 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellframe.functions.expr import clip, ratio, stack_columns, two_sided_p
+from cellframe.functions.running import join_salted
 from cellframe.panel import BACKGROUND, PHENOTYPE_NAMES
 
 LABELS = (*PHENOTYPE_NAMES, BACKGROUND)
+# The hotspot cut, the guard of the deviation and the summary's columns, in order.
 HOTSPOT_Z = 1.96
 EPS = 1e-9
-
 SUMMARY_COLUMNS = (
     "basename", "phenotype_a", "phenotype_b", "observed", "expected", "variance", "z",
     "p_two_sided", "obs_over_exp", "hotspot_overlap_iou", "n_a", "n_b", "n_total", "n_edges",
@@ -139,7 +140,7 @@ def _z_flags(edges: DataFrame, labels: Sequence[str], z: float) -> DataFrame:
         *[F.avg(f"local_frac_{n}").alias(f"__m_{n}") for n in labels],
         *[F.stddev_pop(f"local_frac_{n}").alias(f"__s_{n}") for n in labels],
     )
-    scored = local.join(stats, "basename")
+    scored = join_salted(local, stats, ["basename"], F.col("src_cell_id"))
     zs = {
         f"z_{n}": (F.col(f"local_frac_{n}") - F.col(f"__m_{n}")) / (F.col(f"__s_{n}") + F.lit(EPS))
         for n in labels
@@ -172,7 +173,8 @@ def hotspot_overlap(
         F.count_if(hot[labels[i]] & hot[labels[j]]).alias(f"__b_{i}_{j}")
         for i, j in combinations(range(len(labels)), 2)
     ]
-    counts = flags.groupBy("basename").agg(*aggs)
+    counts = flags.groupBy("basename", "__salt").agg(*aggs)
+    counts = counts.groupBy("basename").agg(*[F.sum(c).alias(c) for c in counts.columns if c not in ("basename", "__salt")])
     rows = []
     for i, a in enumerate(labels):
         for j, b in enumerate(labels):
