@@ -301,22 +301,50 @@ add("t2_top_by_abs",
     lambda s, d: SM.top_by_abs(
         D.cells(s, d).withColumn("gap", F.col(ch(27, "pred", MODEL)) - F.col("ch27_pos").cast("int")).select("basename", "cell_id", "gap"), "gap", 20, ["cell_id"]),
     f"with {CELLS} select basename, cell_id, {r6('gap', 'gap')} from (select *, ch27_pred_{MODEL}-cast(ch27_pos as int) as gap from cells) order by abs(gap) desc, cell_id limit 20")
-add("t3_sample_rows", lambda s, d: SM.sample_rows(D.cells(s, d).select("basename", "cell_id"), 500, 3))
-add("t4_epoch_sample", lambda s, d: SM.epoch_sample(D.cells(s, d).select("basename", "cell_id"), 500, 3, 4))
+def _draw(seed, *keys):
+    return f"md5(concat_ws('|', {', '.join(keys)}, '{seed}'))"
+
+
+add("t3_sample_rows", lambda s, d: SM.sample_rows(D.cells(s, d).select("basename", "cell_id"), 500, 3),
+    f"with {CELLS} select basename, cell_id from cells order by {_draw(3, 'basename', 'cell_id')}, basename, cell_id limit 500")
+add("t4_epoch_sample", lambda s, d: SM.epoch_sample(D.cells(s, d).select("basename", "cell_id"), 500, 3, 4),
+    f"with {CELLS} select basename, cell_id from cells order by {_draw(7, 'basename', 'cell_id')}, basename, cell_id limit 500")
+_v3 = D.votes_sql(3)
 add("t5_stratified_sample",
     lambda s, d: SM.stratified_sample(
-        L.disagreement_strata(D.cells(s, d), "CD45", D.TAUS[3], P).select("basename", "cell_id", "stratum"), "stratum", 40, 5))
+        L.disagreement_strata(D.cells(s, d), "CD45", D.TAUS[3], P).select("basename", "cell_id", "stratum"), "stratum", 40, 5),
+    f"""with {CELLS}, t as (select basename, cell_id, case when {D.total_sql(3)}=3 then 'all_three_pos' when {D.total_sql(3)}=0 then 'all_three_neg'
+    when {D.total_sql(3)}=2 then 'split_decision_2of3_pos' when {_v3['gmm']} then 'gmm_only_pos' when {_v3['otsu']} then 'otsu_only_pos'
+    else 'quantile_only_pos' end as stratum from cells), r as (select *, row_number() over (partition by stratum order by {_draw(5, 'basename', 'cell_id')}, basename, cell_id) as rn from t)
+    select basename, cell_id, stratum from r where rn <= 40""")
 
 
-def t6(spark, d):
+def t6(spark, d, n=60):
     from catalog.table_queries import tile_pixels
     from cellframe.operators.regions import positive_tiles
 
-    tiles = positive_tiles(tile_pixels(spark, d), 9.0, 0.6)
-    return SM.weighted_positive_sample(tiles, 60, 0.5, {c: 1.0 + i for i, c in enumerate(P.channels)}, 11, ["basename", "tile_y", "tile_x"])
+    tiles = positive_tiles(tile_pixels(spark, d), 9.0, 0.6).select("basename", "tile_y", "tile_x", "positive", "channel")
+    return SM.weighted_positive_sample(tiles, n, 0.5, {c: float(i) for i, c in enumerate(P.channels)}, 11, ["basename", "tile_y", "tile_x"])
+
+
+def t6_sql(n):
+    """Positives by weighted draw, negatives and weightless positives by plain draw; each side fills up the other."""
+    from catalog.table_queries import _tp
+
+    u = f"((('0x' || substr({_draw(11, 'basename', 'tile_y', 'tile_x')}, 1, 13))::bigint::double + 0.5) / {float(1 << 52)})"
+    w = "case channel " + " ".join(f"when {c} then {float(i)}" for i, c in enumerate(P.channels)) + " end"
+    return f"""with {CELLS}, {_tp}, sh as (select basename, tile_y, tile_x, channel, avg(cast(value > 9.0 as int)) as share from tp group by 1,2,3,4),
+    bt as (select basename, tile_y, tile_x, bool_or(share >= 0.6) as positive, arg_max(channel, (share, channel)) as channel from sh group by 1,2,3),
+    kd as (select *, case when not positive then 1 when {w} > 0 then 0 else 2 end as kind, -ln({u}) / case when positive and {w} > 0 then {w} else 1.0 end as draw from bt),
+    hv as (select count(*) filter (kind = 0) as n0, count(*) filter (kind = 1) as n1, count(*) filter (kind = 2) as n2 from kd),
+    tk as (select least(n0, greatest({round(n * 0.5)}, {n} - n1)) as k0, n1, n2 from hv),
+    tl as (select k0, least(n1, {n} - k0) as k1, least(n2, {n} - k0 - least(n1, {n} - k0)) as k2 from tk),
+    rk as (select *, row_number() over (partition by kind order by draw, basename, tile_y, tile_x) as rn from kd)
+    select basename, tile_y, tile_x, positive, cast(channel as bigint) as channel from rk, tl where rn <= case kind when 0 then k0 when 1 then k1 else k2 end"""
 
 
-add("t6_weighted_positive_sample", t6)
+add("t6_weighted_positive_sample", t6, t6_sql(60))
+add("t6_short_of_positives", lambda s, d: t6(s, d, 700), t6_sql(700))
 
 # ---- exports
 

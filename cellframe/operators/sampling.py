@@ -1,6 +1,6 @@
 """Deterministic sampling, heads and permutations.
 
-Random order is a hash of the row key and a seed, so a result does not depend
+Random order is a digest of the row key and a seed, so a result does not depend
 on partitioning and repeats after a lost executor.
 """
 
@@ -15,18 +15,44 @@ from cellframe.panel import CELL_KEY
 
 
 SLICES = 64
+#: Ranges of the order that :func:`smallest` counts.
+RANGES = 1 << 16
+
+
+def digest(seed: int, keys: Sequence[str]) -> Column:
+    """The random order as text: MD5 of the key's parts and the seed, which any engine can repeat."""
+    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(int(seed)))))
 
 
 def _order(seed: int, keys: Sequence[str]) -> list[Column]:
-    return [F.xxhash64(*keys, F.lit(int(seed))), *[F.col(k) for k in keys]]
+    return [digest(seed, keys), *[F.col(k) for k in keys]]
 
 
 def uniform(seed: int, keys: Sequence[str]) -> Column:
     """A number in (0, 1) from the key and the seed."""
-    bits = F.pmod(F.xxhash64(*keys, F.lit(int(seed))), F.lit(1 << 52))
+    bits = F.conv(F.substring(digest(seed, keys), 1, 13), 16, 10).cast("long")
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
+def smallest(df: DataFrame, n: int, order: Sequence[Column], part: Column) -> DataFrame:
+    """The n first rows in an order, all if there are fewer, without bringing n rows together.
+
+    ``part`` is a number from 0 to RANGES - 1 that never falls along the order. The rows of each part are
+    counted, lower parts are kept whole, and only the part that holds the n-th row is ranked.
+    """
+    marked = df.withColumn("__part", part.cast("int"))
+    counts = marked.groupBy("__part").agg(F.count("*").alias("__n"))
+    # RANGES rows at most
+    upto = F.sum("__n").over(Window.orderBy("__part"))
+    edge = counts.select("__part", "__n", upto.alias("__upto")).where(F.col("__upto") - F.col("__n") < n)
+    edge = edge.agg(F.max("__part").alias("__last"), F.max(F.col("__upto") - F.col("__n")).alias("__before"))
+    kept = marked.join(F.broadcast(edge)).where(F.col("__part") <= F.col("__last"))  # edge is one row
+    last = F.col("__part") == F.col("__last")
+    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    ranked = kept.where(last).withColumn("__rank", rank).where(F.col("__rank") + F.col("__before") <= n)
+    return kept.where(~last).select(*df.columns).unionByName(ranked.select(*df.columns))
+
+
 def head(df: DataFrame, basename: str | None, limit: int, columns: Sequence[str] | None = None) -> DataFrame:
     """The first rows of a core by cell id."""
     rows = df if basename is None else df.filter(F.col("basename") == basename)
@@ -41,11 +67,11 @@ def top_by_abs(df: DataFrame, column: str, n: int, ties: Sequence[str] = ()) ->
 
 
 def sample_rows(df: DataFrame, n: int, seed: int, keys: Sequence[str] = CELL_KEY) -> DataFrame:
-    """n rows without replacement, all of them if there are fewer or n is not positive.
-
-    A top-k by hash: every partition keeps n rows at most.
-    """
-    return df if n <= 0 else df.orderBy(*_order(seed, keys)).limit(int(n))
+    """n rows without replacement, all of them if there are fewer or n is not positive."""
+    if n <= 0:
+        return df
+    part = F.conv(F.substring(digest(seed, keys), 1, 4), 16, 10)
+    return smallest(df, int(n), _order(seed, keys), part)
 
 
 def epoch_sample(
@@ -74,18 +100,29 @@ def weighted_positive_sample(
     tiles: DataFrame, n: int, positive_fraction: float, weights: Mapping[str, float], seed: int,
     keys: Sequence[str], positive: str = "positive", channel: str = "channel",
 ) -> DataFrame:
-    """n tiles of which a set share is positive, a positive one drawn in proportion to its channel's weight."""
-    want = int(round(n * positive_fraction))
+    """n tiles of which a set share is positive, a positive one drawn in proportion to its channel's weight.
+
+    Where either side runs short the other fills up, positives without weight last, so n rows come back
+    unless the table has fewer.
+    """
     weight = F.lit(0.0)
     for name, value in weights.items():
         weight = F.when(F.col(channel) == name, F.lit(float(value))).otherwise(weight)
-    key = -F.log(uniform(seed, keys))
-    chosen = (
-        tiles.filter(F.col(positive)).withColumn("__w", weight).filter("__w > 0")
-        .orderBy(key / F.col("__w"), *keys).limit(want).drop("__w")
-    )
-    rest = tiles.filter(~F.col(positive)).orderBy(key, *keys).limit(n - want)
-    return chosen.unionByName(rest)
+    draw = -F.log(uniform(seed, keys))
+    rows = tiles.withColumn("__w", F.when(F.coalesce(F.col(positive), F.lit(False)), weight)).withColumn(
+        "__kind", F.when(F.col("__w") > 0, 0).when(F.col("__w").isNull(), 1).otherwise(2)
+    ).withColumn("__key", F.when(F.col("__kind") == 0, draw / F.col("__w")).otherwise(draw))
+    count = rows.groupBy("__kind").count()
+    have = {r["__kind"]: r["count"] for r in count.collect()}  # three rows at most
+    heavy = min(have.get(0, 0), max(int(round(n * positive_fraction)), n - have.get(1, 0)))
+    plain = min(have.get(1, 0), n - heavy)
+    # a draw is exponential: its logarithm spreads evenly enough over the parts
+    part = F.greatest(F.lit(0), F.least(F.lit(RANGES - 1), F.floor((F.log("__key") + F.lit(40.0)) * F.lit(800.0))))
+    out = None
+    for kind, many in enumerate((heavy, plain, min(have.get(2, 0), n - heavy - plain))):
+        chosen = smallest(rows.where(F.col("__kind") == kind), many, [F.col("__key"), *[F.col(k) for k in keys]], part)
+        out = chosen if out is None else out.unionByName(chosen)
+    return out.select(*tiles.columns)
 
 
 def shuffle_within_core(
