@@ -38,29 +38,27 @@ FIELDS = 1 | 1 << FIELD | 1 << 2 * FIELD
 
 def word_hashes(text: str = "text") -> Column:
     """The hashes of a text's words in order."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    bare = F.btrim(F.lower(F.coalesce(text, F.lit(""))), F.lit(" \t\n\x0b\x0c\r"))
+    return F.when(bare != "", F.transform(F.split(bare, "[\\x20\\x09-\\x0D]+"), lambda w: F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
 
 
 def shingles(words: Column) -> Column:
     """Hashes of the consecutive SHINGLE words; of all words if there are fewer; none of none."""
     n = F.size(words)
-    many = F.transform(F.sequence(F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1))), lambda i: F.xxhash64(*[F.try_element_at(words, i + k) for k in range(SHINGLE)]))
+    many = F.transform(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(SHINGLE)]))
     return F.when(n > 0, many).otherwise(F.array().cast("array<bigint>"))
 
 
-def simhash(hashes: Column) -> Column:
-    """The fingerprint of shingle hashes: a bit is set if over half of them have it."""
-    n = F.size(hashes)
-    out = F.lit(0).cast("long")
-    adds = lambda k: lambda s, h: s + F.shiftrightunsigned(h, k).bitwiseAND(F.lit(FIELDS))
-    for k in range(FIELD + 1):
-        total = F.aggregate(hashes, F.lit(0).cast("long"), adds(k))
-        for j in range(3) if k < FIELD else (2,):
-            bit = k + FIELD * j
-            count = F.shiftrightunsigned(total, FIELD * j).bitwiseAND(F.lit((1 << FIELD) - 1))
-            out = out.bitwiseOR(F.when(count * 2 > n, F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
-    return out
+def fingerprinted(hashes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and fp: a bit is set if over half of the rows' hashes ``h`` have it."""
+    counters = [F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(FIELDS))).alias(f"s{k}") for k in range(FIELD + 1)]
+    summed = hashes.groupBy(*keys).agg(F.count("*").alias("n"), *counters)
+    fp = F.lit(0).cast("long")
+    for bit in range(64):  # bit 63 is the last counter of the last sum
+        k, j = (bit % FIELD, bit // FIELD) if bit < 3 * FIELD else (FIELD, 2)
+        count = F.shiftrightunsigned(f"s{k}", FIELD * j).bitwiseAND(F.lit((1 << FIELD) - 1))
+        fp = fp.bitwiseOR(F.when(count * 2 > F.col("n"), F.lit(1 << bit if bit < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long")))
+    return summed.select(*keys, fp.alias("fp"))
 
 
 def blocks(fp: Column) -> Column:
@@ -69,24 +67,17 @@ def blocks(fp: Column) -> Column:
     return F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value")) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Weighted Jaccard of two arrays of hashes."""
-    count = lambda x, h: F.size(F.filter(x, lambda y: y == h))
-    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda s, h: s + F.least(count(a, h), count(b, h)))
-    return both / (F.size(a) + F.size(b) - both)
-
-
 def prepared(items: DataFrame) -> DataFrame:
-    """item_id, n_words, shingles, fp of every item with words."""
+    """item_id, item_no, n_words, size and shingles of every item with words; item_no tells items with other texts apart."""
     rows = items.where(F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), word_hashes().alias("words"))
     rows = rows.where(F.size("words") > 0).distinct()
     rows = rows.select("item_id", F.size("words").alias("n_words"), shingles(F.col("words")).alias("item_shingles"))
-    return rows.withColumn("item_fp", simhash(F.col("item_shingles"))).withColumn("item_no", F.xxhash64("item_id", "item_shingles"))
+    return rows.withColumn("size", F.size("item_shingles")).withColumn("item_no", F.xxhash64("item_id", "item_shingles"))
 
 
 def anchors(items: DataFrame) -> DataFrame:
     """item_no, n_words, width and the rarest shingles of each item, which weigh just over 1 - SIMILAR of it."""
-    each = items.select("item_no", "n_words", F.size("item_shingles").alias("size"), F.explode("item_shingles").alias("h")).groupBy("item_no", "n_words", "size", "h").agg(F.count("*").alias("weight"))
+    each = items.select("item_no", "n_words", "size", F.explode("item_shingles").alias("h")).groupBy("item_no", "n_words", "size", "h").agg(F.count("*").alias("weight"))
     common = each.groupBy("h").agg(F.count("*").alias("items"))
     listed = each.join(common, "h").groupBy("item_no", "n_words", "size").agg(F.sort_array(F.collect_list(F.struct("items", "h", "weight"))).alias("list"))
     # a shingle is an anchor while those before it weigh at most 1 - SIMILAR of all
@@ -109,20 +100,28 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     span = F.sequence(F.least(F.greatest(F.lit(0), F.col("place") - (F.col("size") - 1)), latest), F.least(F.col("place"), latest))
     windows = cut(places.join(held(rare), "h").select(*key, "item_no", "n_words", "size", F.explode(span).alias("start")).distinct())
     # the texts with a place, with their shingles
-    found = texts.join(windows.select(*key).distinct(), key, "left_semi").dropDuplicates(key).select(*key, shingles(word_hashes()).alias("all"))
-    marked = windows.join(found, key).select(*key, "item_no", "start", "n_words", F.slice("all", F.col("start") + 1, F.col("size")).alias("window")).withColumn("fp", simhash(F.col("window")))
-    by_block = items.select("item_no", "item_fp", F.explode(blocks(F.col("item_fp"))).alias("b")).select("item_no", "item_fp", "b.*")
+    found = texts.join(windows.select(*key).distinct(), key, "left_semi").dropDuplicates(key).select(*key, F.get(F.transform(F.array(word_hashes()), shingles), 0).alias("all"))  # binds the words once
+    at = [*key, "item_no", "start", "n_words", "size"]
+    each = lambda rows: rows.join(found, key).select(*at, F.explode(F.slice("all", F.col("start") + 1, F.col("size"))).alias("h"))
+    marked = cut(fingerprinted(each(windows), at))  # the fingerprint is read in many places
+    item_each = items.select("item_no", F.explode("item_shingles").alias("h"))
+    item_fps = cut(fingerprinted(item_each, ["item_no"]).withColumnRenamed("fp", "item_fp"))
+    by_block = item_fps.select("item_no", "item_fp", F.explode(blocks(F.col("item_fp"))).alias("b")).select("item_no", "item_fp", "b.*")
+    # of the blocks in which a window meets its item, the first counts
+    edges = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
+    differ = F.col("fp").bitwiseXOR(F.col("item_fp"))
+    first = F.coalesce(*[F.when(F.shiftrightunsigned(differ, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) == 0, F.lit(i)) for i, (a, b) in enumerate(zip(edges, edges[1:]))])
     near = (
-        marked.select("*", F.explode(blocks(F.col("fp"))).alias("b")).select(*key, "item_no", "start", "n_words", "window", "fp", "b.*")
-        .join(held(by_block), ["item_no", "block", "value"])
-        .withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))))
-        .where(F.col("distance") <= RADIUS)
-        .withColumn("first", F.expr("""array_position(transform(sequence(0, size(ends) - 2), i ->
-            shiftrightunsigned(shiftleft(fp ^ item_fp, 64 - ends[i + 1]), 64 - ends[i + 1] + ends[i]) = 0), true) - 1""".replace("ends", "array(" + ", ".join(str(64 * i // BLOCKS) for i in range(BLOCKS + 1)) + ")")))
-        .where(F.col("block") == F.col("first"))  # a window that meets its item in several blocks counts once
+        marked.select("*", F.explode(blocks(F.col("fp"))).alias("b")).select(*at, "fp", "b.*").join(held(by_block), ["item_no", "block", "value"])
+        .withColumn("distance", F.bit_count(differ)).where((F.col("distance") <= RADIUS) & (F.col("block") == first)).select(*at, "distance")
     )
-    exact = near.join(held(items.select("item_no", "item_id", "item_shingles")), "item_no").withColumn("similarity", similarity(F.col("window"), F.col("item_shingles")))
-    best = exact.where(F.col("similarity") >= SIMILAR).groupBy(*key, "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words", "distance")).alias("b"))
+    near = cut(near)
+    weights = item_each.groupBy("item_no", "h").agg(F.count("*").alias("weight"))
+    counted = each(near.drop("distance")).groupBy(*at, "h").agg(F.count("*").alias("times"))
+    both = counted.join(held(weights), ["item_no", "h"], "left").groupBy(*at).agg(F.sum(F.least("times", F.coalesce("weight", F.lit(0)))).alias("both"), F.sum("times").alias("all"))
+    exact = both.withColumn("similarity", F.col("both") / (F.col("all") + F.col("size") - F.col("both"))).where(F.col("similarity") >= SIMILAR)
+    exact = exact.join(near, at).join(held(items.select("item_no", "item_id")), "item_no")
+    best = exact.groupBy(*key, "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words", "distance")).alias("b"))
     owners = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.length(F.coalesce("text", F.lit(""))).alias("n_chars"))
     wide = lambda c: F.col(c).cast("long").alias(c.split(".")[-1])
     return owners.join(best, key).select("doc_id", "text_hash", "n_chars", "item_id", (-F.col("b.back")).cast("long").alias("start"), wide("b.n_words"), wide("b.distance"), "b.similarity")
