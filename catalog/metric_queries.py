@@ -20,6 +20,7 @@ from cellframe.operators import rules as R
 from cellframe.operators import sampling as SM
 from cellframe.panel import ch, ph
 from cellframe.plans import bundle as PL
+from cellframe.session import scratch_folder
 from cellframe.sources import sinks, tables
 
 PN = P.phenotypes
@@ -256,16 +257,15 @@ add("w7_global_fill",
 
 
 def w5(spark, d):
-    """The multiset of a core's values survives the permutation; the keys stay where they were."""
-    c = D.cells(spark, d).select("basename", "cell_id", "centroid_x", ch(27, "pred", MODEL), "ch27_pos")
-    return SM.shuffle_within_core(c, [ch(27, "pred", MODEL), "ch27_pos"], 7).groupBy("basename").agg(
-        F.count("*").alias("n"), F.sum("centroid_x").alias("sx"), F.sum("cell_id").alias("ids"),
-        F.round(F.sum(ch(27, "pred", MODEL)), 3).alias("sp"), F.count_if("ch27_pos").alias("n_pos"))
+    """Every key once with what stayed, and every moved pair of values once, row by row."""
+    c = D.cells(spark, d).select("basename", "cell_id", "centroid_x", ch(27, "pred", MODEL), F.col("cell_id").alias("was"))
+    moved = SM.shuffle_within_core(c, [ch(27, "pred", MODEL), "was"], 7)
+    stayed = moved.select("basename", F.lit("stayed").alias("kind"), F.col("cell_id").alias("id"), F.col("centroid_x").cast("double").alias("value"))
+    return stayed.unionByName(moved.select("basename", F.lit("moved").alias("kind"), F.col("was").alias("id"), F.col(ch(27, "pred", MODEL)).alias("value")))
 
 
 add("w5_shuffle_within_core", w5,
-    f"with {CELLS} select basename, count(*) as n, cast(sum(centroid_x) as bigint) as sx, cast(sum(cell_id) as bigint) as ids, "
-    f"round(sum(ch27_pred_{MODEL}), 3) as sp, cast(sum(cast(ch27_pos as int)) as bigint) as n_pos from cells group by 1")
+    f"with {CELLS} select basename, 'stayed' as kind, cell_id as id, {r6('centroid_x', 'value')} from cells union all select basename, 'moved', cell_id, {r6(f'ch27_pred_{MODEL}', 'value')} from cells")
 
 # ---- clustering and calibration
 
@@ -348,12 +348,30 @@ add("t6_short_of_positives", lambda s, d: t6(s, d, 700), t6_sql(700))
 
 # ---- exports
 
-add("k10_metric_rows",
-    lambda s, d: sinks.union_rows([
-        M.marker_metrics(D.cells(s, d), MODEL, P).select("name", "ap"),
-        M.phenotype_metrics(D.scored(s, d), MODEL, P).select("name", "ap", "auc")]),
+
+def k10(spark, d):
+    """Metric rows with different columns written as one CSV and read back."""
+    path = f"{scratch_folder(spark, 'metrics')}/metrics.csv"
+    sinks.write_metric_rows([
+        M.marker_metrics(D.cells(spark, d), MODEL, P).select("name", "ap"),
+        M.phenotype_metrics(D.scored(spark, d), MODEL, P).select("name", "ap", "auc")], path)
+    return spark.read.option("header", True).schema("name string, ap double, auc double").csv(path)
+
+
+add("k10_metric_rows", k10,
     f"with {SCORED}, {long_sql()}, {pr_sql(KEY)} select name, {r6(_AP, 'ap')}, case when kind='phenotype' then {r6(_AUC)} end as auc from pr group by {_k}")
-add("k11_export_matrix_var", lambda s, d: sinks.export_matrix(D.scored(s, d), MODEL, P)["var"],
+def matrix(spark, d, name):
+    """One table of the written matrix folder."""
+    folder = scratch_folder(spark, "matrix")
+    sinks.write_matrix(D.scored(spark, d), MODEL, folder, P)
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+add("k11_export_matrix_obs", lambda s, d: matrix(s, d, "obs").select("basename", "cell_id", "centroid_x", "centroid_y", *[ph(n, "label") for n in PN], *[ph(n, "call", MODEL) for n in PN]),
+    f"with {SCORED} select basename, cell_id, centroid_x, centroid_y, " + ", ".join(f"cast(phenotype_{n}_label as bigint) as phenotype_{n}_label, cast(phenotype_{n}_call_{MODEL} as bigint) as phenotype_{n}_call_{MODEL}" for n in PN) + " from scored")
+add("k11_export_matrix_layer", lambda s, d: matrix(s, d, f"pred_{MODEL}"),
+    f"with {CELLS} " + " union all ".join(f"select basename, cell_id, cast({c} as bigint) as channel, round(cast(cast({cc(c)}_pred_{MODEL} as float) as double), 6) + 0.0 as value from cells" for c in P.channels))
+add("k11_export_matrix_var", lambda s, d: matrix(s, d, "var"),
     f"with {CELLS} " + " union all ".join(f"select cast({i} as bigint) as position, cast({c} as bigint) as channel, '{n}' as name, {r6(f'avg(cast({cc(c)}_pos as int))', 'prevalence')} from cells" for i, (n, c) in enumerate(P.pairs)))
-add("k11_export_matrix_x", lambda s, d: sinks.export_matrix(D.scored(s, d), MODEL, P)["X"],
+add("k11_export_matrix_x", lambda s, d: matrix(s, d, "X"),
     f"with {CELLS} " + " union all ".join(f"select basename, cell_id, cast({c} as bigint) as channel, cast(cast({cc(c)}_pos as int) as double) as value from cells" for c in P.channels))

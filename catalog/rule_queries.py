@@ -9,6 +9,7 @@ from catalog.derived import CELLS, MANIFEST, MODEL, P, SCORED, THR, TYPED, cc, r
 from catalog.registry import add
 from cellframe.operators import rules as R
 from cellframe.panel import MarkerPanel, PhenotypeRule, ch, ph
+from cellframe.session import scratch_folder
 from cellframe.sources import listing, tables
 
 PN = P.phenotypes
@@ -21,7 +22,14 @@ def calls(names):
 # ---- reads
 
 def s1(spark, d):
-    return D.cells(spark, d).select("basename", "cell_id", "centroid_x", "centroid_y", *[f"{cc(c)}_true" for c in P.channels])
+    """Half of the cells written as CSV, half as Parquet, and both read back."""
+    c = D.cells(spark, d).select("basename", "cell_id", "centroid_x", "centroid_y", *[f"{cc(c)}_true" for c in P.channels])
+    folder = scratch_folder(spark, "cells")
+    c.where("cell_id % 2 = 0").write.option("header", True).csv(f"{folder}/cells.csv")
+    c.where("cell_id % 2 = 1").write.parquet(f"{folder}/cells.parquet")
+    return tables.read_cells(spark, f"{folder}/cells.csv", P).unionByName(tables.read_cells(spark, f"{folder}/cells.parquet", P)).select(
+        "basename", F.col("cell_id").cast("long").alias("cell_id"), *[F.col(x).cast("long").alias(x) for x in ("centroid_x", "centroid_y")],
+        *[F.col(f"{cc(c)}_true").cast("double").alias(f"{cc(c)}_true") for c in P.channels])
 
 
 add("s1_read_cells", s1, f"with {CELLS} select basename, cell_id, centroid_x, centroid_y, "

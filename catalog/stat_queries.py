@@ -16,6 +16,7 @@ from cellframe.operators import normalize as N
 from cellframe.operators import registry as RG
 from cellframe.panel import ch, ph
 from cellframe.plans import bundle as PL
+from cellframe.session import scratch_folder
 from cellframe.sources import sinks, tables
 
 PN = P.phenotypes
@@ -447,7 +448,17 @@ _acols = ("basename, marker, cast(channel as bigint) as channel, n_cells, cast(n
                                          "cohort_gmm_threshold_log1p", "cohort_otsu_threshold_log1p", "cohort_quantile_threshold_log1p",
                                          "max_leiden_cluster_zscore", "disagreement_score")) + ", suspicious_zero_consensus")
 add("d20_audit_markers", lambda s, d: audit(s, d).drop("positive_cluster_ids"), f"with {AUDIT} select {_acols} from audit")
-add("k4_audit_csv_rows", lambda s, d: sinks.audit_csv_rows(audit(s, d), P), f"with {AUDIT} select {_acols} from audit")
+
+
+def k4(spark, d):
+    """The audit written as CSV and read back by the types of its rows."""
+    rows = audit(spark, d)
+    path = f"{scratch_folder(spark, 'audit')}/audit.csv"
+    sinks.write_audit_csv(rows, path, P)
+    return spark.read.option("header", True).schema(sinks.audit_csv_rows(rows, P).schema).csv(path)
+
+
+add("k4_audit_csv_rows", k4, f"with {AUDIT} select {_acols} from audit")
 _lm = "al as (" + " union all ".join(f"select marker, '{m}' as measure, {m} as value from audit" for m in A.MEASURES) + ")"
 add("d21_audit_summary", lambda s, d: A.audit_summary(audit(s, d)),
     f"with {AUDIT}, {_lm} select marker, measure, count(*) as n_cores, {r6('avg(value)', 'mean')}, {r6('stddev_pop(value)', 'std')}, "

@@ -372,8 +372,10 @@ def features(spark, d):
 
 
 def k8(spark, d):
-    f = sinks.geojson_features(features(spark, d))
-    return f.select(
+    path = f"{scratch_folder(spark, 'geojson')}/features"
+    sinks.export_geojson(features(spark, d), path)
+    f = spark.read.schema("value string, basename string").text(path).select("basename", F.col("value").alias("feature"))
+    return f.withColumn("cell_id", F.get_json_object("feature", "$.id").cast("long")).select(
         "basename", "cell_id", F.get_json_object("feature", "$.type").alias("type"),
         F.get_json_object("feature", "$.geometry.coordinates[0][0][0]").cast("double").alias("x0"),
         F.get_json_object("feature", "$.properties.pred_prob").cast("double").alias("pred_prob"),
