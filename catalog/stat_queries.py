@@ -14,6 +14,7 @@ from cellframe.operators import joins as J
 from cellframe.operators import labels as L
 from cellframe.operators import normalize as N
 from cellframe.operators import registry as RG
+from cellframe.operators import rules as R
 from cellframe.panel import ch, ph
 from cellframe.plans import bundle as PL
 from cellframe.session import scratch_folder
@@ -90,6 +91,24 @@ add("d1_core_composition", lambda s, d: C.core_composition(D.scored(s, d), [MODE
 add("j4_core_summary", summary,
     f"with {COMP}, {MANIFEST} select c.basename, c.tma, c.core, c.tissue, c.split, c.rigid_D_px, comp.* exclude(basename), "
     f"'{MODEL}' as model_id from cores c left join comp using (basename)")
+
+
+def bundle(spark, d):
+    from cellframe.plans.bundle import build_cell_tables
+
+    cells = D.cells(spark, d)
+    scores = R.phenotype_scores(R.phenotype_labels(cells, P), MODEL, P)
+    return build_cell_tables(scores, D.consensus(spark, d), D.manifest(spark, d).drop("tissue", "tma"), THR, MODEL, "train", P)
+
+
+_bundle_calls = [f"phenotype_{n}_call_{MODEL}" for n in P.phenotypes] + [f"{cc(c)}_call_{MODEL}" for c in P.channels]
+add("j4_bundle_cells",
+    lambda s, d: bundle(s, d).cells.select("basename", "cell_id", *[ch(c, "pos_consensus") for c in P.channels], *_bundle_calls),
+    f"with {SCORED}, {MANIFEST} select s.basename, s.cell_id, " + ", ".join(f"{D.total_sql(c)} >= 2 as {cc(c)}_pos_consensus" for c in P.channels)
+    + ", " + ", ".join(f"cast({c} as bigint) as {c}" for c in _bundle_calls) + " from scored s join cores using (basename) where split = 'train'")
+add("j4_bundle_cores", lambda s, d: bundle(s, d).cores,
+    f"with {COMP}, {MANIFEST} select c.basename, c.core, c.split, c.rigid_D_px, c.tma, c.tissue, c.k, c.height, c.width, c.status, comp.* exclude(basename), "
+    f"'{MODEL}' as model_id from cores c left join comp using (basename) where c.split = 'train'")
 POLY = f"{CELLS}, {D.POLYGONS}"
 add("j5_cells_with_polygons",
     lambda s, d: J.cells_with_polygons(D.cells(s, d).select("basename", "cell_id", "ch27_true"), D.polygons(s, d)).select(

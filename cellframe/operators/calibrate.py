@@ -55,13 +55,13 @@ def calibrate_markers(
     fit = cut(sample_rows(train, max_fit_cells, seed).select("basename", "cell_id", *columns, *labels))
     scaler = _scaler(fit, columns)
     stats = fit.agg(
-        F.count("*").alias("n"), *[F.count_if(truthy(F.col(c))).alias(f"p{i}") for i, c in enumerate(labels)]
+        *[F.count(truthy(F.col(c))).alias(f"n{i}") for i, c in enumerate(labels)],
+        *[F.count_if(truthy(F.col(c))).alias(f"p{i}") for i, c in enumerate(labels)],
     ).first()
     design = _features(fit, scaler).cache()
     outs = [_features(train, scaler), _features(evaluation, scaler)]
-    n = stats["n"]
     for i, (c, label) in enumerate(zip(panel.channels, labels)):
-        pos = stats[f"p{i}"]
+        n, pos = stats[f"n{i}"], stats[f"p{i}"]  # of the cells whose label is known
         if pos in (0, n):
             outs = [o.withColumn(ch(c, "prob_logreg"), F.lit(float(pos > 0))) for o in outs]
             continue

@@ -14,7 +14,7 @@ from cellframe.operators.spatial.knn import neighbour_edges
 from cellframe.operators.spatial.preference import (
     LABELS, cozi, hotspot_overlap, observed_over_expected, spatial_summary_join,
 )
-from cellframe.panel import CELL_KEY, DEFAULT_PANEL, MarkerPanel, Thresholds
+from cellframe.panel import BACKGROUND, CELL_KEY, DEFAULT_PANEL, MarkerPanel, Thresholds
 from cellframe.session import cut
 from cellframe.sources.tables import Bundle
 
@@ -76,14 +76,20 @@ def model_entry(rows: DataFrame, model: str) -> DataFrame:
 
 def spatial_summary(
     cells: DataFrame, model: str, method: str = "knn", k: int = 16, radius: float = 98.0,
-    labels: Sequence[str] = LABELS, panel: MarkerPanel = DEFAULT_PANEL,
+    labels: Sequence[str] | None = None, panel: MarkerPanel = DEFAULT_PANEL,
 ) -> tuple[DataFrame, DataFrame]:
-    """The annotated edge table and the neighbour-preference summary of every core."""
+    """The annotated edge table and the neighbour-preference summary of every core.
+
+    ``labels`` are the panel's phenotypes and the background unless given. Edges within a radius grow
+    with the square of the density, so their table is not written; the statistics aggregate it as it is made.
+    """
     typed = rules.dominant_phenotype(cells, model, panel).select(
         *CELL_KEY, "centroid_x", "centroid_y", "dominant_phenotype"
     )
-    edges = cut(neighbour_edges(typed, method, k, radius, "dominant_phenotype"))
-    return edges, summarize_edges(typed, edges, labels)
+    edges = neighbour_edges(typed, method, k, radius, "dominant_phenotype")
+    if method != "radius":
+        edges = cut(edges)
+    return edges, summarize_edges(typed, edges, labels or (*panel.phenotypes, BACKGROUND))
 
 
 def summarize_edges(typed: DataFrame, edges: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
