@@ -89,6 +89,19 @@ class Codes:
         return out
 
 
+    def read_all(self) -> np.ndarray:
+        """All values in order: the values with a further chunk are those of the next level, one after the other."""
+        out, mine = np.zeros(self.n, np.uint64), None
+        for shift, (chunks, bits, _) in zip(range(0, 64, CHUNK), self.levels):
+            part = chunks.astype(np.uint64) << np.uint64(shift)
+            if mine is None:
+                out, mine = part, np.flatnonzero(np.unpackbits(bits.view(np.uint8), count=len(chunks), bitorder="little"))
+            else:
+                out[mine] |= part
+                mine = mine[np.unpackbits(bits.view(np.uint8), count=len(chunks), bitorder="little").astype(bool)]
+        return out
+
+
 def pack_file(doc_ids: list[int | None], firsts: np.ndarray, ids: np.ndarray) -> bytes:
     """A file's bytes: the number of documents, which have an id, their ids and first places, then the codes."""
     known = np.array([d is not None for d in doc_ids], np.uint8).tobytes()
@@ -164,7 +177,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             for part, seq, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 owners, firsts, codes = read_file(data)
                 counts = np.diff(np.append(firsts, codes.n))
-                ids = codes.read(np.arange(codes.n)).astype("<u4")
+                ids = codes.read_all().astype("<u4")
                 crc = [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(firsts.tolist(), counts.tolist())]
                 n = len(owners)
                 yield pa.RecordBatch.from_arrays(

@@ -78,6 +78,7 @@ def test_codes_give_any_place():
         values = rng.integers(0, 1 << rng.integers(1, 40, n) if n else 2, n).astype(np.uint64)
         codes = dac.Codes(dac.Codes.pack(values))
         assert codes.n == n and (codes.read(np.arange(n)) == values).all()
+        assert (codes.read_all() == values).all()
         some = rng.permutation(n)[:17]
         assert (codes.read(some) == values[some]).all()
     with pytest.raises(IndexError):
