@@ -109,11 +109,7 @@ def _block_reach(side: str, low: str, high: str, index: str) -> Column:
 def _first_pass(spots: DataFrame, reachable: DataFrame, crowded: DataFrame, k: int) -> DataFrame:
     zone = _around(crowded.select("basename", "bx", "by"), 1).distinct()
     reach = F.least(_block_reach("x", "x0", "x1", "bx"), _block_reach("y", "y0", "y1", "by"))
-    sources = (
-        spots.join(zone, ["basename", "bx", "by"], "left_anti")
-        .withColumn("limit2", reach * reach * F.lit(SAFE))
-        .select("basename", "bx", "by", "x", "y", "limit2")
-    )
+    sources = spots.join(zone, ["basename", "bx", "by"], "left_anti").withColumn("limit2", reach * reach * F.lit(SAFE))
     # every block holds at most nine buckets that are not crowded, so the arrays are bounded
     calm = reachable.join(crowded.select("basename", "bx", "by"), ["basename", "bx", "by"], "left_anti")
     blocks = (
@@ -129,9 +125,9 @@ def _first_pass(spots: DataFrame, reachable: DataFrame, crowded: DataFrame, k: i
     inside = F.filter(F.transform("block", entry), lambda e: e["d2"] < F.col("limit2"))
     return (
         sources.join(blocks, ["basename", "bx", "by"])
-        .select("basename", "x", "y", "limit2", F.slice(F.sort_array(inside), 1, k + 1).alias("nb"))
+        .select(*spots.columns, "limit2", F.slice(F.sort_array(inside), 1, k + 1).alias("nb"))
         .select(
-            "basename", "x", "y", "nb",
+            *spots.columns, "nb",
             ((F.size("nb") >= k + 1) | (F.col("limit2") == F.lit(float("inf")))).alias("complete"),
         )
     )
@@ -239,7 +235,9 @@ def knn_edges(
 
     first = cut(_first_pass(spots, near, crowded, k))
     found = first.filter("complete").select("basename", "x", "y", "nb")
-    rest = cut(spots.join(found.select("basename", "x", "y"), ["basename", "x", "y"], "left_anti"))
+    # what the first pass left open, and the surroundings of crowded buckets that it didn't search
+    zone = _around(crowded.select("basename", "bx", "by"), 1).distinct()
+    rest = first.filter(~F.col("complete")).select(*spots.columns).unionByName(spots.join(zone, ["basename", "bx", "by"], "left_semi"))
     if not rest.isEmpty():
         found = found.unionByName(_second_pass(rest, near, tiles, crowded, k))
 

@@ -105,3 +105,18 @@ def test_losses(spark):
     assert got["masked"] == 0.0 and got["easy"] == 0.0
     with pytest.raises(ValueError):
         metrics.asymmetric_loss(x, y, clip=1.0)
+
+
+def test_bins_hold_equal_counts(spark):
+    """Nearly all values within a ten-thousandth of each other, with outliers in the same decade."""
+    from pyspark.sql import functions as F
+
+    from cellframe.functions import running
+
+    n = 400_000
+    df = spark.range(n).select(F.lit("g").alias("g"), F.when(F.col("id") == 0, 0.11).when(F.col("id") == 1, 0.89).otherwise(0.5 + F.col("id") * 1e-10).alias("v"))
+    binned = running._binned(running.tie_totals(df, ["g"], "v", {"n": F.lit(1)}), ["g"], "v", ["n"])
+    largest = binned.groupBy("__b1", "__b2").count().agg(F.max("count")).first()[0]
+    assert largest < 3 * running.ROWS_PER_BIN
+    out = running.group_quantiles(df, ["g"], "v", {"q": 0.5}).first()
+    assert out.n == n and abs(out.q - (0.5 + (n / 2 + 0.5) * 1e-10)) < 1e-12

@@ -150,8 +150,11 @@ def test_cap_ring(spark):
     df = spark.createDataFrame(
         [(1, long), (2, [[0.0, 0.0], [3.0, 0.0], [3.0, 3.0]]), (3, [[-2.0, 0.0], [5.0, 0.0], [5.0, 5.0], [-2.0, 0.0]]), (4, [[1.0, 1.0], [1.0, 1.0]])],
         "id int, ring array<array<double>>")
-    rows = {r.id: r for r in polygons.cap_ring(df, "ring", F.lit(5000), F.lit(5000)).collect()}
+    whole = {r.id: r for r in polygons.cap_ring(df, "ring", F.lit(5000), F.lit(5000)).collect()}
+    assert whole[1].n_verts == 40 and whole[1].ring == long + long[:1] and whole[1].flags == ""
+    rows = {r.id: r for r in polygons.cap_ring(df, "ring", F.lit(5000), F.lit(5000), 32).collect()}
     assert rows[1].n_verts == 32 and rows[1].ring[0] == rows[1].ring[-1] and rows[1].flags == "truncated"
+    assert rows[1].ring[:-1] == [long[i * 40 // 32] for i in range(32)]
     assert rows[2].n_verts == 3 and rows[2].ring[-1] == [0.0, 0.0] and rows[2].flags == ""
     assert rows[3].flags == "border" and min(p[0] for p in rows[3].ring) == 0.0
     assert rows[4].degenerate
