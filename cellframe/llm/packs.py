@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,7 +41,8 @@ def write(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            sizes = np.cumsum([len(x or b"") + 1 for x in batch.column(batch.schema.get_field_index("text")).cast(pa.large_binary()).to_pylist()])
+            lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0)
+            sizes = np.cumsum(lengths.to_numpy(zero_copy_only=False).astype(np.int64) + 1)
             at, before = 0, 0
             while at < batch.num_rows:
                 upto = max(at + 1, int(np.searchsorted(sizes, before + PACK_BYTES - size, "right")))

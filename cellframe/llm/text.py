@@ -20,6 +20,8 @@ _rng = np.random.default_rng(20)
 #: A random 64-bit value of each byte.
 BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = 1 << 12
+#: Bytes whose words are hashed in one pass.
+BLOCK = 1 << 18
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -77,7 +79,15 @@ class Words:
         self.counts = np.diff(self.first)
 
     def hashes(self) -> np.ndarray:
-        return span_hashes(BYTE_VALUE[self.bytes], self.starts, self.ends)
+        """A 64-bit hash of every word, in passes over about BLOCK bytes."""
+        out = np.empty(len(self.starts), np.uint64)
+        done = 0
+        while done < len(out):
+            at = int(self.starts[done])
+            upto = max(done + 1, int(np.searchsorted(self.ends, at + BLOCK, "right")))
+            out[done:upto] = span_hashes(BYTE_VALUE[self.bytes[at : self.ends[upto - 1]]], self.starts[done:upto] - at, self.ends[done:upto] - at)
+            done = upto
+        return out
 
     def word(self, i: int) -> bytes:
         return self.joined[self.starts[i] : self.ends[i]]
