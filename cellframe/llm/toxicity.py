@@ -35,10 +35,10 @@ FOLDS = 5
 EXAMPLES = 10_000
 #: Terms: log-likelihood ratio against the label, how much likelier their examples are toxic, examples with the term,
 #: and the most terms.
-SIGNIFICANT, LIFT, LEAST_DF, MOST_TERMS = 15.0, 3.0, 3, 4096
+SIGNIFICANT, LIFT, LEAST_DF, MOST_TERMS = 20.0, 5.0, 3, 4096
 NEIGHBOURS, BLOCK = 16, 64
 EVIDENCE = 3
-PRIOR_WEIGHT = 0.5
+PRIOR_WEIGHT = 1.0
 PASS = 1 << 20
 
 
