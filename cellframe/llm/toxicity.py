@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples.
 
-Words (runs of letters, lower-cased) whose examples are significantly and LIFT times more often toxic are the terms. A text is
+Words (runs of letters, lower-cased) whose examples' odds of being toxic are significantly and ODDS times higher are the terms. A text is
 the vector of its terms with weights (1 + ln tf) * ln(1 + N / df), where N and df count all documents. Its nearest
 examples by cosine are found exactly in an inverted index with block maxima: examples lie in blocks, each term keeps
 its largest weight in every block, and a block is opened only while the sum of those maxima can still reach the k-th
@@ -33,9 +33,8 @@ from cellframe.llm.text import mix, ragged, span_hashes
 FOLDS = 5
 #: Labelled rows that the model is fitted on, at most.
 EXAMPLES = 10_000
-#: Terms: log-likelihood ratio against the label, how much likelier their examples are toxic, examples with the term,
-#: and the most terms.
-SIGNIFICANT, LIFT, LEAST_DF, MOST_TERMS = 20.0, 5.0, 3, 4096
+#: Terms: log-likelihood ratio against the label, odds ratio of the label, examples with the term, and the most terms.
+SIGNIFICANT, ODDS, LEAST_DF, MOST_TERMS = 20.0, 8.0, 3, 4096
 NEIGHBOURS, BLOCK = 16, 64
 EVIDENCE = 3
 PRIOR_WEIGHT = 1.0
@@ -234,7 +233,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if 0 < n_toxic < total:
         counted = chosen.select("text", "toxic").mapInArrow(words, "term long, toxic long").groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hot"))
         strength = 2 * (ratio(hot, rate) + ratio(df - hot, 1 - rate))
-        kept = counted.where((df >= LEAST_DF) & (hot > LIFT * df * rate) & (strength > SIGNIFICANT)).orderBy(strength.desc(), "term").limit(MOST_TERMS)
+        kept = counted.where((df >= LEAST_DF) & (hot * (1 - rate) > ODDS * (df - hot) * rate) & (strength > SIGNIFICANT)).orderBy(strength.desc(), "term").limit(MOST_TERMS)
         terms = sorted(r.term for r in kept.select("term").collect())
     keys = np.array(terms, np.int64).view(np.uint64)
     model = Model(keys, np.ones(len(keys)), *[np.empty(0, np.int64)] * 2, np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0), rate, (0.0, -30.0))
