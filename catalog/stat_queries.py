@@ -425,8 +425,38 @@ RATES = {c: 0.05 + 0.07 * i for i, c in enumerate(P.channels)}
 add("o4_quantile_match", lambda s, d: L.quantile_match(splits(s, d, "train"), RATES, P),
     f"with {_tr} " + " union all ".join(
         f"select cast({c} as bigint) as channel, count(*) as n, {r6(f'quantile_cont(v, {min(max(1.0 - r, 0.01), 0.999)!r})', 'tau_quantile')} from l where channel={c}" for c, r in RATES.items()))
+
+
+def _mixture_sql():
+    """The mixtures' rounds as a recursive table, then the last change of the denser component on the grid."""
+    dens = lambda i: f"w{i}/sqrt(v{i})*exp(-0.5*(x-m{i})*(x-m{i})/v{i})"
+    part = lambda i: f"{dens(i)}/greatest({dens(1)} + {dens(2)}, 1e-300)*n"
+    sd = lambda i: f"greatest(sqrt(v{i}), 1e-3)"
+    return (
+        "sp as (select channel, min(v) as lo, max(v) as hi from l group by 1), "
+        f"hb as (select channel, least(floor((v-lo)*{L.MIXTURE_BINS}.0/(hi-lo)), {L.MIXTURE_BINS - 1}) as b, v from l join sp using (channel)), "
+        "hh as (select channel, b, count(*)::double as n, avg(v) as x from hb group by 1, 2), "
+        "st as (select channel, sum(n) as t, sum(n*x)/sum(n) as c from hh group by 1), "
+        "sv as (select channel, any_value(t) as t, any_value(c) as c, sum(n*(x-c)*(x-c))/any_value(t) as v from hh join st using (channel) group by 1), "
+        "em as (select 0 as i, channel, t, 0.5::double as w1, 0.5::double as w2, c-sqrt(v) as m1, c+sqrt(v) as m2, v as v1, v as v2 from sv union all "
+        "select i+1, channel, t, s1/t, s2/t, x1/s1, x2/s2, greatest(q1/s1-(x1/s1)*(x1/s1), 1e-6), greatest(q2/s2-(x2/s2)*(x2/s2), 1e-6) from ("
+        f"select i, channel, t, sum({part(1)}) as s1, sum({part(2)}) as s2, sum({part(1)}*x) as x1, sum({part(2)}*x) as x2, sum({part(1)}*x*x) as q1, sum({part(2)}*x*x) as q2 "
+        f"from em join hh using (channel) where i < {L.MIXTURE_ROUNDS} group by i, channel, t) z), "
+        f"fm as (select * from em where i = {L.MIXTURE_ROUNDS}), "
+        f"gr as (select *, unnest(range(0, {L.GRID})) as k from fm), "
+        f"gd as (select channel, k, m1+(m2-m1)*k/{L.GRID - 1}.0 as g, sign(w2/{sd(2)}*exp(-0.5*power((m1+(m2-m1)*k/{L.GRID - 1}.0-m2)/{sd(2)}, 2)) - w1/{sd(1)}*exp(-0.5*power((m1+(m2-m1)*k/{L.GRID - 1}.0-m1)/{sd(1)}, 2))) as s from gr), "
+        "gl as (select *, lead(s) over (partition by channel order by k) as nx from gd)"
+    )
+
+
 add("o3_gmm_intersection",
-    lambda s, d: s.createDataFrame([(int(c), float(v)) for c, v in L.gmm_intersection(splits(s, d, "train"), P.subset(["CD45", "CD68"])).items()], "channel int, tau_gmm double"))
+    lambda s, d: s.createDataFrame([(int(c), float(v)) for c, v in L.gmm_intersection(splits(s, d, "train"), P).items()], "channel int, tau double").withColumn("tau_gmm", F.round("tau", 3)).drop("tau"),
+    f"with recursive {_tr.strip()}, {_mixture_sql()} select cast(channel as bigint) as channel, round(max(g), 3) as tau_gmm from gl where nx is not null and nx <> s group by 1")
+add("o5_fit_mixtures",
+    lambda s, d: L.fit_thresholds(splits(s, d, "train"), P).select("channel", F.round("tau_gmm", 3).alias("tau_gmm"), "target_pos", "train_pos_gmm", F.round("tau_otsu", 4).alias("tau_otsu")),
+    f"with recursive {_tr.strip()}, {_mixture_sql()}, ct as (select channel, max(g) as tau from gl where nx is not null and nx <> s group by 1), {otsu_sql('l', ['channel'])} "
+    f"select cast(channel as bigint) as channel, round(tau, 3) as tau_gmm, {r6('avg(cast(v > tau as int))', 'target_pos')}, {r6('avg(cast(v > tau as int))', 'train_pos_gmm')}, round(any_value(otsu), 4) as tau_otsu "
+    "from l join ct using (channel) join cuts using (channel) group by channel, tau")
 add("o5_fit_thresholds",
     lambda s, d: L.fit_thresholds(splits(s, d, "train"), P, {c: (9.0, 0.25) for c in P.channels}).withColumn(
         "tau_otsu", F.round("tau_otsu", 4)),

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +16,7 @@ GRID = 1024
 METHODS = ("gmm", "otsu", "quantile")
 FALLBACK_QUANTILE = 0.9
 MIN_FIT_VALUES = 50
+MIXTURE_BINS, MIXTURE_ROUNDS, MIN_VARIANCE = 1024, 100, 1e-6
 
 
 def otsu_cuts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -125,41 +124,64 @@ def crossing_on_grid(
     return float(grid[turns[-1]]) if turns.size else float(m.mean())
 
 
+def histograms(long: DataFrame, by: Sequence[str], value: str, bins: int) -> DataFrame:
+    """by, bin, n and the mean value of every non-empty bin of equal width: at most ``bins`` rows a group."""
+    clean = long.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
+    span = clean.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    place = F.try_divide((F.col("__v") - F.col("__lo")) * F.lit(float(bins)), F.col("__hi") - F.col("__lo"))
+    binned = join_salted(clean, span, list(by), F.col("__v")).select(
+        *by, "__salt", "__v", F.least(F.coalesce(F.floor(place), F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin"))
+    part = binned.groupBy(*by, "__salt", "bin").agg(F.count("*").alias("n"), F.sum("__v").alias("s"))
+    return part.groupBy(*by, "bin").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"))
+
+
+def two_gaussians(mean, n, rounds: int = MIXTURE_ROUNDS) -> tuple[list[float], list[float], list[float]]:
+    """Weights, means and variances of a two-component mixture of binned values, by a fixed number of EM rounds.
+
+    Starts one deviation to either side of the mean.
+    """
+    import numpy as np
+
+    x, n = np.asarray(mean, float), np.asarray(n, float)
+    total, centre = n.sum(), (n @ x) / n.sum()
+    var = max(float(n @ (x - centre) ** 2 / total), MIN_VARIANCE)
+    w, m, v = np.array([0.5, 0.5]), centre + np.sqrt(var) * np.array([-1.0, 1.0]), np.array([var, var])
+    for _ in range(rounds):
+        density = w / np.sqrt(v) * np.exp(-0.5 * (x[:, None] - m) ** 2 / v)
+        share = density / np.maximum(density.sum(axis=1, keepdims=True), 1e-300) * n[:, None]
+        mass = np.maximum(share.sum(axis=0), 1e-9)
+        w, m = mass / total, (share * x[:, None]).sum(axis=0) / mass
+        v = np.maximum((share * (x[:, None] - m) ** 2).sum(axis=0) / mass, MIN_VARIANCE)
+    return w.tolist(), m.tolist(), v.tolist()
+
+
 def gmm_intersection(
-    df: DataFrame, panel: MarkerPanel = DEFAULT_PANEL, seed: int = 0, max_iter: int = 200
+    df: DataFrame, panel: MarkerPanel = DEFAULT_PANEL, bins: int = MIXTURE_BINS, rounds: int = MIXTURE_ROUNDS
 ) -> dict[int, float]:
-    """Cut per channel where a two-component mixture fitted by Spark ML changes component.
+    """Cut per channel where a two-component mixture changes component.
 
-    One distributed fit per configured channel; fewer than 50 values take the 0.9 quantile.
+    One pass makes the histograms of all channels, at most ``bins`` rows each; the mixtures are fitted to
+    those. Fewer than 50 values take the 0.9 quantile.
     """
-    columns = {c: ch(c, "true") for c in panel.channels if ch(c, "true") in df.columns}
-    counts = df.agg(*[F.count(nan_to_null(F.col(n))).alias(f"n{c}") for c, n in columns.items()]).first()
+    long = melt_values(df, panel)
+    rows: dict[int, list[tuple[float, int]]] = {}
+    for row in histograms(long, ["channel"], "v", bins).orderBy("channel", "bin").toLocalIterator():
+        rows.setdefault(row["channel"], []).append((row["mean"], row["n"]))
     cuts, sparse = {}, []
-    for c, name in columns.items():
-        if counts[f"n{c}"] < MIN_FIT_VALUES:
+    for c in panel.channels:
+        if ch(c, "true") not in df.columns:
+            continue
+        if sum(n for _, n in rows.get(c, [])) < MIN_FIT_VALUES:
             sparse.append(c)
             continue
-        values = df.select(nan_to_null(F.col(name)).alias("v")).filter("v is not null")
-        vectors = VectorAssembler(inputCols=["v"], outputCol="features").transform(values)
-        model = GaussianMixture(k=2, seed=seed, maxIter=max_iter).fit(vectors)
-        params = [(float(g.mean[0]), float(g.cov[0, 0])) for g in _gaussians(model)]
-        cuts[c] = crossing_on_grid(model.weights, [m for m, _ in params], [v for _, v in params])
+        cuts[c] = crossing_on_grid(*two_gaussians(*zip(*rows[c]), rounds))
     if sparse:
-        long = melt_values(df, panel).filter(F.col("channel").isin(sparse))
-        for row in group_quantiles(long, ["channel"], "v", {"q": FALLBACK_QUANTILE}).toLocalIterator():
+        few = long.filter(F.col("channel").isin(sparse))
+        for row in group_quantiles(few, ["channel"], "v", {"q": FALLBACK_QUANTILE}).toLocalIterator():
             cuts[row["channel"]] = float(row["q"])
     return cuts
 
 
-class _Gaussian:
-    def __init__(self, mean, cov):
-        self.mean, self.cov = mean, cov
-
-
-def _gaussians(model) -> list[_Gaussian]:
-    return [_Gaussian(r["mean"].toArray(), r["cov"].toArray()) for r in model.gaussiansDF.collect()]
-
-
 def fit_thresholds(
     train: DataFrame, panel: MarkerPanel = DEFAULT_PANEL,
     existing: Mapping[int, tuple[float, float]] | None = None,
