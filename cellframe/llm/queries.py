@@ -33,7 +33,7 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash", "n_chars")
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash", "n_chars", "distance")
 
 
 def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,5 +90,6 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": substring.ORACLE_SQL,
     "op2_fingerprints": fingerprint.ORACLE_SQL,
+    "op3_decontamination": decontaminate.ORACLE_SQL,
     "op5_tool_calls": toolcalls.ORACLE_SQL,
 }
