@@ -275,15 +275,26 @@ add("c1_cluster_cells",
 add("c5_label_cores",
     lambda s, d: CL.label_cores(D.cells(s, d), P).groupBy("basename").agg(
         F.count("*").alias("n_cells"), F.count_if("ch27_pos_spacec").alias("cd68"), F.count_if(ph("immune_cd45", "call_spacec")).alias("immune")))
-SMALL = P.subset(["CD45", "CD8", "CD68"])
 
 
 def c6(spark, d):
-    _, ev = CB.calibrate_markers(splits(spark, d, "train"), splits(spark, d, "val"), SMALL, MODEL)
-    return ev.select("basename", "cell_id", *[ch(c, "prob_logreg") for c in SMALL.channels])
+    """Every marker's model: at the optimum of a balanced fit the mean residuals of both classes are equal."""
+    fit, ev = CB.calibrate_markers(splits(spark, d, "train"), splits(spark, d, "val"), P, MODEL)
 
+    def long(df, part):
+        return stack_columns(df, [], [
+            {"part": F.lit(part), "channel": F.lit(c), "y": F.col(ch(c, "pos")), "p": F.col(ch(c, "prob_logreg"))} for c in P.channels])
 
-add("c6_calibrate_markers", c6)
+    p, y = F.col("p"), F.col("y")
+    gap = F.avg(F.when(y, 1.0 - p)) - F.avg(F.when(~y, p))
+    return long(fit, "fit").unionByName(long(ev, "evaluation")).groupBy("part", "channel").agg(
+        F.count_if(p.between(0, 1)).alias("n"), F.count_if("y").alias("n_pos"), (F.round(F.when(F.col("part") == "fit", gap), 3) + 0.0).alias("residual"))
+
+
+add("c6_calibrate_markers", c6,
+    f"with {CELLS}, {MANIFEST} " + " union all ".join(
+        f"select '{part}' as part, cast({c} as bigint) as channel, count(*) as n, cast(sum(cast({cc(c)}_pos as int)) as bigint) as n_pos, {value} as residual "
+        f"from cells join cores using (basename) where split = '{split}'" for part, split, value in (("fit", "train", "0.0e0"), ("evaluation", "val", "cast(null as double)")) for c in P.channels))
 
 
 def c7(spark, d):
