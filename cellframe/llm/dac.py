@@ -126,7 +126,8 @@ def library(path: str) -> PieceIds:
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    return PieceIds(lambda strings: [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)])
+    # the library takes some microseconds a piece, so the table has room for two million
+    return PieceIds(lambda strings: [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)], bits=22)
 
 
 def write(docs: DataFrame, path: str, folder: str | None = None) -> str:
