@@ -1,18 +1,22 @@
 """Toxicity by the nearest labelled examples.
 
-Words (runs of letters, lower-cased) whose examples' odds of being toxic are significantly and ODDS times higher are the terms. A text is
-the vector of its terms with weights (1 + ln tf) * ln(1 + N / df), where N and df count all documents. Its nearest
-examples by cosine are found exactly in an inverted index with block maxima: examples lie in blocks, each term keeps
-its largest weight in every block, and a block is opened only while the sum of those maxima can still reach the k-th
-best similarity. The examples vote with weight 1 / (distance + 0.05), where the distance is 1 - cosine, times the
-cosine; a prior vote stands for texts without a near example. A logistic curve fitted on the examples' own votes, each
-without itself, turns the vote into a calibrated score.
+A text is the vector of its words (runs of letters, lower-cased) with weights (1 + ln tf) * ln(1 + N / df) *
+sqrt(1 + G), where N and df count all documents and G is the log-likelihood ratio of the word against the examples'
+labels: a word that says nothing of the label weighs its TF-IDF, others more, and none is left out. The vocabulary is
+all words of the examples; a word of no example meets none and counts in the text's norm alone, with the idf of a word
+that one example more would hold. The nearest examples by cosine are found exactly in an inverted index with block
+maxima: examples lie in blocks, and each rare term keeps its largest weight in every block. The terms of more than one
+in COMMON examples, whose lists prune nothing, are multiplied as a matrix. A block is opened only while its largest
+sum of the common terms and the sum of the rare ones' maxima can still reach the k-th best similarity. The examples
+vote with weight 1 / (distance + 0.05), where the distance is 1 - cosine, times the cosine; a prior vote stands for
+texts without a near example. A logistic curve fitted on the examples' own votes, each without itself, turns the vote
+into a calibrated score.
 
 Labels are learned only from rows whose crc32(doc_id as text) mod FOLDS is not 0, and of these from at most EXAMPLES
-rows, taken in the order of a hash of doc_id. That bound is the only limit: the terms' counts, the scores and the
-search cover all documents and all examples.
+rows, taken in the order of a hash of doc_id. That bound is the only limit: the words, their counts, the scores and
+the search cover all documents and all examples.
 
-Nulls: a null text is an empty one and gets the score of a text without terms, as does a null doc_id's text by its own
+Nulls: a null text is an empty one and gets the score of a text without words, as does a null doc_id's text by its own
 words (held_out is then null). Repeated documents give repeated rows; of labels that disagree on a doc_id, the larger
 counts. Without any label the score is 0.
 """
@@ -24,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,9 +38,9 @@ from cellframe.llm.text import mix, ragged, span_hashes
 FOLDS = 5
 #: Labelled rows that the model is fitted on, at most.
 EXAMPLES = 10_000
-#: Terms: log-likelihood ratio against the label, odds ratio of the label, examples with the term, and the most terms.
-SIGNIFICANT, ODDS, LEAST_DF, MOST_TERMS = 20.0, 8.0, 3, 4096
 NEIGHBOURS, BLOCK = 16, 64
+#: A term of more than one in COMMON examples is multiplied as a row of a matrix, for GROUP texts at a time.
+COMMON, GROUP = 20, 64
 EVIDENCE = 3
 PRIOR_WEIGHT = 1.0
 PASS = 1 << 20
@@ -62,21 +67,19 @@ def word_spans(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def term_counts(texts: list[str], slots: Slots | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, term, count) in order of row: the term is its index in ``slots``, or the word's hash without slots."""
+    """(row, term, count) of the distinct words in order of row: the term is its index in ``slots`` (-1 for a word that
+    is not there, a row each), or the word's hash without slots."""
     rows, terms, counts = [], [], []
     for row, h in word_spans(texts):
-        if slots is None:
-            order = np.lexsort((h, row))
-            row, term = row[order], h[order].view(np.int64)
-        else:
-            term = slots.get(h).astype(np.int64)
-            row, term = row[term >= 0], term[term >= 0]
-            order = np.lexsort((term, row))
-            row, term = row[order], term[order]
-        new = np.concatenate([[True], (row[1:] != row[:-1]) | (term[1:] != term[:-1])]) if len(row) else np.empty(0, bool)
-        heads = np.flatnonzero(new)
+        if not len(row):
+            continue
+        order = np.argsort(h)
+        near = row[order] - row[0]
+        order = order[np.argsort(near.astype(np.uint16) if row[-1] - row[0] < 1 << 16 else near, kind="stable")]
+        row, h = row[order], h[order]
+        heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])]))
         rows.append(row[heads])
-        terms.append(term[heads])
+        terms.append(h[heads].view(np.int64) if slots is None else slots.get(h[heads]).astype(np.int64))
         counts.append(np.diff(np.append(heads, len(row))))
     joined = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (rows, terms, counts)]
     return joined[0], joined[1], joined[2]
@@ -90,49 +93,94 @@ class BlockMaxIndex:
     """Exact k nearest examples by cosine."""
 
     def __init__(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int):
-        self.n = len(first) - 1
-        example = np.repeat(np.arange(self.n), np.diff(first))
+        self.n, self.n_terms = len(first) - 1, n_terms
+        self.n_blocks = -(-self.n // BLOCK)
+        example = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(first))
         # examples that share their heaviest term lie together, so that block maxima are tight
         top = np.full(self.n, n_terms)
         heavy = np.lexsort((-weight, example))
         own, at = np.unique(example[heavy], return_index=True)
         top[own] = term[heavy][at]
         self.place = np.argsort(top, kind="stable")
-        position = np.empty(self.n, np.int64)
+        position = np.empty(self.n, np.int32)
         position[self.place] = np.arange(self.n)
         at = position[example]
-        order = np.lexsort((at, term))
-        self.at, self.weight = at[order], weight[order]
-        term = term[order]
+        # the vectors by place, for exact sums
+        order = np.argsort(at, kind="stable")
+        self.own_term, self.own_weight = term[order].astype(np.int32), weight[order]
+        self.own_first = np.searchsorted(at[order], np.arange(self.n + 1))
+        df = np.bincount(term, minlength=n_terms)
+        often = np.flatnonzero(df * COMMON > self.n)
+        self.row = np.full(n_terms, -1, np.int32)
+        self.row[often] = np.arange(len(often))
+        common = self.row[term] >= 0
+        self.common = np.zeros((len(often), self.n_blocks * BLOCK), np.float32)
+        self.common[self.row[term[common]], at[common]] = weight[common]
+        #: The largest error of a sum of products of unit vectors in single precision.
+        self.slack = (len(often) + 8) * 2.0**-24 + 1e-9
+        rare = np.flatnonzero(~common)
+        rare = rare[np.lexsort((at[rare], term[rare]))]
+        self.at, self.weight, term = at[rare], weight[rare], term[rare]
         block = self.at // BLOCK
         heads = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.empty(0, np.int64)
-        self.block, self.head, self.size = block[heads], heads, np.diff(np.append(heads, len(term)))
+        self.block, self.head, self.size = block[heads], heads.astype(np.int32), np.diff(np.append(heads, len(term))).astype(np.int32)
         self.peak = np.maximum.reduceat(self.weight, heads) if len(heads) else np.empty(0)
         self.first = np.searchsorted(term[heads], np.arange(n_terms + 1))
-        self.n_blocks = -(-self.n // BLOCK)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(example, cosine) of the k nearest with a cosine over 0; of equal ones the earlier in the index."""
+        return next(self.nearest_many(np.array([0, len(term)]), term, weight, k))
+
+    def nearest_many(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of every text, whose terms lie from ``first`` to the next one's."""
+        dense = np.zeros(self.n_terms)
+        for a in range(0, len(first) - 1, GROUP):
+            some = first[a : a + GROUP + 1]
+            mine = slice(some[0], some[-1])
+            row = self.row[term[mine]]
+            often = row >= 0
+            asked = np.zeros((len(some) - 1, len(self.common)), np.float32)
+            asked[np.repeat(np.arange(len(some) - 1), np.diff(some))[often], row[often]] = weight[mine][often]
+            sums = (asked @ self.common).reshape(len(some) - 1, self.n_blocks, BLOCK)
+            peaks = sums.max(2) if self.n else np.zeros((len(some) - 1, 0), np.float32)
+            for i, (b, e) in enumerate(zip(some[:-1], some[1:])):
+                yield self.search(term[b:e], weight[b:e], k, sums[i], peaks[i], dense)
+
+    def search(self, term: np.ndarray, weight: np.ndarray, k: int, sums: np.ndarray, peaks: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         counts = self.first[term + 1] - self.first[term]
         lists = ragged(self.first[term], counts)
-        share = np.repeat(weight, counts)
-        bound = np.bincount(self.block[lists], self.peak[lists] * share, self.n_blocks)
+        share, block = np.repeat(weight, counts), self.block[lists]
+        bound = peaks + np.bincount(block, self.peak[lists] * share, self.n_blocks)
         order = np.argsort(-bound, kind="stable")
-        order = order[: int(np.count_nonzero(bound))]
+        order = order[: int(np.count_nonzero(bound > 0))]
         best, near = np.empty(0), np.empty(0, np.int64)
-        done, step = 0, 4
-        while done < len(order) and (len(best) < k or bound[order[done]] * (1 + 1e-9) >= best[-1]):
-            chosen = np.zeros(self.n_blocks, bool)
-            chosen[order[done : done + step]] = True
-            mine = chosen[self.block[lists]]
-            posts = ragged(self.head[lists[mine]], self.size[lists[mine]])
-            sums = np.bincount(self.at[posts], self.weight[posts] * np.repeat(share[mine], self.size[lists[mine]]))
-            found = np.flatnonzero(sums)
-            near, best = np.concatenate([near, found]), np.concatenate([best, sums[found]])
-            keep = np.lexsort((near, -best))[:k]
-            near, best = near[keep], best[keep]
+        done, step, least = 0, 8, 0.0
+        while done < len(order) and (len(best) < k or bound[order[done]] + 2 * self.slack >= least):
+            opened = order[done : done + step]
+            local = np.full(self.n_blocks, -1)
+            local[opened] = np.arange(len(opened)) * BLOCK
+            mine = np.flatnonzero(local[block] >= 0)
+            sizes = self.size[lists[mine]]
+            posts = ragged(self.head[lists[mine]], sizes)
+            at = np.repeat(local[block[mine]], sizes) + self.at[posts] % BLOCK
+            total = sums[opened].ravel() + np.bincount(at, self.weight[posts] * np.repeat(share[mine], sizes), len(opened) * BLOCK)
+            found = np.flatnonzero((total > 0) & (total + 2 * self.slack >= least))
+            near = np.concatenate([near, opened[found // BLOCK] * BLOCK + found % BLOCK])
+            best = np.concatenate([best, total[found]])
+            if len(best) > k:  # what may be among the k nearest once its sum is exact
+                least = np.partition(best, len(best) - k)[len(best) - k]
+                keep = best + 2 * self.slack >= least
+                near, best = near[keep], best[keep]
             done, step = done + step, step * 2
-        return self.place[near], np.minimum(best, 1.0)
+        if not len(near):
+            return near, best
+        dense[term] = weight
+        sizes = self.own_first[near + 1] - self.own_first[near]
+        lists = ragged(self.own_first[near], sizes)
+        best = np.bincount(np.repeat(np.arange(len(near)), sizes), dense[self.own_term[lists]] * self.own_weight[lists], len(near))
+        dense[term] = 0
+        keep = np.lexsort((near, -best))[:k]
+        return self.place[near[keep]], np.minimum(best[keep], 1.0)
 
 
 def vote(labels: np.ndarray, cosine: np.ndarray, prior: float) -> float:
@@ -154,12 +202,19 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 0.0), float(b)
 
 
+def table_of(terms: np.ndarray) -> Slots:
+    slots = Slots(max(4, int(np.ceil(np.log2(4 * len(terms) + 1)))))
+    slots.add(terms, np.arange(len(terms), dtype=np.int32))
+    return slots
+
+
 @dataclass
 class Model:
-    """What a fit keeps: at most EXAMPLES examples and MOST_TERMS terms."""
+    """What a fit keeps: at most EXAMPLES examples and the words that they hold."""
 
     terms: np.ndarray
-    idf: np.ndarray
+    #: The weight of each term at one occurrence, and last that of a word of no example.
+    factor: np.ndarray
     doc_ids: np.ndarray
     labels: np.ndarray
     first: np.ndarray
@@ -176,30 +231,29 @@ class Model:
 
     def ready(self) -> tuple[Slots, BlockMaxIndex]:
         if self.prepared is None:
-            slots = Slots(max(4, int(np.ceil(np.log2(4 * len(self.terms) + 1)))))
-            slots.add(self.terms, np.arange(len(self.terms), dtype=np.int32))
-            self.prepared = slots, BlockMaxIndex(self.first, self.term, self.weight, len(self.terms))
+            self.prepared = table_of(self.terms), BlockMaxIndex(self.first, self.term, self.weight, len(self.terms))
         return self.prepared
 
     def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         slots, _ = self.ready()
-        return unit(*term_counts(texts, slots), self.idf, len(texts))
+        return unit(*term_counts(texts, slots), self.factor, len(texts))
 
-    def near(self, term: np.ndarray, weight: np.ndarray, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Nearest examples but for ``skip``."""
-        if not len(term):
-            return np.empty(0, np.int64), np.empty(0)
-        example, cosine = self.ready()[1].nearest(term, weight, NEIGHBOURS + (skip >= 0))
-        keep = np.flatnonzero(example != skip)[:NEIGHBOURS]
-        return example[keep], cosine[keep]
+    def near(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Nearest examples of every text; ``own``: the texts are the examples, and each is left out of its own."""
+        for i, (example, cosine) in enumerate(self.ready()[1].nearest_many(first, term, weight, NEIGHBOURS + own)):
+            keep = np.flatnonzero(example != i)[:NEIGHBOURS] if own else slice(None)
+            yield example[keep], cosine[keep]
 
     def score(self, v: float) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.curve[0] * v + self.curve[1], -30, 30))))
 
 
-def unit(row: np.ndarray, term: np.ndarray, count: np.ndarray, idf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    weight = (1 + np.log(count)) * idf[term]
+def unit(row: np.ndarray, term: np.ndarray, count: np.ndarray, factor: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Vectors of length 1, with the words of no example (term -1) in the length alone."""
+    weight = (1 + np.log(count)) * factor[term]
     norm = np.sqrt(np.bincount(row, weight * weight, n)) if n else np.empty(0)
+    known = np.flatnonzero(term >= 0)
+    row, term, weight = row[known], term[known], weight[known]
     return cut_rows(row, n), term, weight / norm[row]
 
 
@@ -226,48 +280,55 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(toxic.astype(np.int64))], ["term", "toxic"])
 
     total, n_toxic = chosen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    df, hot = F.col("df"), F.col("hot")
     rate = n_toxic / max(1, total)
-    ratio = lambda seen, p: F.when(seen > 0, seen * F.log(seen / (df * p))).otherwise(0.0)
-    terms: list[int] = []
-    if 0 < n_toxic < total:
-        counted = chosen.select("text", "toxic").mapInArrow(words, "term long, toxic long").groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hot"))
-        strength = 2 * (ratio(hot, rate) + ratio(df - hot, 1 - rate))
-        kept = counted.where((df >= LEAST_DF) & (hot * (1 - rate) > ODDS * (df - hot) * rate) & (strength > SIGNIFICANT)).orderBy(strength.desc(), "term").limit(MOST_TERMS)
-        terms = sorted(r.term for r in kept.select("term").collect())
-    keys = np.array(terms, np.int64).view(np.uint64)
-    model = Model(keys, np.ones(len(keys)), *[np.empty(0, np.int64)] * 2, np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0), rate, (0.0, -30.0))
+    model = Model(np.empty(0, np.uint64), np.ones(1), *[np.empty(0, np.int64)] * 2, np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0), rate, (0.0, -30.0))
+    if not 0 < n_toxic < total:
+        return model
+    counted = chosen.select("text", "toxic").mapInArrow(words, "term long, toxic long").groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hot")).toArrow()
+    if not counted.num_rows:
+        return model
+    keys, df, hot = (counted.column(x).to_numpy() for x in ("term", "df", "hot"))
+    order = np.argsort(keys)
+    keys, df, hot = keys[order], df[order], hot[order]
+    model.terms = keys.view(np.uint64)
+    part = lambda seen, p: np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / (df * p)), 0.0)
+    strength = np.sqrt(1 + np.maximum(0, 2 * (part(hot, rate) + part(df - hot, 1 - rate))))
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(model.terms)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots, n = model.ready()[0], 0
-        df = np.zeros(len(keys), np.int64)
+        slots, n = table_of(known.value), 0
+        df = np.zeros(len(known.value) + 1, np.int64)
         for batch in batches:
             n += batch.num_rows
-            df += np.bincount(term_counts([x or "" for x in batch.column(0).to_pylist()], slots)[1], minlength=len(keys))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(keys))), pa.array(np.concatenate([[n], df]))], ["term", "n"])
+            df += np.bincount(term_counts([x or "" for x in batch.column(0).to_pylist()], slots)[1] + 1, minlength=len(df))
+        df[0] = n
+        some = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(some - 1), pa.array(df[some])], ["term", "n"])
 
-    if not len(keys):
-        return model
-    corpus = {r.term: r.n for r in docs.select("text").mapInArrow(sums, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    model.idf = np.log1p(corpus[-1] / np.maximum(1, [corpus.get(i, 0) for i in range(len(keys))]))
+    found = docs.select("text").mapInArrow(sums, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    corpus = np.zeros(len(keys) + 1, np.int64)
+    corpus[found.column("term").to_numpy() + 1] = found.column("n").to_numpy()
+    model.factor = np.append(np.log1p(corpus[0] / np.maximum(1, corpus[1:])) * strength, np.log1p(total + 1))
+    bare = spark.sparkContext.broadcast((model.terms, model.factor))
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, factor = bare.value
+        slots = table_of(terms)
         for batch in batches:
-            first, term, weight = model.vectors(batch.column(1).to_pylist())
-            lists = [pa.ListArray.from_arrays(first.astype(np.int32), pa.array(x)) for x in (term, weight)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *lists], ["doc_id", "toxic", "term", "weight"])
-
-    held = chosen.select("doc_id", "text", F.col("toxic").cast("long")).mapInArrow(vectors, "doc_id long, toxic long, term array<long>, weight array<double>")
-    held = sorted(held.collect(), key=lambda r: (r.doc_id, r.term, r.weight, r.toxic))  # at most EXAMPLES rows, of terms only
-    model.doc_ids, model.labels = np.array([r.doc_id for r in held], np.int64), np.array([r.toxic for r in held], np.int64)
-    model.first = np.cumsum([0, *(len(r.term) for r in held)])
-    model.term = np.array([t for r in held for t in r.term], np.int64)
-    model.weight = np.array([w for r in held for w in r.weight], np.float64)
+            texts = batch.column(1).to_pylist()
+            first, term, weight = unit(*term_counts(texts, slots), factor, len(texts))
+            lists = [pa.ListArray.from_arrays(first.astype(np.int32), pa.array(x)) for x in (term.astype(np.int32), weight)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), *lists], ["doc_id", "toxic", "mark", "term", "weight"])
+
+    # at most EXAMPLES rows
+    held = chosen.select("doc_id", "text", F.col("toxic").cast("long"), F.xxhash64("text").alias("mark")).mapInArrow(vectors, "doc_id long, toxic long, mark long, term array<int>, weight array<double>").toArrow()
+    held = held.sort_by([("doc_id", "ascending"), ("mark", "ascending")]).combine_chunks()
+    model.doc_ids, model.labels = held.column("doc_id").to_numpy(), held.column("toxic").to_numpy()
+    model.first = np.append(0, np.cumsum(pc.list_value_length(held.column("term")).to_numpy()))
+    model.term, model.weight = (pc.list_flatten(held.column(x)).to_numpy() for x in ("term", "weight"))
     model.prepared = None
-    own = []
-    for i, (a, b) in enumerate(zip(model.first[:-1], model.first[1:])):
-        example, cosine = model.near(model.term[a:b], model.weight[a:b], i)
-        own.append(vote(model.labels[example], cosine, rate))
+    own = [vote(model.labels[example], cosine, rate) for example, cosine in model.near(model.first, model.term, model.weight, True)]
     model.curve = logistic(np.array(own), model.labels.astype(float))
     model.prepared = None
     return model
@@ -282,13 +343,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         for batch in batches:
             first, term, weight = model.vectors([x or "" for x in batch.column(1).to_pylist()])
-            scores, evidence, plain = [], [], model.score(vote(np.empty(0), np.empty(0), model.prior))
-            for a, b in zip(first[:-1], first[1:]):
-                if a == b:
-                    scores.append(plain)
-                    evidence.append([])
-                    continue
-                example, cosine = model.near(term[a:b], weight[a:b])
+            scores, evidence = [], []
+            for example, cosine in model.near(first, term, weight):
                 labels = model.labels[example]
                 scores.append(model.score(vote(labels, cosine, model.prior)))
                 best = range(min(EVIDENCE, len(example)))
@@ -308,13 +364,9 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        plain = model.score(vote(np.empty(0), np.empty(0), model.prior)) < 0.5
         for batch in batches:
-            first, term, weight = model.vectors([x or "" for x in batch.column(at).to_pylist()])
-            keep = np.full(batch.num_rows, plain)
-            for i in np.flatnonzero(np.diff(first)):
-                example, cosine = model.near(term[first[i] : first[i + 1]], weight[first[i] : first[i + 1]])
-                keep[i] = model.score(vote(model.labels[example], cosine, model.prior)) < 0.5
-            yield batch.filter(pa.array(keep))
+            near = model.near(*model.vectors([x or "" for x in batch.column(at).to_pylist()]))
+            keep = [model.score(vote(model.labels[example], cosine, model.prior)) < 0.5 for example, cosine in near]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

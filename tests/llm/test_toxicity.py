@@ -61,3 +61,43 @@ def test_nulls_empty_tables_and_extra_columns(spark):
     none = toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect()
     assert len(none) == len(rows) and all(r.predicted == 0 for r in none)
     assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels)).collect() == []
+
+
+def test_all_words_of_the_examples_count():
+    """No word is left out for its label, its number of examples or its rank."""
+    assert not hasattr(toxicity, "MOST_TERMS")
+    texts = ["one two awful", "one two three", "four five six"]
+    row, term, count = toxicity.term_counts(texts)
+    keys = np.unique(term).view(np.uint64)
+    row, term, count = toxicity.term_counts([*texts, "one unheard unknown words of another text"], toxicity.table_of(keys))
+    first, term, weight = toxicity.unit(row, term, count, np.ones(len(keys) + 1), 4)
+    assert np.diff(first).tolist() == [3, 3, 3, 1] and np.isclose(weight[-1], 1 / np.sqrt(7))  # unknown words are in the norm
+    index = toxicity.BlockMaxIndex(first[:4], term[: first[3]], weight[: first[3]], len(keys))
+    example, cosine = index.nearest(term[first[0] : first[1]], weight[first[0] : first[1]], 3)
+    assert example.tolist() == [0, 1] and np.allclose(cosine, [1, 2 / 3])
+
+
+def test_index_is_exact_with_common_and_rare_terms():
+    rng = np.random.default_rng(6)
+    n, m = 1500, 900
+    dense = np.where(rng.random((n, m)) < 0.5 / (1 + np.arange(m) / 4), rng.random((n, m)), 0)
+    dense[::9] = dense[0]
+    row, term = np.nonzero(dense)
+    unit = dense / np.maximum(np.sqrt((dense**2).sum(1)), 1e-30)[:, None]
+    first = np.searchsorted(row, np.arange(n + 1))
+    index = toxicity.BlockMaxIndex(first, term, unit[row, term], m)
+    assert 0 < len(index.common) < m
+    for q, (example, cosine) in enumerate(index.nearest_many(first, term, unit[row, term], 16)):
+        want = np.sort(unit @ unit[q])[::-1][:16]
+        want = want[want > 0]
+        assert np.allclose(cosine, np.minimum(want, 1), atol=1e-12)
+        assert np.allclose((unit @ unit[q])[example], cosine) and len(set(example.tolist())) == len(example)
+
+
+def test_texts_without_words_of_the_label_meet_their_examples(spark):
+    rows = [(i, "bad awful words" if i % 3 == 0 else f"nice day number{i % 7}") for i in range(300)] + [(900, "number3 nice morning"), (901, "unheard " * 50 + " ".join(f"x{chr(97 + i)}" for i in range(26)) + " awful")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, None, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    assert len(out[900].evidence) == 3 and all(e.toxic == 0 for e in out[900].evidence)
+    assert 0 < out[901].evidence[0].cosine < 0.8  # one word of an example in a long text of others
