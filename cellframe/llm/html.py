@@ -7,8 +7,11 @@ decoded and white space turned into single spaces. A line weighs as many charact
 
 The weights are summed over blocks of BLOCK lines. The text surges at the first line whose block reaches the
 threshold and dives after the last one; the threshold is SURGE characters, or half of the largest block on a page
-with less. Lines between surge and dive are kept. So are their neighbours in the same container (the article or
-section around them), which keeps headings and short closing lines.
+with less. Lines between surge and dive are kept. So are their neighbours in the same container (the article or main
+element around them, or else the section) and in those nested in it, which keeps headings, short closing lines and
+tables; where that is the body itself, lines of nested ones that are mostly links go at the edge.
+
+A head ends at its end tag, or where its end tag is left out, at the first text or element that can't be in it.
 
 Nulls: null html has the empty text and no characters; a null page_id or url is kept. A page without text outside
 of the stripped elements has the empty text. Repeated rows give repeated rows.
@@ -27,10 +30,12 @@ from pyspark.sql import functions as F
 BLOCK, SURGE = 3, 86
 
 #: Elements whose content is no text, and elements that are no part of the article.
-SILENT = frozenset("script style noscript template svg math canvas iframe object textarea select option audio video map head".split())
+SILENT = frozenset("script style noscript template svg math canvas iframe object textarea select option audio video map head title".split())
 APART = frozenset("nav footer aside form button menu dialog".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements of a head; any other ends it.
+HEAD = frozenset("base link meta noscript script style template title".split())
 SECTION = frozenset("article main section div td body".split())
 #: Words of a class, id or role that tell what is no part of the article, and those of a wrapper around all of it.
 APART_WORDS = frozenset(
@@ -42,7 +47,8 @@ HEADER_WORDS = frozenset(("header", "site-header"))
 WRAPPER_WORDS = frozenset("article body container content entry has main no page post story with wrapper".split())
 
 TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<silent>script|style|noscript|template|svg|math|canvas|iframe|object|textarea|select|audio|video|head)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=silent)\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(?P<silent>script|style|noscript|template|svg|math|canvas|iframe|object|textarea|select|audio|video)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=silent)\s*>|\Z)"
+    r"|<title\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</title\s*>|(?=</head\b|<body\b)|\Z)"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|</?[a-zA-Z!?][^>]*>|<[!?][^>]*>",
     re.S | re.I,
 )
@@ -65,13 +71,14 @@ def is_apart(name: str, rest: str, in_article: bool) -> bool:
     return bool(words & APART_WORDS) or not in_article and "header" in words
 
 
-def lines(page: str) -> list[tuple[str, int, int]]:
-    """(text, characters in links, container) of every block outside of stripped elements."""
+def lines(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int]]]:
+    """(text, characters in links, container) of every block outside of stripped elements; (name, parent) of every container."""
     out: list[tuple[str, int, int]] = []
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, int]] = [("", False, 0)]  # name, apart, container
-    containers, links, articles, at = 0, 0, 0, 0
+    containers = [("", 0)]
+    links, articles, at = 0, 0, 0
 
     def close() -> None:
         nonlocal linked
@@ -89,6 +96,8 @@ def lines(page: str) -> list[tuple[str, int, int]]:
         del stack[depth:]
 
     for match in TAG.finditer(page):
+        if stack[-1][0] == "head" and not page[at : match.start()].isspace() and match.start() > at:
+            pop(len(stack) - 1)
         if match.start() > at and not stack[-1][1]:
             text = page[at : match.start()]
             parts.append(text)
@@ -100,6 +109,13 @@ def lines(page: str) -> list[tuple[str, int, int]]:
             continue
         name = name.lower()
         inline = name in INLINE
+        if stack[-1][0] == "head" and not match.group("end") and name not in HEAD:
+            pop(len(stack) - 1)
+        if name == "head" and not match.group("end"):
+            if all(open_ in ("", "html") for open_, _, _ in stack):  # elsewhere the tag means nothing
+                close()
+                stack.append((name, True, stack[-1][2]))
+            continue
         if not inline:
             close()
         if match.group("end"):
@@ -121,19 +137,44 @@ def lines(page: str) -> list[tuple[str, int, int]]:
                 continue
             apart = stack[-1][1] or is_apart(name, match.group("rest"), articles > 0)
             if name in SECTION:
-                containers += 1
-            stack.append((name, apart, containers if name in SECTION else stack[-1][2]))
+                containers.append((name, stack[-1][2]))
+            stack.append((name, apart, len(containers) - 1 if name in SECTION else stack[-1][2]))
             links += name == "a"
             articles += name == "article"
+    if stack[-1][0] == "head" and page[at:].strip():
+        pop(len(stack) - 1)
     if at < len(page) and not stack[-1][1]:
         parts.append(page[at:])
     close()
-    return out
+    return out, containers
+
+
+def homes(own: set[int], containers: list[tuple[str, int]]) -> set[int]:
+    """The given containers and the articles around them.
+
+    That is the next article, or else main element; or else, of a cell, what its table is in. A container around all
+    of the given ones counts too, but for the body.
+    """
+    found, chains = set(), []
+    for c in own:
+        chain = [c]
+        while chain[-1]:
+            chain.append(containers[chain[-1]][1])
+        names = [containers[x][0] for x in chain]
+        for kind in ("article", "main"):
+            if kind in names:
+                found.add(chain[names.index(kind)])
+                break
+        else:
+            found.add(next(x for x, name in zip(chain, names) if name != "td"))
+        chains.append(chain)
+    shared = next(x for x in chains[0] if all(x in chain for chain in chains))
+    return found | own | ({shared} if containers[shared][0] not in ("", "body") else set())
 
 
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by a line break."""
-    found = lines(page or "")
+    found, containers = lines(page or "")
     if not found:
         return ""
     weight = [len(text) - in_links for text, in_links, _ in found]
@@ -146,15 +187,24 @@ def main_text(page: str | None) -> str:
     while dive + 1 < len(found) and weight[dive + 1] and dive + 1 < high[-1] + BLOCK:
         dive += 1
     heavy = max(range(surge, dive + 1), key=lambda i: (weight[i], -i))
-    inside = {found[i][2] for i in range(surge, dive + 1) if weight[i] >= SURGE} | {found[heavy][2]}
-    while found[surge][2] not in inside:
+    inside = homes({found[i][2] for i in range(surge, dive + 1) if weight[i] >= SURGE} | {found[heavy][2]}, containers)
+    within, firm = [False] * len(containers), [False] * len(containers)
+    for c, (_, parent) in enumerate(containers):  # a parent comes before its children
+        within[c] = c in inside or c > 0 and within[parent]
+        firm[c] = c in inside or c > 0 and firm[parent] and containers[parent][0] not in ("", "body")
+    stays = [within[c] and (firm[c] or 2 * w > len(text)) for (text, _, c), w in zip(found, weight)]
+    while not stays[surge]:
         surge += 1
-    while found[dive][2] not in inside:
+    while not stays[dive]:
         dive -= 1
-    while surge and found[surge - 1][2] in inside:
-        surge -= 1
-    while dive + 1 < len(found) and found[dive + 1][2] in inside:
-        dive += 1
+    at = surge
+    while at and within[found[at - 1][2]]:
+        at -= 1
+        surge = at if stays[at] else surge
+    at = dive
+    while at + 1 < len(found) and within[found[at + 1][2]]:
+        at += 1
+        dive = at if stays[at] else dive
     return "\n".join(text for text, _, _ in found[surge : dive + 1])
 
 

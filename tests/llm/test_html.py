@@ -53,3 +53,27 @@ def test_nulls_repeated_rows_and_extra_columns(spark):
     got = sorted(map(tuple, html.extract(df).collect()), key=str)
     assert got == sorted([(1, "u", LONG, len(LONG))] * 2 + [(None, None, "", 0), (2, None, "", 0)], key=str)
     assert html.extract(df.limit(0)).collect() == []
+
+
+def test_articles_that_begin_or_end_with_nested_containers_keep_them():
+    table = "<table><tr><td>Year</td><td>Sum</td></tr><tr><td>2001</td><td>12</td></tr></table>"
+    cells = ["Year", "Sum", "2001", "12"]
+    short = "<section><p>One.</p><div><p>Two.</p></div></section>"
+    outside = "<div><p>Short notice</p></div>"
+    for around in ("article", "main", "div"):
+        for first, last in (("", table), (table, ""), (short, ""), ("", short), (short, table)):
+            want = [*(cells if first == table else ["One.", "Two."] if first else []), LONG, LONG, *(cells if last == table else ["One.", "Two."] if last else [])]
+            body = f"{outside}<{around}>{first}<p>{LONG}</p><p>{LONG}</p>{last}</{around}>{outside}"
+            assert html.main_text(page(body)).split("\n") == want, (around, first, last)
+    nested = f"{outside}<article><div><p>Lead.</p></div><div><p>{LONG}</p></div><div><p>End.</p><p><a href=/x>Source</a></p></div></article>{outside}"
+    assert html.main_text(page(nested)).split("\n") == ["Lead.", LONG, "End.", "Source"]
+    bare = f"<p>{LONG}</p><table><tr><td>2001</td></tr></table><div><a href=/x>one</a> <a href=/y>two</a></div>"
+    assert html.main_text(page(bare)).split("\n") == [LONG, "2001"]
+
+
+def test_a_head_without_an_end_tag_ends_where_the_body_begins():
+    head = "<html><head><meta charset=utf-8><title>A <p> title</title><script>var a='<p>';</script><link rel=x href=y>"
+    for start in ("<body>", "<article>", "<div>", ""):
+        assert html.main_text(f"{head}{start}<p>{LONG}</p><p>{LONG}") == f"{LONG}\n{LONG}"
+    assert html.main_text(f"{head}{LONG}<p>More.") == f"{LONG}\nMore."
+    assert html.main_text(f"<head><title>never closed<body><p>{LONG}</p>") == LONG
