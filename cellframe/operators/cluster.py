@@ -1,10 +1,8 @@
 """Cluster-then-label: communities of cells per core and positivity by cluster mean.
 
-A core of any size is handled. Up to ``MAX_PROTOTYPES`` cells it is clustered
-cell by cell; a larger one is represented by about that many prototype cells, which
-are clustered, and every cell takes the cluster of its nearest prototype. The
-prototypes of a core are the only rows that meet in one task; the assignment
-runs over salted slices of the core.
+Every core is clustered on all of its cells, by the same rule at every size. All
+cells of a core meet in one task, whose time grows with the square of the core's
+cells (README: figures).
 """
 
 from __future__ import annotations
@@ -19,7 +17,6 @@ from pyspark.sql import functions as F
 from cellframe.functions.expr import require, stack_columns
 from cellframe.operators.normalize import zscore_by_core
 from cellframe.operators.rules import phenotype_labels
-from cellframe.operators.sampling import uniform
 from cellframe.panel import CELL_KEY, DEFAULT_PANEL, MarkerPanel, ch, ph
 from cellframe.session import cut
 
@@ -29,6 +26,7 @@ NEIGHBOURS = 20
 COMPONENTS = 10
 SEED = 0
 
+# Without effect: no core is sampled or sliced. Kept as names that callers set.
 MAX_PROTOTYPES = 4000
 CELLS_PER_SLICE = 20000
 SCALED = "zscore_spacec"
@@ -144,51 +142,13 @@ def cluster_cells(
     require(df, [*CELL_KEY, *columns])
     vector = F.array(*[F.col(c).cast("double") for c in columns])
     cells = df.select("basename", "cell_id", vector.alias("v"))
-    sizes = cells.groupBy("basename").agg(F.count("*").alias("__n"))
-    # all cells of a small core; of a large one a hashed share, drawn before anything is shuffled
-    share = F.lit(float(MAX_PROTOTYPES)) / F.col("__n")
-    prototypes = cells.join(sizes, "basename").filter(
-        (F.col("__n") <= MAX_PROTOTYPES) | (uniform(seed, ["cell_id"]) < share)
-    )
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("cell_id")
         ids = cluster_matrix(np.stack(pdf["v"].to_numpy()), k, resolution, components, seed)
-        return pd.DataFrame({"basename": pdf["basename"], "cell_id": pdf["cell_id"], "v": pdf["v"], out: ids})
+        return pd.DataFrame({"basename": pdf["basename"], "cell_id": pdf["cell_id"], out: ids})
 
-    labelled = cut(
-        prototypes.select("basename", "cell_id", "v").groupBy("basename").applyInPandas(
-            label, f"basename string, cell_id long, v array<double>, {out} int"
-        )
-    )
-    small = labelled.join(sizes.filter(F.col("__n") <= MAX_PROTOTYPES).select("basename"), "basename", "left_semi")
-    large = sizes.filter(F.col("__n") > MAX_PROTOTYPES).withColumn(
-        "__slices", F.ceil(F.col("__n") / CELLS_PER_SLICE)
-    )
-    sliced = cells.join(large, "basename").select(
-        "basename", F.pmod(F.xxhash64("cell_id"), F.col("__slices")).alias("slice"), "cell_id", "v"
-    )
-    spread = labelled.join(large, "basename").select(
-        "basename", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__slices") - 1)).alias("slice"), "v", out
-    )
-
-    def assign(rows: pd.DataFrame, protos: pd.DataFrame) -> pd.DataFrame:
-        if rows.empty:
-            return pd.DataFrame({"basename": [], "cell_id": [], out: []})
-        p = np.stack(protos["v"].to_numpy())
-        ids, half = protos[out].to_numpy(), 0.5 * (p**2).sum(axis=1)
-        found = []
-        for start in range(0, len(rows), 2048):
-            x = np.stack(rows["v"].iloc[start:start + 2048].to_numpy())
-            found.append(ids[(x @ p.T - half).argmax(axis=1)])
-        return pd.DataFrame({
-            "basename": rows["basename"], "cell_id": rows["cell_id"], out: np.concatenate(found),
-        })
-
-    assigned = sliced.groupBy("basename", "slice").cogroup(spread.groupBy("basename", "slice")).applyInPandas(
-        assign, f"basename string, cell_id long, {out} int"
-    )
-    return small.select("basename", "cell_id", out).unionByName(assigned)
+    return cut(cells.groupBy("basename").applyInPandas(label, f"basename string, cell_id long, {out} int"))
 
 
 def cluster_zscore(

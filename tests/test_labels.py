@@ -196,3 +196,13 @@ def test_calibration(spark):
     assert pdf[pdf.ch27_pos].ch27_prob_logreg.mean() > pdf[~pdf.ch27_pos].ch27_prob_logreg.mean() + 0.2
     report = {r.name: r for r in calibrate.calibration_rows(train, out, TWO).collect()}
     assert report["CD68"].auc_logreg > 0.8 and report["CD68"].n_eval_cells == 400
+
+
+def test_a_core_of_any_size_is_clustered_on_all_its_cells(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 0.3, (9000, len(TWO.channels)))
+    x[::2] += 3.0
+    columns = [f"ch{c:02d}_{cluster.SCALED}" for c in TWO.channels]
+    df = spark.createDataFrame([("a", i, *map(float, v)) for i, v in enumerate(x)], "basename string, cell_id long, " + ", ".join(f"{c} double" for c in columns))
+    got = cluster.cluster_cells(df, TWO, k=10).toPandas().sort_values("cell_id").cluster_id_spacec.to_numpy()
+    assert (got == cluster.cluster_matrix(x, 10)).all()
