@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, dac, decontaminate, fingerprint, html, lm, simhash, substring, toolcalls, toxicity
+from cellframe.llm import bpe, dac, decontaminate, fingerprint, html, lm, merkle, shards, simhash, substring, toolcalls, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +67,14 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_contiguous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.shard(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -84,6 +92,8 @@ QUERIES: dict[str, Query] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_token_files": op9_token_files,
     "op10_main_text": op10_main_text,
+    "op11_contiguous_shards": op11_contiguous_shards,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "pipeline": pipeline,
 }
 
@@ -92,4 +102,6 @@ ORACLES: dict[str, str] = {
     "op2_fingerprints": fingerprint.ORACLE_SQL,
     "op3_decontamination": decontaminate.ORACLE_SQL,
     "op5_tool_calls": toolcalls.ORACLE_SQL,
+    "op11_contiguous_shards": shards.ORACLE_SQL,
+    "op12_merkle_manifest": merkle.ORACLE_SQL,
 }
