@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellframe.llm import bpe, dac, decontaminate, fingerprint, html, lm, merkle, shards, simhash, substring, toolcalls, toxicity
+from cellframe.llm import bpe, dac, decontaminate, fingerprint, html, lm, merkle, shards, simhash, spelling, substring, toolcalls, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -75,6 +75,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified(table(spark, sf_dir, "documents"))
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports this module
 
@@ -94,6 +98,7 @@ QUERIES: dict[str, Query] = {
     "op10_main_text": op10_main_text,
     "op11_contiguous_shards": op11_contiguous_shards,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_spelling_variants": op13_spelling_variants,
     "pipeline": pipeline,
 }
 
@@ -104,4 +109,5 @@ ORACLES: dict[str, str] = {
     "op5_tool_calls": toolcalls.ORACLE_SQL,
     "op11_contiguous_shards": shards.ORACLE_SQL,
     "op12_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_spelling_variants": spelling.ORACLE_SQL,
 }
