@@ -10,7 +10,7 @@ rows of slot zero then hold a whole run and emit the parent. All trees of a leve
 rows to a run, so a source with most of the rows loads no task more than others. Proofs run top down: the siblings
 above a node are those of its parent and are joined once a run.
 
-Digests are lower-case hex and enter hashes as such. A field is ``-`` if null, else its UTF-8 byte count, a colon and
+Digests enter hashes as lower-case hex; between joins they are 32 bytes. A field is ``-`` if null, else its UTF-8 byte count, a colon and
 the value. Leaves of equal doc_id follow in the order of their digests, null ids first; repeated rows are leaves of
 their own. An empty table gives no row. Texts of any length are hashed whole.
 """
@@ -26,7 +26,7 @@ from cellframe.session import cut
 
 ARITY = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-PATH = "array<struct<before:string,after:string>>"
+PATH = "array<struct<before:binary,after:binary>>"
 
 
 def field(value: Column) -> Column:
@@ -35,8 +35,12 @@ def field(value: Column) -> Column:
 
 
 def leaf_digest(text: Column) -> Column:
-    """The leaf of a row of documents with the given text."""
-    return F.sha2(F.concat(*[field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")], field(text)), 256)
+    """The leaf of a row of documents with the given text, as bytes."""
+    return F.unhex(F.sha2(F.concat(*[field(F.col(c)) for c in ("doc_id", "source", "lang", "n_chars")], field(text)), 256))
+
+
+def hexed(digests: Column) -> Column:
+    return F.lower(F.hex(digests))
 
 
 def with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
@@ -49,12 +53,11 @@ def with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
         offers = nodes.select("tree", slot.alias("slot"), first.alias("first"), "digest", shifts)
         shifted = offers.select("tree", (F.col("first") + (F.col("slot") + F.col("shift")) % arity).alias("idx"), "slot", "digest")
     met = shifted.groupBy("tree", "idx").agg(F.array_sort(F.collect_list(F.struct("slot", "digest"))).alias("_met"))
-    side = lambda keep: F.array_join(F.transform(F.filter("_met", keep), lambda m: m["digest"]), "")
+    nothing = F.lit(b"")
+    side = lambda keep: F.coalesce(F.aggregate(F.filter("_met", keep), nothing, lambda acc, m: F.concat(acc, m["digest"])), nothing)
     found = nodes.join(met, ["tree", "idx"], "left").withColumn("_slot", slot)
     return found.select(
-        *nodes.columns, F.coalesce(side(lambda m: m["slot"] < F.col("_slot")), F.lit("")).alias("before"),
-        F.coalesce(side(lambda m: m["slot"] > F.col("_slot")), F.lit("")).alias("after"),
-    )
+        *nodes.columns, side(lambda m: m["slot"] < F.col("_slot")).alias("before"), side(lambda m: m["slot"] > F.col("_slot")).alias("after"))
 
 
 def levels(leaves: DataFrame, arity: int = ARITY) -> tuple[list[DataFrame], list[DataFrame]]:
@@ -70,7 +73,7 @@ def levels(leaves: DataFrame, arity: int = ARITY) -> tuple[list[DataFrame], list
             return steps, ends
         steps.append(cut(with_siblings(nodes.where("n > 1"), arity)))
         nodes = steps[-1].where(F.col("idx") % arity == 0).select(
-            "tree", F.expr(f"idx div {arity}").alias("idx"), F.sha2(F.concat("digest", "after"), 256).alias("digest"), F.expr(f"(n + {arity - 1}) div {arity}").alias("n"))
+            "tree", F.expr(f"idx div {arity}").alias("idx"), F.unhex(F.sha2(hexed(F.concat("digest", "after")), 256)).alias("digest"), F.expr(f"(n + {arity - 1}) div {arity}").alias("n"))
         most = -(-most // arity)
 
 
@@ -106,7 +109,7 @@ def manifest(docs: DataFrame, altered: Column | None = None, arity: int = ARITY)
     With ``altered``, a text in terms of the columns of documents, also altered_leaf: the leaf it would give.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", "n_chars", "text")
-    more = [] if altered is None else [leaf_digest(altered).alias("altered_leaf")]
+    more = [] if altered is None else [hexed(leaf_digest(altered)).alias("altered_leaf")]
     rows = docs.select(
         "doc_id", F.col("source").isNotNull().alias("known"), F.coalesce("source", F.lit("")).alias("name"), leaf_digest(F.col("text")).alias("digest"), *more)
     placed = positions(rows, ["known", "name", "doc_id", "digest"], by=["known", "name"])
@@ -122,10 +125,11 @@ def manifest(docs: DataFrame, altered: Column | None = None, arity: int = ARITY)
     top = ranked.select(F.lit(0).cast("long").alias("tree"), F.col("row_no").alias("idx"), "digest", F.col("group_rows").alias("n"), "source_tree")
     top_steps, top_ends = levels(cut(top), arity)
     root = top_ends[-1].select("digest").first()
-    whole = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("tree"), F.array().cast(PATH).alias("path"), F.lit(root and root[0]).cast("string").alias("root"))
+    whole = docs.sparkSession.range(1).select(F.lit(0).cast("long").alias("tree"), F.array().cast(PATH).alias("path"), F.lit(root and root[0].hex()).cast("string").alias("root"))
     upper = with_paths(top_steps, top_ends, whole, arity)
-    above = cut(upper.select(F.col("source_tree").alias("tree"), "path", "root", F.col("digest").alias("subroot")))
-    return with_paths(steps, ends, above, arity).withColumnRenamed("digest", "leaf").drop("tree", "idx", "n")
+    above = cut(upper.select(F.col("source_tree").alias("tree"), "path", "root", hexed(F.col("digest")).alias("subroot")))
+    path = F.transform("path", lambda step: F.struct(hexed(step["before"]).alias("before"), hexed(step["after"]).alias("after")))
+    return with_paths(steps, ends, above, arity).select("doc_id", "source", *(["altered_leaf"] if more else []), hexed(F.col("digest")).alias("leaf"), "subroot", "root", path.alias("path"))
 
 
 def verified(docs: DataFrame) -> DataFrame:
