@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from cellframe.functions.expr import nan_to_null, ratio, stack_columns, truthy
+from cellframe.functions.expr import literal_map, nan_to_null, ratio, stack_columns, truthy
 from cellframe.functions.running import group_quantiles, join_salted
 from cellframe.panel import DEFAULT_PANEL, MarkerPanel, ch
+from cellframe.session import cut
 
 OTSU_BINS = 256
 GRID = 1024
 METHODS = ("gmm", "otsu", "quantile")
 FALLBACK_QUANTILE = 0.9
 MIN_FIT_VALUES = 50
-MIXTURE_BINS, MIXTURE_ROUNDS, MIN_VARIANCE = 1024, 100, 1e-6
+# Rounds, tolerances and the variance added to every component.
+MIXTURE_ROUNDS, MIXTURE_TOLERANCE, ADDED_VARIANCE = 200, 1e-3, 1e-4
+SPLIT_ROUNDS, SPLIT_TOLERANCE = 300, 1e-4
+MIN_MASS = 1e-9
 
 
 def otsu_cuts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -124,57 +130,113 @@ def crossing_on_grid(
     return float(grid[turns[-1]]) if turns.size else float(m.mean())
 
 
-def histograms(long: DataFrame, by: Sequence[str], value: str, bins: int) -> DataFrame:
-    """by, bin, n and the mean value of every non-empty bin of equal width: at most ``bins`` rows a group."""
-    clean = long.filter(F.col(value).isNotNull()).select(*by, F.col(value).alias("__v"))
-    span = clean.groupBy(*by).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
-    place = F.try_divide((F.col("__v") - F.col("__lo")) * F.lit(float(bins)), F.col("__hi") - F.col("__lo"))
-    binned = join_salted(clean, span, list(by), F.col("__v")).select(
-        *by, "__salt", "__v", F.least(F.coalesce(F.floor(place), F.lit(0)), F.lit(bins - 1)).cast("int").alias("bin"))
-    part = binned.groupBy(*by, "__salt", "bin").agg(F.count("*").alias("n"), F.sum("__v").alias("s"))
-    return part.groupBy(*by, "bin").agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"))
+@dataclass
+class Mixture:
+    """Two normal components of one channel, and whether they have settled."""
 
+    weights: tuple[float, float]
+    means: tuple[float, float]
+    variances: tuple[float, float]
+    fit: float = float("-inf")
+    settled: bool = False
 
-def two_gaussians(mean, n, rounds: int = MIXTURE_ROUNDS) -> tuple[list[float], list[float], list[float]]:
-    """Weights, means and variances of a two-component mixture of binned values, by a fixed number of EM rounds.
 
-    Starts one deviation to either side of the mean.
-    """
-    import numpy as np
+def _per_slot(values: Sequence[float], slot: Column) -> Column:
+    """The entry of a configuration list at ``slot``; a list is data to the generated code, which is made once."""
+    return F.get(F.array(*[F.lit(float(v)) for v in values]), slot)
+
+
+def _by_slot(rows: DataFrame, active: Sequence[bool], sums: Mapping[str, Column]) -> dict[int, Row]:
+    """One aggregation over all values of the active channels: a row of sums for each."""
+    picked = rows.filter(F.get(F.array(*[F.lit(bool(a)) for a in active]), F.col("slot")))
+    return {r["slot"]: r for r in picked.groupBy("slot").agg(*[F.sum(c).alias(n) for n, c in sums.items()]).toLocalIterator()}
 
-    x, n = np.asarray(mean, float), np.asarray(n, float)
-    total, centre = n.sum(), (n @ x) / n.sum()
-    var = max(float(n @ (x - centre) ** 2 / total), MIN_VARIANCE)
-    w, m, v = np.array([0.5, 0.5]), centre + np.sqrt(var) * np.array([-1.0, 1.0]), np.array([var, var])
-    for _ in range(rounds):
-        density = w / np.sqrt(v) * np.exp(-0.5 * (x[:, None] - m) ** 2 / v)
-        share = density / np.maximum(density.sum(axis=1, keepdims=True), 1e-300) * n[:, None]
-        mass = np.maximum(share.sum(axis=0), 1e-9)
-        w, m = mass / total, (share * x[:, None]).sum(axis=0) / mass
-        v = np.maximum((share * (x[:, None] - m) ** 2).sum(axis=0) / mass, MIN_VARIANCE)
-    return w.tolist(), m.tolist(), v.tolist()
 
+def _split_centres(rows: DataFrame, means: list[float], spreads: list[float]) -> list[tuple[float, float]]:
+    """Two centres of each channel by Lloyd's rounds, from one deviation to either side of the mean."""
+    centres = [(m - sd, m + sd) for m, sd in zip(means, spreads)]
+    active = [sd > 0 for sd in spreads]
+    for _ in range(SPLIT_ROUNDS):
+        if not any(active):
+            break
+        low, high = (_per_slot([c[k] for c in centres], F.col("slot")) for k in (0, 1))
+        upper = F.col("v") - low > high - F.col("v")
+        sums = {"n": upper.cast("double"), "s": F.when(upper, F.col("v")), "rest": F.when(~upper, F.lit(1.0)), "t": F.when(~upper, F.col("v"))}
+        for i, r in _by_slot(rows, active, sums).items():
+            was = centres[i]
+            centres[i] = (r["t"] / r["rest"] if r["rest"] else was[0], r["s"] / r["n"] if r["n"] else was[1])
+            active[i] = sum((x - y) ** 2 for x, y in zip(was, centres[i])) > SPLIT_TOLERANCE * spreads[i] ** 2
+    return centres
 
-def gmm_intersection(
-    df: DataFrame, panel: MarkerPanel = DEFAULT_PANEL, bins: int = MIXTURE_BINS, rounds: int = MIXTURE_ROUNDS
-) -> dict[int, float]:
-    """Cut per channel where a two-component mixture changes component.
 
-    One pass makes the histograms of all channels, at most ``bins`` rows each; the mixtures are fitted to
-    those. Fewer than 50 values take the 0.9 quantile.
+def _round(rows: DataFrame, mixtures: Sequence[Mixture], shares: Sequence[Column], active: Sequence[bool], fit: Column) -> dict[int, tuple[Mixture, float]]:
+    """The mixtures that follow from the values' shares in either component, and the mean of ``fit``.
+
+    Deviations are from the present means, so that squares of large values don't cancel.
+    """
+    sums = {"n": F.lit(1.0), "fit": fit}
+    for k in (0, 1):
+        d = F.col("v") - _per_slot([m.means[k] for m in mixtures], F.col("slot"))
+        sums |= {f"w{k}": shares[k], f"d{k}": shares[k] * d, f"q{k}": shares[k] * d * d}
+    out = {}
+    for i, r in _by_slot(rows, active, sums).items():
+        mass = [max(r[f"w{k}"], MIN_MASS) for k in (0, 1)]
+        step = [r[f"d{k}"] / mass[k] for k in (0, 1)]
+        spread = [max(r[f"q{k}"] / mass[k] - step[k] ** 2, 0.0) + ADDED_VARIANCE for k in (0, 1)]
+        means = [mixtures[i].means[k] + step[k] for k in (0, 1)]
+        out[i] = (Mixture((mass[0] / sum(mass), mass[1] / sum(mass)), tuple(means), tuple(spread)), r["fit"] / r["n"])
+    return out
+
+
+def fit_mixtures(long: DataFrame, channels: Sequence[int], rounds: int = MIXTURE_ROUNDS) -> dict[int, Mixture]:
+    """Two normal components per channel, over all values of ``long`` (channel, v).
+
+    Expectation maximisation, started from a split into two clusters. A round is one map-side-combined aggregation of
+    counts, sums and sums of squares over all values of all channels; the driver holds a few numbers a channel. A
+    channel stops when the mean log-likelihood moves by less than MIXTURE_TOLERANCE, or after ``rounds``. Channels
+    without values are left out.
+    """
+    slots = literal_map({c: i for i, c in enumerate(channels)})
+    rows = cut(long.select(slots[F.col("channel")].alias("slot"), F.col("v").cast("double").alias("v")).filter("slot is not null and v is not null"))
+    n = len(channels)
+    about = {r["slot"]: r for r in rows.groupBy("slot").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("sd")).toLocalIterator()}
+    means = [about[i]["m"] if i in about else 0.0 for i in range(n)]
+    spreads = [about[i]["sd"] if i in about else 0.0 for i in range(n)]
+    centres = _split_centres(rows, means, spreads)
+    mixtures = [Mixture((0.5, 0.5), c, (1.0, 1.0)) for c in centres]
+    low, high = (_per_slot([c[k] for c in centres], F.col("slot")) for k in (0, 1))
+    upper = (F.col("v") - low > high - F.col("v")).cast("double")
+    for i, (made, _) in _round(rows, mixtures, [F.lit(1.0) - upper, upper], [True] * n, F.lit(0.0)).items():
+        mixtures[i] = made
+    for _ in range(rounds):
+        active = [i in about and not m.settled for i, m in enumerate(mixtures)]
+        if not any(active):
+            break
+        logs = []
+        for k in (0, 1):
+            d = F.col("v") - _per_slot([m.means[k] for m in mixtures], F.col("slot"))
+            base = _per_slot([math.log(m.weights[k]) - 0.5 * math.log(2 * math.pi * m.variances[k]) for m in mixtures], F.col("slot"))
+            logs.append(base - d * d / _per_slot([2 * m.variances[k] for m in mixtures], F.col("slot")))
+        top = F.greatest(*logs)
+        whole = top + F.log(F.exp(logs[0] - top) + F.exp(logs[1] - top))
+        for i, (made, fit) in _round(rows, mixtures, [F.exp(x - whole) for x in logs], active, whole).items():
+            made.fit, made.settled = fit, abs(fit - mixtures[i].fit) < MIXTURE_TOLERANCE
+            mixtures[i] = made
+    return {c: mixtures[i] for i, c in enumerate(channels) if i in about}
+
+
+def gmm_intersection(df: DataFrame, panel: MarkerPanel = DEFAULT_PANEL, rounds: int = MIXTURE_ROUNDS) -> dict[int, float]:
+    """Cut per channel where a two-component mixture of all its values changes component.
+
+    Fewer than 50 values take the 0.9 quantile.
     """
     long = melt_values(df, panel)
-    rows: dict[int, list[tuple[float, int]]] = {}
-    for row in histograms(long, ["channel"], "v", bins).orderBy("channel", "bin").toLocalIterator():
-        rows.setdefault(row["channel"], []).append((row["mean"], row["n"]))
-    cuts, sparse = {}, []
-    for c in panel.channels:
-        if ch(c, "true") not in df.columns:
-            continue
-        if sum(n for _, n in rows.get(c, [])) < MIN_FIT_VALUES:
-            sparse.append(c)
-            continue
-        cuts[c] = crossing_on_grid(*two_gaussians(*zip(*rows[c]), rounds))
+    counts = {r["channel"]: r["n"] for r in long.groupBy("channel").agg(F.count("v").alias("n")).toLocalIterator()}
+    enough = [c for c in panel.channels if counts.get(c, 0) >= MIN_FIT_VALUES]
+    cuts = {}
+    if enough:
+        cuts = {c: crossing_on_grid(m.weights, m.means, m.variances) for c, m in fit_mixtures(long, enough, rounds).items()}
+    sparse = [c for c in panel.channels if 0 < counts.get(c, 0) < MIN_FIT_VALUES]
     if sparse:
         few = long.filter(F.col("channel").isin(sparse))
         for row in group_quantiles(few, ["channel"], "v", {"q": FALLBACK_QUANTILE}).toLocalIterator():
