@@ -12,6 +12,7 @@ from cellframe.operators import sampling as SM
 from cellframe.operators.spatial import knn as K
 from cellframe.operators.spatial import polygons as PG
 from cellframe.operators.spatial import preference as PR
+from cellframe.operators.spatial import quadtree as Q
 from cellframe.panel import ch
 from cellframe.plans import bundle as PL
 
@@ -26,6 +27,11 @@ def within(spark, d):
     return K.radius_edges(D.typed(spark, d), float(RADIUS), LABEL)
 
 
+def around(spark, d):
+    """The label counts within the radius, from the tree."""
+    return Q.radius_counts(D.typed(spark, d), RADIUS, LABEL, LABELS)
+
+
 EDGE_COLS = ["basename", "src_cell_id", "dst_cell_id", "src_phenotype", "dst_phenotype", "distance_px"]
 _ecols = f"basename, src_cell_id, dst_cell_id, src_phenotype, dst_phenotype, {r6('distance_px', 'distance_px')}"
 add("j8_knn_edges", lambda s, d: K.knn_edges(D.typed(s, d), 16, LABEL).select(*EDGE_COLS, "rank"),
@@ -108,33 +114,33 @@ COZI = (COUNTS + ", cz0 as (select pr.*, deg, dt.total as n_edges, coalesce(obse
         f"cz3 as (select *, abs(z)/sqrt(2.0e0) as q from cz2), cz4 as (select *, {ERF[0]} as t from cz3), cozi as (select *, {ERF[1]} as pv from cz4)")
 _cz = ("basename, a as phenotype_a, b as phenotype_b, cast(observed as bigint) as observed, " + r6("expected", "expected") + ", " + r6("variance", "variance") + ", "
        + r6("z", "z") + ", " + r6("pv", "p_two_sided") + ", n_a, n_b, cast(n_total as bigint) as n_total, cast(n_edges as bigint) as n_edges")
-add("d13_edge_counts", lambda s, d: PR.edge_counts(within(s, d)),
+add("d13_edge_counts", lambda s, d: PR.edge_counts(around(s, d)),
     f"with {TYPED}, {WITHIN}, {COUNTS} select ec.basename, ec.a as src_phenotype, b as dst_phenotype, observed, cast(deg as bigint) as out_degree, cast(total as bigint) as n_edges "
     "from ec join dg on dg.basename=ec.basename and dg.a=ec.a join dt on dt.basename=ec.basename")
 add("j17_phenotype_pairs", lambda s, d: PR.phenotype_pairs(PR.label_counts(D.typed(s, d))),
     f"with {TYPED}, {WITHIN}, {COUNTS} select basename, a as phenotype_a, b as phenotype_b, n_a, n_b, cast(n_total as bigint) as n_total from pr")
-add("d14_cozi", lambda s, d: PR.cozi(D.typed(s, d), within(s, d)), f"with {TYPED}, {WITHIN}, {COZI} select {_cz} from cozi")
+add("d14_cozi", lambda s, d: PR.cozi(D.typed(s, d), around(s, d)), f"with {TYPED}, {WITHIN}, {COZI} select {_cz} from cozi")
 RATIO = ("oe as (select pr.basename, pr.a, pr.b, observed, deg*(case when pr.a=pr.b then greatest(n_a-1,0) else n_b end)/cast(greatest(n_total-1,1) as double) as expected "
          "from ec join pr on pr.basename=ec.basename and pr.a=ec.a and pr.b=ec.b join dg on dg.basename=pr.basename and dg.a=pr.a)")
-add("d15_observed_over_expected", lambda s, d: PR.observed_over_expected(D.typed(s, d), within(s, d)),
+add("d15_observed_over_expected", lambda s, d: PR.observed_over_expected(D.typed(s, d), around(s, d)),
     f"with {TYPED}, {WITHIN}, {COUNTS}, {RATIO} select basename, a as phenotype_a, b as phenotype_b, observed, {r6('expected', 'expected')}, {r6('observed/greatest(expected,1e-6)', 'obs_over_exp')} from oe")
 _loc = ", ".join(f"sum(cast(dst_phenotype='{n}' as int)) as c_{n}" for n in LABELS)
 LOCAL = f"loc as (select basename, src_cell_id, count(*) as nn, {_loc} from edges group by 1,2)"
-add("d16_local_composition", lambda s, d: PR.local_composition(within(s, d)),
+add("d16_local_composition", lambda s, d: PR.local_composition(around(s, d)),
     f"with {TYPED}, {WITHIN}, {LOCAL} select basename, src_cell_id, nn as n_neighbors, "
     + ", ".join(f"cast(c_{n} as bigint) as local_count_{n}, {r6(f'c_{n}/cast(nn as double)', f'local_frac_{n}')}" for n in LABELS) + " from loc")
-add("d17_local_label_count", lambda s, d: PR.local_label_count(within(s, d), "tumor_ca9_or_panck"),
+add("d17_local_label_count", lambda s, d: PR.local_label_count(around(s, d), "tumor_ca9_or_panck"),
     f"with {TYPED}, {WITHIN}, {LOCAL} select basename, src_cell_id, nn as n_neighbors, cast(c_tumor_ca9_or_panck as bigint) as n_pheno from loc")
 HOT = (LOCAL + ", ls as (select basename, " + ", ".join(f"avg(c_{n}/cast(nn as double)) as m_{n}, stddev_pop(c_{n}/cast(nn as double)) as s_{n}" for n in LABELS)
        + " from loc group by 1), hz as (select loc.basename, src_cell_id, nn, " + ", ".join(f"c_{n}, (c_{n}/cast(nn as double)-m_{n})/(s_{n}+1e-9) as z_{n}" for n in LABELS)
        + " from loc join ls using (basename))")
-add("w3_hotspots", lambda s, d: PR.hotspots(within(s, d), "immune_cd45"),
+add("w3_hotspots", lambda s, d: PR.hotspots(around(s, d), "immune_cd45"),
     f"with {TYPED}, {WITHIN}, {HOT} select basename, src_cell_id, nn as n_neighbors, cast(c_immune_cd45 as bigint) as n_pheno, {r6('c_immune_cd45/cast(nn as double)', 'local_frac')}, "
     f"{r6('z_immune_cd45', 'z')}, z_immune_cd45 >= 1.96 as is_hotspot from hz")
 IOU = (HOT + ", hl as (" + " union all ".join(f"select basename, src_cell_id, '{n}' as label, z_{n} >= 1.96 as hot from hz" for n in LABELS)
        + "), iou as (select a.basename, a.label as a, b.label as b, case when a.label=b.label then 1.0 else sum(cast(a.hot and b.hot as int))/nullif(cast(sum(cast(a.hot or b.hot as int)) as double),0) end as iou "
        "from hl a join hl b on a.basename=b.basename and a.src_cell_id=b.src_cell_id group by 1,2,3)")
-add("d18_hotspot_overlap", lambda s, d: PR.hotspot_overlap(within(s, d)),
+add("d18_hotspot_overlap", lambda s, d: PR.hotspot_overlap(around(s, d)),
     f"with {TYPED}, {WITHIN}, {IOU} select basename, a as phenotype_a, b as phenotype_b, {r6('iou', 'hotspot_overlap_iou')} from iou")
 
 
@@ -152,25 +158,22 @@ add("j16_spatial_summary_join", summary,
 
 
 def radius_summary(spark, d):
-    typed = D.typed(spark, d)
-    return PL.summarize_edges(typed, K.radius_edges(typed, float(RADIUS), LABEL))
-
-
+    return PL.spatial_summary(D.scored(spark, d), MODEL, "radius", radius=float(RADIUS), panel=P)[1]
 
 
 def undefined_z(spark, d):
     """Preference rows some of which have no z, as pairs without variance."""
-    return PR.cozi(D.typed(spark, d), within(spark, d)).withColumn(
+    return PR.cozi(D.typed(spark, d), around(spark, d)).withColumn(
         "z", F.when(F.col("n_a") % 3 == 0, F.lit(None)).when(F.col("n_a") % 3 == 1, F.lit(float("nan"))).otherwise(F.col("z") * 20))
 
 
 add("d36_matrix_of_unknown", lambda s, d: PR.cozi_matrix(undefined_z(s, d)),
     f"with {TYPED}, {WITHIN}, {COZI} select a as phenotype_a, " + ", ".join(
         r6(f"avg(case when b='{n}' and n_a % 3 = 2 and z is not null then greatest(-30.0, least(30.0, z*20)) end)", n) for n in LABELS) + " from cozi group by 1")
-add("d36_cozi_matrix", lambda s, d: PR.cozi_matrix(PR.cozi(D.typed(s, d), within(s, d))),
+add("d36_cozi_matrix", lambda s, d: PR.cozi_matrix(PR.cozi(D.typed(s, d), around(s, d))),
     f"with {TYPED}, {WITHIN}, {COZI} select a as phenotype_a, " + ", ".join(r6(f"avg(case when b='{n}' then greatest(-30.0, least(30.0, z)) end)", n) for n in LABELS) + " from cozi group by 1")
 add("d38_spatial_slice",
-    lambda s, d: PR.spatial_slice(PR.cozi(D.typed(s, d), within(s, d)), "ccOC_TMA2__B-2", 12).select("phenotype_a", "phenotype_b", "z"),
+    lambda s, d: PR.spatial_slice(PR.cozi(D.typed(s, d), around(s, d)), "ccOC_TMA2__B-2", 12).select("phenotype_a", "phenotype_b", "z"),
     f"with {TYPED}, {WITHIN}, {COZI} select a as phenotype_a, b as phenotype_b, {r6('z', 'z')} from cozi where basename='ccOC_TMA2__B-2' and a<>b and z is not null order by abs(cozi.z) desc, a, b limit 12")
 add("d33_report_rows",
     lambda s, d: PL.report_rows(D.manifest(s, d), radius_summary(s, d), THR, MODEL, None, 3, P)[1].select(

@@ -1,7 +1,8 @@
-"""Neighbour preference and hotspot statistics over an annotated edge table.
+"""Neighbour preference and hotspot statistics over an annotated edge table, or over label counts per cell.
 
 Edges are aggregated once to label pairs (map-side combined); everything after
-that works on a few rows per core.
+that works on a few rows per core. Where neighbours are those within a radius, the counts per cell come without an
+edge table (:mod:`cellframe.operators.spatial.quadtree`); every function that takes edges takes such counts too.
 """
 
 from __future__ import annotations
@@ -30,9 +31,29 @@ def label_counts(cells: DataFrame, label: str = "dominant_phenotype") -> DataFra
     return cells.groupBy("basename", F.col(label).cast("string").alias("label")).agg(F.count("*").alias("n"))
 
 
+def is_counted(edges: DataFrame) -> bool:
+    """Whether the table has label counts per cell in place of edges."""
+    return "n_neighbors" in edges.columns
+
+
+def counted_labels(counts: DataFrame) -> list[str]:
+    return [c.removeprefix("local_count_") for c in counts.columns if c.startswith("local_count_")]
+
+
+def _pairs_of_counts(counts: DataFrame) -> DataFrame:
+    """Edges per ordered label pair from counts per cell: one aggregation, then a row a label."""
+    labels = counted_labels(counts)
+    sums = counts.groupBy("basename", "src_phenotype").agg(*[F.sum(f"local_count_{n}").alias(f"__s_{i}") for i, n in enumerate(labels)])
+    rows = stack_columns(sums, ["basename", "src_phenotype"], [{"dst_phenotype": F.lit(n), "observed": F.col(f"__s_{i}")} for i, n in enumerate(labels)])
+    return rows.where("observed > 0")
+
+
 def edge_counts(edges: DataFrame) -> DataFrame:
     """Edges per core and ordered label pair, with the source label's out-degree and the core's total."""
-    pairs = edges.groupBy("basename", "src_phenotype", "dst_phenotype").agg(F.count("*").alias("observed"))
+    if is_counted(edges):
+        pairs = _pairs_of_counts(edges)
+    else:
+        pairs = edges.groupBy("basename", "src_phenotype", "dst_phenotype").agg(F.count("*").alias("observed"))
     # label pairs of one core: a few dozen rows per window
     return pairs.select(
         "basename", "src_phenotype", "dst_phenotype", "observed",
@@ -117,9 +138,12 @@ def observed_over_expected(
 
 def local_composition(edges: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:
     """Per source cell the count and fraction of every neighbour label."""
-    aggs = [F.count("*").alias("n_neighbors")]
-    aggs += [F.count_if(F.col("dst_phenotype") == n).alias(f"local_count_{n}") for n in labels]
-    counts = edges.groupBy("basename", "src_cell_id").agg(*aggs)
+    if is_counted(edges):
+        counts = edges.select("basename", "src_cell_id", "n_neighbors", *[f"local_count_{n}" for n in labels])
+    else:
+        aggs = [F.count("*").alias("n_neighbors")]
+        aggs += [F.count_if(F.col("dst_phenotype") == n).alias(f"local_count_{n}") for n in labels]
+        counts = edges.groupBy("basename", "src_cell_id").agg(*aggs)
     return counts.withColumns({
         f"local_frac_{n}": F.col(f"local_count_{n}") / F.greatest(F.col("n_neighbors"), F.lit(1)).cast("double")
         for n in labels
@@ -128,6 +152,8 @@ def local_composition(edges: DataFrame, labels: Sequence[str] = LABELS) -> DataF
 
 def local_label_count(edges: DataFrame, label: str) -> DataFrame:
     """Per source cell its neighbours and those with the label, zeros kept."""
+    if is_counted(edges):
+        return edges.select("basename", "src_cell_id", "n_neighbors", F.col(f"local_count_{label}").alias("n_pheno"))
     return edges.groupBy("basename", "src_cell_id").agg(
         F.count("*").alias("n_neighbors"), F.count_if(F.col("dst_phenotype") == label).alias("n_pheno")
     )

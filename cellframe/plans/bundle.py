@@ -14,6 +14,7 @@ from cellframe.operators.spatial.knn import neighbour_edges
 from cellframe.operators.spatial.preference import (
     LABELS, cozi, hotspot_overlap, observed_over_expected, spatial_summary_join,
 )
+from cellframe.operators.spatial.quadtree import radius_counts
 from cellframe.panel import BACKGROUND, CELL_KEY, DEFAULT_PANEL, MarkerPanel, Thresholds
 from cellframe.session import cut
 from cellframe.sources.tables import Bundle
@@ -81,15 +82,17 @@ def spatial_summary(
     """The annotated edge table and the neighbour-preference summary of every core.
 
     ``labels`` are the panel's phenotypes and the background unless given. Edges within a radius grow
-    with the square of the density, so their table is not written; the statistics aggregate it as it is made.
+    with the square of the density, so the summary is made from label counts per cell, without the edges.
     """
+    labels = labels or (*panel.phenotypes, BACKGROUND)
     typed = rules.dominant_phenotype(cells, model, panel).select(
         *CELL_KEY, "centroid_x", "centroid_y", "dominant_phenotype"
     )
     edges = neighbour_edges(typed, method, k, radius, "dominant_phenotype")
-    if method != "radius":
-        edges = cut(edges)
-    return edges, summarize_edges(typed, edges, labels or (*panel.phenotypes, BACKGROUND))
+    if method == "radius":
+        return edges, summarize_edges(typed, cut(radius_counts(typed, radius, "dominant_phenotype", labels)), labels)
+    edges = cut(edges)
+    return edges, summarize_edges(typed, edges, labels)
 
 
 def summarize_edges(typed: DataFrame, edges: DataFrame, labels: Sequence[str] = LABELS) -> DataFrame:

@@ -4,7 +4,9 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from cellframe.operators.spatial import knn, polygons, preference
+from pyspark.sql import functions as F
+
+from cellframe.operators.spatial import knn, polygons, preference, quadtree
 
 
 def brute(pdf, k):
@@ -170,3 +172,58 @@ def test_knn_features_defaults(spark):
     assert rows[0].nbr5_ch03_posfrac == 1.0 and rows[1].nbr5_ch03_posfrac == 0.0
     # a cell without neighbours takes the overall mean
     assert rows[9].nbr5_ch03_pred_mean == pytest.approx(0.4)
+
+
+def counted(rows, radius, labels):
+    """Label counts within the radius by comparing all pairs."""
+    out = {}
+    for b, i, x, y, _ in rows:
+        near = [t for b2, j, u, v, t in rows if b2 == b and j != i and (x - u) * (x - u) + (y - v) * (y - v) <= radius * radius]
+        if near:
+            out[b, i] = (len(near), *[near.count(t) for t in labels])
+    return out
+
+
+@pytest.mark.parametrize("case", ["dense", "clusters", "one spot", "line", "sparse"])
+def test_label_counts_of_the_tree_equal_all_pairs(spark, case):
+    rng = np.random.default_rng(11)
+    n = 500
+    if case == "dense":
+        xy = rng.integers(0, 60, (n, 2)) / 2
+    elif case == "clusters":
+        xy = np.r_[rng.normal(0, 0.01, (200, 2)), rng.normal(9.99, 0.01, (200, 2)), rng.uniform(-30, 30, (100, 2))]
+    elif case == "one spot":
+        xy = np.r_[np.zeros((300, 2)), np.full((100, 2), [6.0, 8.0]), np.full((100, 2), [6.0, 8.0000001])]
+    elif case == "line":
+        xy = np.column_stack([np.arange(n) * 0.5, np.zeros(n)])
+    else:
+        xy = rng.uniform(-500, 500, (n, 2))
+    labels = ["a", "b"]
+    rows = [("xy"[i % 7 == 0], i, float(x), float(y), ["a", "b", "c", None][i % 4]) for i, (x, y) in enumerate(xy)]
+    df = spark.createDataFrame(rows, "basename string, cell_id long, centroid_x double, centroid_y double, label string")
+    got = {(r.basename, r.src_cell_id): (r.n_neighbors, r.local_count_a, r.local_count_b) for r in quadtree.radius_counts(df, 10.0, "label", labels).collect()}
+    assert got == counted(rows, 10.0, labels)
+
+
+def test_tree_of_an_empty_table_and_unknown_places(spark):
+    schema = "basename string, cell_id long, centroid_x double, centroid_y double, label string"
+    assert quadtree.radius_counts(spark.createDataFrame([], schema), 5.0, "label", ["a"]).count() == 0
+    df = spark.createDataFrame([("c", 1, None, 2.0, "a"), ("c", 2, 1.0, 2.0, "a"), ("c", 3, 1.0, 7.0, "a")], schema)
+    assert quadtree.radius_counts(df, 5.0, "label", ["a"]).count() == 2
+    with pytest.raises(ValueError):
+        quadtree.radius_counts(df, 0.0, "label", ["a"])
+
+
+def test_pairs_of_nodes_grow_slower_than_pairs_of_cells(spark):
+    """Four times the density: 16 times the edges, but far fewer rows of the tree."""
+    made = []
+    for side in (40, 80):
+        grid = spark.range(side * side).select(F.lit("c").alias("basename"), F.col("id").alias("cell_id"), (F.col("id") % side * (200.0 / side)).alias("centroid_x"),
+                                               (F.floor(F.col("id") / side) * (200.0 / side)).alias("centroid_y"), F.lit("a").alias("label"))
+        spots = quadtree._spots(quadtree._points(grid, "label"), ["a"])
+        levels, leaves = quadtree._tree(spots, 100.0, ["n", "n0"])
+        inside, border = quadtree._descend(levels, 100.0)
+        compared = sum(p.count() for p in inside) + quadtree.LEAF_SPOTS ** 2 * sum(p.count() for p in border)
+        edges = quadtree.radius_counts(grid, 100.0, "label", ["a"]).agg(F.sum("n_neighbors")).first()[0]
+        made.append((compared, edges))
+    assert made[1][1] > 14 * made[0][1] and made[1][0] < 10 * made[0][0]
