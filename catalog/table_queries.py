@@ -15,7 +15,7 @@ from cellframe.operators import regions as RE
 from cellframe.operators import rules as R
 from cellframe.operators.spatial import polygons as PG
 from cellframe.session import scratch_folder
-from cellframe.sources import sinks, tables
+from cellframe.sources import sinks, tables, versions
 
 # ---- pixels: an 8 x 8 block round every cell, in the label image of its core
 
@@ -106,12 +106,14 @@ def _ring_sql(keep):
     """Area of each circle after keeping ``keep`` vertices at most, as SQL."""
     return (
         "u as (select basename, cell_id, centroid_x, centroid_y, cell_id % 196 + 5 as t from cells), "
-        # after clamping, a last vertex equal to the first closes the ring
-        f"v as (select *, t - cast({_clamped('x', 'cos', 't-1')} = {_clamped('x', 'cos', '0')} and {_clamped('y', 'sin', 't-1')} = {_clamped('y', 'sin', '0')} as int) as m from u), "
+        # after clamping, a last vertex that equals the first within the relative tolerance of the operator closes the ring, as it is
+        f"le as (select *, {_clamped('x', 'cos', 't-1')} as lx, {_clamped('y', 'sin', 't-1')} as ly, {_clamped('x', 'cos', '0')} as fx, {_clamped('y', 'sin', '0')} as fy from u), "
+        "v as (select *, abs(fx-lx) <= 1e-8 + 1e-5*abs(lx) and abs(fy-ly) <= 1e-8 + 1e-5*abs(ly) as closed, t - cast(closed as int) as m from le), "
         f"i as (select *, least(m, {keep}) as k, unnest(range(0, least(m, {keep}))) as i from v), "
         "p as (select *, case when m > k then floor(i*m/cast(k as double)) else i end as j from i), "
-        f"q as (select basename, cell_id, m, k, i, {_clamped('x', 'cos', 'j')} as x, {_clamped('y', 'sin', 'j')} as y from p), "
-        "r as (select *, coalesce(lead(x) over w, first_value(x) over w) as x1, coalesce(lead(y) over w, first_value(y) over w) as y1 from q window w as (partition by basename, cell_id order by i rows between unbounded preceding and unbounded following)) "
+        f"q as (select basename, cell_id, m, k, i, closed and m <= k as own, lx, ly, {_clamped('x', 'cos', 'j')} as x, {_clamped('y', 'sin', 'j')} as y from p), "
+        "r as (select *, coalesce(lead(x) over w, case when own then lx else first_value(x) over w end) as x1, coalesce(lead(y) over w, case when own then ly else first_value(y) over w end) as y1 "
+        "from q window w as (partition by basename, cell_id order by i rows between unbounded preceding and unbounded following)) "
     )
 
 
@@ -331,18 +333,40 @@ def k2(spark, d):
     path = scratch_folder(spark, "rewrite")
     for _ in range(2):
         sinks.rewrite_cells(D.cells(spark, d).select("basename", "cell_id", "ch27_true", "ch27_pos"), path)
-    back = tables.read_cells(spark, f"{path}/cells.parquet")
+    back = tables.read_cells(spark, versions.locate(spark, path, "cells.parquet"))
     return back.groupBy("basename").agg(F.count("*").alias("n"), F.sum("ch27_true").alias("total"), F.count_if("ch27_pos").alias("n_pos"))
 
 
 add("k2_rewrite_cells", k2, _k1)
 
 
+def k2_stopped(spark, d):
+    """A bundle whose rewrite stopped half-way still holds the cells and the summary of the version before."""
+    path = scratch_folder(spark, "bundle")
+    whole = bundle(spark, d)
+    sinks.write_bundle(whole, path, THR)
+    before = versions.latest(spark, path)
+
+    def stops(folder):
+        raise RuntimeError("stopped")
+
+    try:
+        versions.publish(spark, path, {"cells.parquet": sinks.parquet_writer(whole.cells.filter("ch27_pos"), ["basename"]), "core_summary.parquet": stops})
+    except RuntimeError:
+        pass
+    assert versions.latest(spark, path) == before
+    back = tables.load_bundle(spark, path)
+    return back.cells.groupBy("basename").agg(F.count("*").alias("n"), F.sum("ch27_true").alias("total"), F.count_if("ch27_pos").alias("n_pos"))
+
+
+add("k2_stopped_rewrite", k2_stopped, _k1)
+
+
 def k3(spark, d):
     path = scratch_folder(spark, "polygons")
     sinks.write_polygons(D.polygons(spark, d), D.skips(spark, d), path)
-    polys = spark.read.parquet(f"{path}/cell_polygons.parquet")
-    skipped = spark.read.option("header", True).schema(tables.SKIP_SCHEMA).csv(f"{path}/polygons_skipped.csv")
+    polys = spark.read.parquet(versions.locate(spark, path, "cell_polygons.parquet"))
+    skipped = spark.read.option("header", True).schema(tables.SKIP_SCHEMA).csv(versions.locate(spark, path, "polygons_skipped.csv"))
     return polys.select("basename", "cell_id", F.lit("polygon").alias("kind"), "area_nucleus_px").unionByName(
         skipped.select("basename", "cell_id", F.col("reason").alias("kind"), "area_nucleus_px"))
 

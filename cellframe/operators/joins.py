@@ -76,7 +76,11 @@ def core_summary(manifest: DataFrame, composition: DataFrame, model: str | None
 
 
 def close_ring(ring: Column) -> Column:
-    """Append the first vertex where the last one differs from it."""
+    """Append the first vertex where the last one differs from it.
+
+    They count as equal within 1e-5 of the last one's coordinates, which is 0.02 pixels at 2,000: such a ring keeps its
+    own last vertex.
+    """
     first, last = F.element_at(ring, 1), F.element_at(ring, -1)
     same = (F.abs(first[0] - last[0]) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(last[0])) & (
         F.abs(first[1] - last[1]) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(last[1])

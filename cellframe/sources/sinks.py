@@ -1,4 +1,4 @@
-"""Writers. Every table is written to a staging folder and swapped in by rename."""
+"""Writers. The tables of a bundle become one new version; single exports are staged and renamed into place."""
 
 from __future__ import annotations
 
@@ -13,12 +13,20 @@ from cellframe.operators.audit import AUDIT_COLUMNS
 from cellframe.operators.compose import positive_counts
 from cellframe.panel import DEFAULT_PANEL, MarkerPanel, Thresholds, ch, ph
 from cellframe.sources.tables import POLYGON_SCHEMA, SKIP_SCHEMA, Bundle
+from cellframe.sources.versions import publish
+
+#: The tables of a bundle by their names in a folder without versions.
+TABLE_NAMES = (
+    "cells.parquet", "core_summary.parquet", "thresholds.parquet", "manifest.json", "cell_polygons.parquet", "polygons_skipped.csv",
+    "spatial_edges.parquet", "spatial_summary.parquet",
+)
 
 
 def swap_in(spark: SparkSession, target: str, write: Callable[[str], None]) -> None:
     """Run ``write`` on a staging path next to ``target``, then rename it into place.
 
-    The previous version is moved aside first and removed once the new one is there.
+    For exports that stand alone: the one before is moved aside first, so between the two renames there is none, and an
+    object store copies. Tables that others read meanwhile are published as versions (:mod:`cellframe.sources.versions`).
     """
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path
@@ -37,12 +45,16 @@ def swap_in(spark: SparkSession, target: str, write: Callable[[str], None]) -> N
         fs.delete(old, True)
 
 
-def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
-    def write(staged: str) -> None:
+def parquet_writer(df: DataFrame, partition_by: Sequence[str] = ()) -> Callable[[str], None]:
+    def write(folder: str) -> None:
         writer = df.write.mode("errorifexists").option("compression", "snappy")
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(staged)
+        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(folder)
+
+    return write
 
-    swap_in(df.sparkSession, path, write)
+
+def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    swap_in(df.sparkSession, path, parquet_writer(df, partition_by))
 
 
 def write_json_rows(df: DataFrame, path: str) -> None:
@@ -58,21 +70,24 @@ def threshold_rows(spark: SparkSession, thr: Thresholds) -> DataFrame:
 def write_bundle(
     bundle: Bundle, path: str, thr: Thresholds | None = None, manifest: DataFrame | None = None
 ) -> None:
-    """Cells partitioned by core, the core summary, thresholds, manifest and any optional table."""
-    write_table(clustered(bundle.cells), f"{path}/cells.parquet", ["basename"])
-    write_table(bundle.cores, f"{path}/core_summary.parquet")
+    """Cells partitioned by core, the core summary, thresholds, manifest and any optional table, as one new version."""
     spark = bundle.cells.sparkSession
+    writers = {
+        "cells.parquet": parquet_writer(clustered(bundle.cells), ["basename"]),
+        "core_summary.parquet": parquet_writer(bundle.cores),
+    }
     if thr is not None:
-        write_table(threshold_rows(spark, thr), f"{path}/thresholds.parquet")
+        writers["thresholds.parquet"] = parquet_writer(threshold_rows(spark, thr))
     if manifest is not None:
-        swap_in(spark, f"{path}/manifest.json", lambda staged: manifest.write.json(staged))
+        writers["manifest.json"] = manifest.write.json
     if bundle.cell_polygons is not None:
         skips = bundle.polygons_skipped
-        write_polygons(bundle.cell_polygons, skips if skips is not None else spark.createDataFrame([], SKIP_SCHEMA), path)
+        writers |= polygon_writers(bundle.cell_polygons, skips if skips is not None else spark.createDataFrame([], SKIP_SCHEMA))
     for name in ("spatial_edges", "spatial_summary"):
         table = getattr(bundle, name)
         if table is not None:
-            write_table(table, f"{path}/{name}.parquet")
+            writers[f"{name}.parquet"] = parquet_writer(table)
+    publish(spark, path, writers, keep=False)
 
 
 def clustered(df: DataFrame) -> DataFrame:
@@ -84,8 +99,9 @@ def clustered(df: DataFrame) -> DataFrame:
 
 
 def rewrite_cells(df: DataFrame, path: str) -> None:
-    """Replace the cell table: columns in name order, one atomic swap; the same input gives the same rows."""
-    write_table(clustered(df.select(*sorted(df.columns))), f"{path}/cells.parquet", ["basename"])
+    """A new version with another cell table (columns in name order) and all else as it was; the same input gives the same rows."""
+    rows = clustered(df.select(*sorted(df.columns)))
+    publish(df.sparkSession, path, {"cells.parquet": parquet_writer(rows, ["basename"])}, plain=TABLE_NAMES)
 
 
 def polygon_rows(polys: DataFrame) -> DataFrame:
@@ -93,11 +109,14 @@ def polygon_rows(polys: DataFrame) -> DataFrame:
     return polys.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in POLYGON_SCHEMA.fields])
 
 
-def write_polygons(polys: DataFrame, skips: DataFrame, path: str) -> None:
-    """Polygons in the pinned schema and the skip log, which is written even when empty."""
-    write_table(polygon_rows(polys), f"{path}/cell_polygons.parquet")
+def polygon_writers(polys: DataFrame, skips: DataFrame) -> dict[str, Callable[[str], None]]:
     log = skips.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SKIP_SCHEMA.fields])
-    swap_in(log.sparkSession, f"{path}/polygons_skipped.csv", lambda staged: log.write.option("header", True).csv(staged))
+    return {"cell_polygons.parquet": parquet_writer(polygon_rows(polys)), "polygons_skipped.csv": log.write.option("header", True).csv}
+
+
+def write_polygons(polys: DataFrame, skips: DataFrame, path: str) -> None:
+    """A new version of the bundle with polygons in the pinned schema and the skip log, which is written even when empty."""
+    publish(polys.sparkSession, path, polygon_writers(polys, skips), plain=TABLE_NAMES)
 
 
 def audit_csv_rows(audit: DataFrame, panel: MarkerPanel = DEFAULT_PANEL) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from cellframe.functions.expr import nan_to_null, require
 from cellframe.operators.joins import polygon_coverage
 from cellframe.panel import DEFAULT_PANEL, MarkerPanel, ch
+from cellframe.sources.versions import exists, latest, locate
 
 POLYGON_SCHEMA = T.StructType([
     T.StructField("basename", T.StringType(), False),
@@ -54,12 +55,6 @@ def cell_schema(
     return schema
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-
-
 def read_cells(
     spark: SparkSession, path: str, panel: MarkerPanel = DEFAULT_PANEL,
     schema: T.StructType | None = None,
@@ -109,22 +104,26 @@ OPTIONAL = ("spatial_edges", "spatial_summary", "cell_polygons")
 
 
 def load_bundle(spark: SparkSession, path: str, validate: bool = True) -> Bundle:
-    """Read every table of a bundle. Polygons, if there are any, must cover the cells."""
+    """Read every table of a bundle's newest version, or of a folder without versions. Polygons, if there are any, must cover the cells."""
+    version = latest(spark, path)
+
+    def place(name: str) -> str | None:
+        return locate(spark, path, name, version)
+
     tables = {}
     for name in REQUIRED:
-        folder = f"{path}/{name}.parquet"
-        if not exists(spark, folder):
-            raise FileNotFoundError(folder)
+        folder = place(f"{name}.parquet")
+        if folder is None:
+            raise FileNotFoundError(f"{path}/{name}.parquet")
         tables[name] = spark.read.parquet(folder)
     for name in OPTIONAL:
-        folder = f"{path}/{name}.parquet"
-        tables[name] = spark.read.parquet(folder) if exists(spark, folder) else None
-    skips = None
-    if exists(spark, f"{path}/polygons_skipped.csv"):
-        skips = spark.read.option("header", True).schema(SKIP_SCHEMA).csv(f"{path}/polygons_skipped.csv")
-    manifest = None
-    if exists(spark, f"{path}/manifest.json"):
-        manifest = spark.read.option("multiLine", True).json(f"{path}/manifest.json")
+        folder = place(f"{name}.parquet")
+        tables[name] = spark.read.parquet(folder) if folder else None
+    skips = manifest = None
+    if folder := place("polygons_skipped.csv"):
+        skips = spark.read.option("header", True).schema(SKIP_SCHEMA).csv(folder)
+    if folder := place("manifest.json"):
+        manifest = spark.read.option("multiLine", True).json(folder)
     polygons = tables["cell_polygons"]
     if validate and polygons is not None:
         covered = skips if skips is not None else spark.createDataFrame([], SKIP_SCHEMA)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from cellframe.operators import joins, quality, regions, registry
 from cellframe.panel import DEFAULT_PANEL as P
 from cellframe.panel import Thresholds
-from cellframe.sources import artifacts, listing, sinks, tables
+from cellframe.sources import artifacts, listing, sinks, tables, versions
 
 
 def artifact():
@@ -108,7 +108,68 @@ def test_bundle_round_trip(spark, tmp_path):
 
 def test_skip_log_is_written_when_empty(spark, tmp_path):
     sinks.write_polygons(polygons(spark, [0]), spark.createDataFrame([], tables.SKIP_SCHEMA), str(tmp_path))
-    assert os.path.isdir(tmp_path / "polygons_skipped.csv")
+    assert os.path.isdir(versions.locate(spark, str(tmp_path), "polygons_skipped.csv"))
+
+
+def small_bundle(spark, n):
+    cells = spark.createDataFrame([("c", i) for i in range(n)], "basename string, cell_id long")
+    return tables.Bundle(cells, spark.createDataFrame([("c", n)], "basename string, n_cells int"))
+
+
+def sizes(spark, path):
+    back = tables.load_bundle(spark, path)
+    return back.cells.count(), back.cores.first().n_cells
+
+
+@pytest.mark.parametrize("step", ["first table", "second table", "commit", "half a commit"])
+def test_a_stopped_writer_leaves_the_bundle_as_it_was(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "bundle")
+    sinks.write_bundle(small_bundle(spark, 3), path)
+    real, calls = sinks.parquet_writer, []
+
+    def stopping(df, partition_by=()):
+        def write(folder):
+            calls.append(folder)
+            if step in ("first table", "second table") and len(calls) == (1 if step == "first table" else 2):
+                raise OSError("stopped")
+            real(df, partition_by)(folder)
+
+        return write
+
+    monkeypatch.setattr(sinks, "parquet_writer", stopping)
+    if step == "commit":
+        monkeypatch.setattr(versions, "_commit", lambda *a: (_ for _ in ()).throw(OSError("stopped")))
+    if step == "half a commit":
+        with open(os.path.join(path, "versions", f"{1:012d}.json"), "w") as out:
+            out.write('{"tables": {"cel')
+    else:
+        with pytest.raises(OSError, match="stopped"):
+            sinks.write_bundle(small_bundle(spark, 5), path)
+    assert sizes(spark, path) == (3, 3)
+    monkeypatch.undo()
+    sinks.write_bundle(small_bundle(spark, 7), path)
+    assert sizes(spark, path) == (7, 7)
+
+
+def test_versions_conflict_keep_other_tables_and_can_be_dropped(spark, tmp_path):
+    path = str(tmp_path / "bundle")
+    sinks.write_bundle(small_bundle(spark, 2), path)
+    held = tables.load_bundle(spark, path)
+    sinks.rewrite_cells(small_bundle(spark, 4).cells, path)
+    assert sizes(spark, path) == (4, 2) and held.cells.count() == 2  # a reader keeps its version
+    with pytest.raises(versions.Conflict):
+        versions._commit(spark, path, versions.Version(1, {}))
+    assert versions.drop_versions(spark, path, keep=1) == 1 and versions.drop_versions(spark, path, keep=1) == 0
+    assert sizes(spark, path) == (4, 2)
+
+
+def test_a_folder_without_versions_is_read_and_taken_over(spark, tmp_path):
+    path = str(tmp_path / "plain")
+    for name, df in (("cells", small_bundle(spark, 3).cells), ("core_summary", small_bundle(spark, 3).cores)):
+        df.write.parquet(f"{path}/{name}.parquet")
+    assert sizes(spark, path) == (3, 3)
+    sinks.rewrite_cells(small_bundle(spark, 6).cells, path)
+    assert sizes(spark, path) == (6, 3) and os.path.isdir(f"{path}/cells.parquet")
 
 
 def test_csv_cells_and_projection(spark, tmp_path):
