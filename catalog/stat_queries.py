@@ -427,35 +427,51 @@ add("o4_quantile_match", lambda s, d: L.quantile_match(splits(s, d, "train"), RA
         f"select cast({c} as bigint) as channel, count(*) as n, {r6(f'quantile_cont(v, {min(max(1.0 - r, 0.01), 0.999)!r})', 'tau_quantile')} from l where channel={c}" for c, r in RATES.items()))
 
 
-def _mixture_sql():
-    """The mixtures' rounds as a recursive table, then the last change of the denser component on the grid."""
-    dens = lambda i: f"w{i}/sqrt(v{i})*exp(-0.5*(x-m{i})*(x-m{i})/v{i})"
-    part = lambda i: f"{dens(i)}/greatest({dens(1)} + {dens(2)}, 1e-300)*n"
+def _mixture_sql(values="l"):
+    """The split and the mixtures' rounds as recursive tables over all values, then the last change of the denser component on the grid."""
+    log = lambda i: f"ln(w{i}) - 0.5*ln(2*pi()*v{i}) - (x-m{i})*(x-m{i})/(2*v{i})"
     sd = lambda i: f"greatest(sqrt(v{i}), 1e-3)"
+    moments = ", ".join(
+        f"sum(r{k})/(sum(r1)+sum(r2)) as s{k}, m{k}+sum(r{k}*(x-m{k}))/sum(r{k}) as a{k}, "
+        f"sum(r{k}*(x-m{k})*(x-m{k}))/sum(r{k})-power(sum(r{k}*(x-m{k}))/sum(r{k}), 2)+{L.ADDED_VARIANCE} as b{k}" for k in (1, 2))
     return (
-        "sp as (select channel, min(v) as lo, max(v) as hi from l group by 1), "
-        f"hb as (select channel, least(floor((v-lo)*{L.MIXTURE_BINS}.0/(hi-lo)), {L.MIXTURE_BINS - 1}) as b, v from l join sp using (channel)), "
-        "hh as (select channel, b, count(*)::double as n, avg(v) as x from hb group by 1, 2), "
-        "st as (select channel, sum(n) as t, sum(n*x)/sum(n) as c from hh group by 1), "
-        "sv as (select channel, any_value(t) as t, any_value(c) as c, sum(n*(x-c)*(x-c))/any_value(t) as v from hh join st using (channel) group by 1), "
-        "em as (select 0 as i, channel, t, 0.5::double as w1, 0.5::double as w2, c-sqrt(v) as m1, c+sqrt(v) as m2, v as v1, v as v2 from sv union all "
-        "select i+1, channel, t, s1/t, s2/t, x1/s1, x2/s2, greatest(q1/s1-(x1/s1)*(x1/s1), 1e-6), greatest(q2/s2-(x2/s2)*(x2/s2), 1e-6) from ("
-        f"select i, channel, t, sum({part(1)}) as s1, sum({part(2)}) as s2, sum({part(1)}*x) as x1, sum({part(2)}*x) as x2, sum({part(1)}*x*x) as q1, sum({part(2)}*x*x) as q2 "
-        f"from em join hh using (channel) where i < {L.MIXTURE_ROUNDS} group by i, channel, t) z), "
-        f"fm as (select * from em where i = {L.MIXTURE_ROUNDS}), "
+        f"mv as materialized (select channel, cast(v as double) as x from {values}), "
+        "ms as (select channel, avg(x) as a, stddev_pop(x) as sd from mv group by 1), "
+        "km as (select 0 as i, channel, a-sd as m1, a+sd as m2, sd, sd > 0 as go from ms union all "
+        f"select i+1, channel, n1, n2, sd, (n1-m1)*(n1-m1)+(n2-m2)*(n2-m2) > {L.SPLIT_TOLERANCE}*sd*sd from ("
+        "select i, channel, m1, m2, sd, coalesce(avg(x) filter (not x-m1 > m2-x), m1) as n1, coalesce(avg(x) filter (x-m1 > m2-x), m2) as n2 "
+        f"from km join mv using (channel) where go and i < {L.SPLIT_ROUNDS} group by i, channel, m1, m2, sd) z), "
+        "kf as (select channel, arg_max(m1, i) as m1, arg_max(m2, i) as m2 from km group by 1), "
+        f"k0 as (select channel, {moments} from (select *, cast(not x-m1 > m2-x as int) as r1, cast(x-m1 > m2-x as int) as r2 "
+        "from kf join mv using (channel)) y group by channel, m1, m2), "
+        "em as (select 0 as i, channel, s1 as w1, s2 as w2, a1 as m1, a2 as m2, b1 as v1, b2 as v2, cast('-inf' as double) as fit, true as go from k0 union all "
+        f"select i+1, channel, s1, s2, a1, a2, b1, b2, f, not abs(f-fit) < {L.MIXTURE_TOLERANCE} from (select i, channel, fit, {moments}, avg(ll) as f from ("
+        "select *, exp(l1-ll) as r1, exp(l2-ll) as r2 from (select *, greatest(l1, l2)+ln(exp(l1-greatest(l1, l2))+exp(l2-greatest(l1, l2))) as ll "
+        f"from (select *, {log(1)} as l1, {log(2)} as l2 from em join mv using (channel) where go and i < {L.MIXTURE_ROUNDS}) x) y) z group by i, channel, fit, m1, m2) q), "
+        "fm as (select channel, unnest(arg_max(struct_pack(w1, w2, m1, m2, v1, v2), i)) from em group by 1), "
         f"gr as (select *, unnest(range(0, {L.GRID})) as k from fm), "
         f"gd as (select channel, k, m1+(m2-m1)*k/{L.GRID - 1}.0 as g, sign(w2/{sd(2)}*exp(-0.5*power((m1+(m2-m1)*k/{L.GRID - 1}.0-m2)/{sd(2)}, 2)) - w1/{sd(1)}*exp(-0.5*power((m1+(m2-m1)*k/{L.GRID - 1}.0-m1)/{sd(1)}, 2))) as s from gr), "
         "gl as (select *, lead(s) over (partition by channel order by k) as nx from gd)"
     )
 
 
-add("o3_gmm_intersection",
-    lambda s, d: s.createDataFrame([(int(c), float(v)) for c, v in L.gmm_intersection(splits(s, d, "train"), P).items()], "channel int, tau double").withColumn("tau_gmm", F.round("tau", 3)).drop("tau"),
-    f"with recursive {_tr.strip()}, {_mixture_sql()} select cast(channel as bigint) as channel, round(max(g), 3) as tau_gmm from gl where nx is not null and nx <> s group by 1")
+def _cuts(spark, cells):
+    cuts = L.gmm_intersection(cells, P)
+    return spark.createDataFrame([(int(c), float(v)) for c, v in cuts.items()], "channel int, tau_gmm double")
+
+
+SATURATED = 65535.0
+add("o3_gmm_intersection", lambda s, d: _cuts(s, splits(s, d, "train")),
+    f"with recursive {_tr.strip()}, {_mixture_sql()} select cast(channel as bigint) as channel, {r6('max(g)', 'tau_gmm')} from gl where nx is not null and nx <> s group by 1")
+# one cell of the whole cohort is saturated in every channel
+add("o3_saturated_value",
+    lambda s, d: _cuts(s, D.cells(s, d).withColumns({ch(c, "true"): F.when(F.col("cell_id") == 77, SATURATED).otherwise(F.col(ch(c, "true"))) for c in P.channels})),
+    f"with recursive {CELLS}, sl as (" + " union all ".join(f"select {c} as channel, case when cell_id = 77 then {SATURATED} else {cc(c)}_true end as v from cells" for c in P.channels)
+    + f"), {_mixture_sql('sl')} select cast(channel as bigint) as channel, {r6('max(g)', 'tau_gmm')} from gl where nx is not null and nx <> s group by 1")
 add("o5_fit_mixtures",
-    lambda s, d: L.fit_thresholds(splits(s, d, "train"), P).select("channel", F.round("tau_gmm", 3).alias("tau_gmm"), "target_pos", "train_pos_gmm", F.round("tau_otsu", 4).alias("tau_otsu")),
+    lambda s, d: L.fit_thresholds(splits(s, d, "train"), P).select("channel", "tau_gmm", "target_pos", "train_pos_gmm", F.round("tau_otsu", 4).alias("tau_otsu")),
     f"with recursive {_tr.strip()}, {_mixture_sql()}, ct as (select channel, max(g) as tau from gl where nx is not null and nx <> s group by 1), {otsu_sql('l', ['channel'])} "
-    f"select cast(channel as bigint) as channel, round(tau, 3) as tau_gmm, {r6('avg(cast(v > tau as int))', 'target_pos')}, {r6('avg(cast(v > tau as int))', 'train_pos_gmm')}, round(any_value(otsu), 4) as tau_otsu "
+    f"select cast(channel as bigint) as channel, {r6('tau', 'tau_gmm')}, {r6('avg(cast(v > tau as int))', 'target_pos')}, {r6('avg(cast(v > tau as int))', 'train_pos_gmm')}, round(any_value(otsu), 4) as tau_otsu "
     "from l join ct using (channel) join cuts using (channel) group by channel, tau")
 add("o5_fit_thresholds",
     lambda s, d: L.fit_thresholds(splits(s, d, "train"), P, {c: (9.0, 0.25) for c in P.channels}).withColumn(

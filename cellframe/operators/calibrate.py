@@ -1,13 +1,13 @@
-"""Learned calibration of marker predictions, on Spark ML."""
+"""Learned calibration of marker predictions: logistic models of all markers in shared passes."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellframe.functions.expr import ratio, require, stack_columns, stratum_of_ap, truthy
@@ -20,6 +20,8 @@ from cellframe.panel import DEFAULT_PANEL, MarkerPanel, ch
 from cellframe.session import cut
 
 MAX_FIT_CELLS = 300_000
+#: A model is done when no coefficient moves by more.
+STEP_TOLERANCE = 1e-8
 
 
 def _scaler(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float]]:
@@ -31,10 +33,90 @@ def _scaler(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, flo
     return {c: (float(row[f"m{i}"]), float(row[f"s{i}"]) or 1.0) for i, c in enumerate(columns)}
 
 
-def _features(df: DataFrame, scaler: Mapping[str, tuple[float, float]]) -> DataFrame:
-    scaled = {f"__f{i}": (F.col(c).cast("double") - F.lit(m)) / F.lit(s) for i, (c, (m, s)) in enumerate(scaler.items())}
-    assembler = VectorAssembler(inputCols=list(scaled), outputCol="__features")
-    return assembler.transform(df.withColumns(scaled)).drop(*scaled)
+@dataclass
+class Response:
+    """One marker's model in the making: its accepted coefficients (the constant first) and the next ones to try."""
+
+    label: str
+    weights: tuple[float, float]
+    best: np.ndarray
+    trial: np.ndarray
+    loss: float = float("inf")
+    step: np.ndarray | None = None
+    done: bool = False
+
+
+def _batch_sums(x: np.ndarray, y: np.ndarray, beta: np.ndarray, weights: tuple[float, float]) -> np.ndarray:
+    """Loss, gradient and Hessian of one marker over a batch, in one row; unknown labels (NaN) weigh nothing."""
+    w = np.where(y > 0, weights[1], weights[0]) * ~np.isnan(y)
+    y = np.nan_to_num(y)
+    t = x @ beta
+    p = 0.5 * (1.0 + np.tanh(0.5 * t))
+    loss = w @ (np.logaddexp(0.0, t) - y * t)
+    curved = x * (w * p * (1.0 - p))[:, None]
+    return np.concatenate([[loss], x.T @ (w * (p - y)), (x.T @ curved).ravel()])
+
+
+def _pass(design: DataFrame, columns: Sequence[str], scaler: Mapping[str, tuple[float, float]], open_: Sequence[Response]) -> list[np.ndarray]:
+    """One pass over all rows for all open models: each partition sends one row a marker, which Spark adds up."""
+    mean = np.array([scaler[c][0] for c in columns])
+    scale = np.array([scaler[c][1] for c in columns])
+    width = 1 + (len(columns) + 1) * (len(columns) + 2)
+    jobs = [(design.columns.index(m.label), m.trial, m.weights) for m in open_]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(jobs), width))
+        for batch in batches:
+            raw = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns))]).astype(float)
+            if np.isnan(raw).any():
+                raise ValueError("a feature is missing")
+            x = np.column_stack([np.ones(len(raw)), (raw - mean) / scale])
+            for i, (at, beta, weights) in enumerate(jobs):
+                total[i] += _batch_sums(x, batch.column(at).to_numpy(zero_copy_only=False).astype(float), beta, weights)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(jobs), dtype=np.int32)), pa.array(list(total), pa.list_(pa.float64()))], ["marker", "sums"])
+
+    parts = design.mapInArrow(run, "marker int, sums array<double>").select("marker", F.posexplode("sums"))
+    out = [np.zeros(width) for _ in jobs]
+    # markers x (features + 1)^2 numbers
+    for r in parts.groupBy("marker", "pos").agg(F.sum("col").alias("v")).toLocalIterator():
+        out[r["marker"]][r["pos"]] = r["v"]
+    return out
+
+
+def fit_logistic(design: DataFrame, columns: Sequence[str], scaler: Mapping[str, tuple[float, float]], responses: Sequence[Response], max_passes: int) -> int:
+    """Ridge-penalised logistic models of all responses at once by Newton's method; gives the number of passes.
+
+    Every pass over the rows serves all markers whose model is still open. The penalty is half the squared length of
+    the coefficients, the constant left out. A step that raises the loss is halved.
+    """
+    size = len(columns) + 1
+    ridge = np.diag([0.0] + [1.0] * len(columns))
+    for passes in range(1, max_passes + 1):
+        open_ = [m for m in responses if not m.done]
+        if not open_:
+            return passes - 1
+        for m, sums in zip(open_, _pass(design, columns, scaler, open_)):
+            loss = sums[0] + 0.5 * m.trial @ ridge @ m.trial
+            if m.step is not None and loss > m.loss + 1e-9 * abs(m.loss):
+                m.step = m.step / 2
+                m.trial = m.best + m.step
+                m.done = np.abs(m.step).max() < STEP_TOLERANCE
+                continue
+            m.best, m.loss = m.trial, loss
+            gradient = sums[1 : 1 + size] + ridge @ m.best
+            m.step = -np.linalg.lstsq(sums[1 + size :].reshape(size, size) + ridge, gradient, rcond=None)[0]
+            m.trial = m.best + m.step
+            m.done = np.abs(m.step).max() < STEP_TOLERANCE
+    return max_passes
+
+
+def _probability(beta: Sequence[float], columns: Sequence[str], scaler: Mapping[str, tuple[float, float]]) -> Column:
+    """The model's probability as one expression."""
+    t = F.lit(float(beta[0]))
+    for c, b in zip(columns, beta[1:]):
+        m, s = scaler[c]
+        t = t + (F.col(c).cast("double") - F.lit(m)) / F.lit(s) * F.lit(float(b))
+    return F.lit(1.0) / (F.lit(1.0) + F.exp(-t))
 
 
 def calibrate_markers(
@@ -44,45 +126,30 @@ def calibrate_markers(
 ) -> tuple[DataFrame, DataFrame]:
     """Both tables with ``chXX_prob_logreg`` from one balanced logistic model per marker.
 
-    The scaler and the models are fitted on at most ``max_fit_cells`` training cells;
-    the probabilities cover all cells of both tables. The inverse of the regularisation
-    is one per cell, as in a unit-strength ridge on the summed loss.
+    The scaler and the models are fitted on at most ``max_fit_cells`` training cells, all markers in the same passes;
+    the probabilities cover all cells of both tables. The penalty is a unit-strength ridge on the summed loss.
     """
     columns = [ch(c, "pred", model) for c in panel.channels] + list(extra)
     require(train, columns)
     require(evaluation, columns)
     labels = [ch(c, "pos") for c in panel.channels]
-    fit = cut(sample_rows(train, max_fit_cells, seed).select("basename", "cell_id", *columns, *labels))
-    scaler = _scaler(fit, columns)
-    stats = fit.agg(
-        *[F.count(truthy(F.col(c))).alias(f"n{i}") for i, c in enumerate(labels)],
-        *[F.count_if(truthy(F.col(c))).alias(f"p{i}") for i, c in enumerate(labels)],
-    ).first()
-    design = _features(fit, scaler).cache()
-    outs = [_features(train, scaler), _features(evaluation, scaler)]
+    known = [truthy(F.col(c)).cast("double").alias(c) for c in labels]
+    sample = sample_rows(train, max_fit_cells, seed)
+    design = cut(sample.select(*[F.col(c).cast("double").alias(c) for c in columns], *known))
+    scaler = _scaler(design, columns)
+    stats = design.agg(*[F.count(c).alias(f"n{i}") for i, c in enumerate(labels)], *[F.sum(c).alias(f"p{i}") for i, c in enumerate(labels)]).first()
+    out, responses = {}, {}
     for i, (c, label) in enumerate(zip(panel.channels, labels)):
-        n, pos = stats[f"n{i}"], stats[f"p{i}"]  # of the cells whose label is known
+        n, pos = stats[f"n{i}"], stats[f"p{i}"] or 0.0  # of the cells whose label is known
         if pos in (0, n):
-            outs = [o.withColumn(ch(c, "prob_logreg"), F.lit(float(pos > 0))) for o in outs]
+            out[c] = F.lit(float(pos > 0))
             continue
-        y = truthy(F.col(label)).cast("double")
-        weighted = design.select(
-            "__features", y.alias("__y"),
-            F.when(y > 0, F.lit(n / (2.0 * pos))).otherwise(F.lit(n / (2.0 * (n - pos)))).alias("__w"),
-        ).filter("__y is not null")
-        fitted = LogisticRegression(
-            featuresCol="__features", labelCol="__y", weightCol="__w", maxIter=max_iter,
-            regParam=1.0 / n, elasticNetParam=0.0, standardization=False,
-            probabilityCol="__prob", rawPredictionCol="__raw", predictionCol="__pred",
-        ).fit(weighted)
-        outs = [
-            fitted.transform(o)
-            .withColumn(ch(c, "prob_logreg"), vector_to_array("__prob")[1])
-            .drop("__prob", "__raw", "__pred")
-            for o in outs
-        ]
-    design.unpersist()
-    return tuple(o.drop("__features") for o in outs)
+        start = np.zeros(len(columns) + 1)
+        responses[c] = Response(label, (n / (2.0 * (n - pos)), n / (2.0 * pos)), start, start)
+    fit_logistic(design, columns, scaler, list(responses.values()), max_iter)
+    out |= {c: _probability(m.best, columns, scaler) for c, m in responses.items()}
+    added = {ch(c, "prob_logreg"): out[c] for c in panel.channels}
+    return train.withColumns(added), evaluation.withColumns(added)
 
 
 def calibration_rows(

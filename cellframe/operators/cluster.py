@@ -25,10 +25,6 @@ RESOLUTION = 0.6
 NEIGHBOURS = 20
 COMPONENTS = 10
 SEED = 0
-
-# Without effect: no core is sampled or sliced. Kept as names that callers set.
-MAX_PROTOTYPES = 4000
-CELLS_PER_SLICE = 20000
 SCALED = "zscore_spacec"
 
 

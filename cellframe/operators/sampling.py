@@ -11,6 +11,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellframe.functions.running import join_salted
 from cellframe.panel import CELL_KEY
 
 
@@ -34,21 +35,22 @@ def uniform(seed: int, keys: Sequence[str]) -> Column:
     return (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def smallest(df: DataFrame, n: int, order: Sequence[Column], part: Column) -> DataFrame:
-    """The n first rows in an order, all if there are fewer, without bringing n rows together.
+def smallest(df: DataFrame, n: int, order: Sequence[Column], part: Column, by: Sequence[str] = ()) -> DataFrame:
+    """The n first rows in an order, all if there are fewer, without bringing n rows together; of every group if ``by``.
 
     ``part`` is a number from 0 to RANGES - 1 that never falls along the order. The rows of each part are
-    counted, lower parts are kept whole, and only the part that holds the n-th row is ranked.
+    counted, lower parts are kept whole, and only the part that holds the n-th row is ranked. Groups must not be null.
     """
     marked = df.withColumn("__part", part.cast("int"))
-    counts = marked.groupBy("__part").agg(F.count("*").alias("__n"))
-    # RANGES rows at most
-    upto = F.sum("__n").over(Window.orderBy("__part"))
-    edge = counts.select("__part", "__n", upto.alias("__upto")).where(F.col("__upto") - F.col("__n") < n)
-    edge = edge.agg(F.max("__part").alias("__last"), F.max(F.col("__upto") - F.col("__n")).alias("__before"))
-    kept = marked.join(F.broadcast(edge)).where(F.col("__part") <= F.col("__last"))  # edge is one row
+    counts = marked.groupBy(*by, "__part").agg(F.count("*").alias("__n"))
+    # RANGES rows a group at most
+    upto = F.sum("__n").over(Window.partitionBy(*by).orderBy("__part"))
+    edge = counts.select(*by, "__part", "__n", upto.alias("__upto")).where(F.col("__upto") - F.col("__n") < n)
+    edge = edge.groupBy(*by).agg(F.max("__part").alias("__last"), F.max(F.col("__upto") - F.col("__n")).alias("__before"))
+    met = join_salted(marked, edge, by, F.col("__part")) if by else marked.join(F.broadcast(edge))  # one row without groups
+    kept = met.where(F.col("__part") <= F.col("__last"))
     last = F.col("__part") == F.col("__last")
-    rank = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    rank = F.row_number().over(Window.partitionBy(*by, "__part").orderBy(*order))
     ranked = kept.where(last).withColumn("__rank", rank).where(F.col("__rank") + F.col("__before") <= n)
     return kept.where(~last).select(*df.columns).unionByName(ranked.select(*df.columns))
 
@@ -83,17 +85,14 @@ def epoch_sample(
 def stratified_sample(
     df: DataFrame, stratum: str, n: int, seed: int, keys: Sequence[str] = CELL_KEY
 ) -> DataFrame:
-    """At most n rows per stratum.
+    """At most n rows per stratum: the first in the random order, by the counts of its ranges.
 
-    The limit is taken in salted slices first, so a stratum of any size leaves at most
-    n rows per slice for the final ranking.
+    Only the range that holds a stratum's n-th row is ranked, so no task sees more of a stratum. A null stratum is one
+    of its own.
     """
-    order = _order(seed, keys)
-    out = df.withColumn("__salt", F.pmod(F.xxhash64(*keys, F.lit("salt")), F.lit(SLICES)))
-    for part in ([stratum, "__salt"], [stratum]):
-        w = Window.partitionBy(*part).orderBy(*order)
-        out = out.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") <= n).drop("__rn")
-    return out.drop("__salt")
+    groups = {"__known": F.col(stratum).isNotNull(), "__stratum": F.coalesce(F.col(stratum).cast("string"), F.lit(""))}
+    part = F.conv(F.substring(digest(seed, keys), 1, 4), 16, 10)
+    return smallest(df.withColumns(groups), int(n), _order(seed, keys), part, list(groups)).drop(*groups)
 
 
 def weighted_positive_sample(

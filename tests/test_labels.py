@@ -42,6 +42,49 @@ def test_mixture_crossing(spark):
     assert few[27] == pytest.approx(np.quantile(np.arange(20), 0.9))
 
 
+def plain_mixture(v):
+    """The split and EM of the module's rules on an array."""
+    centres = np.array([v.mean() - v.std(), v.mean() + v.std()])
+    while True:
+        upper = v - centres[0] > centres[1] - v
+        new = np.array([v[~upper].mean() if (~upper).any() else centres[0], v[upper].mean() if upper.any() else centres[1]])
+        moved, centres = ((new - centres) ** 2).sum(), new
+        if moved <= labels.SPLIT_TOLERANCE * v.var():
+            break
+    share, fit = np.stack([~(v - centres[0] > centres[1] - v), v - centres[0] > centres[1] - v]).astype(float), -np.inf
+    for i in range(labels.MIXTURE_ROUNDS + 1):
+        if i:
+            logs = np.log(w)[:, None] - 0.5 * np.log(2 * np.pi * s)[:, None] - (v - m[:, None]) ** 2 / (2 * s[:, None])
+            whole = np.logaddexp(*logs)
+            share, before, fit = np.exp(logs - whole), fit, whole.mean()
+        mass = share.sum(axis=1)
+        w, m = mass / mass.sum(), share @ v / mass
+        s = (share * (v - m[:, None]) ** 2).sum(axis=1) / mass + labels.ADDED_VARIANCE
+        if i and abs(fit - before) < labels.MIXTURE_TOLERANCE:
+            break
+    return w, m, s
+
+
+def test_mixtures_of_all_values_equal_a_plain_fit(spark):
+    rng = np.random.default_rng(7)
+    two = np.r_[rng.normal(0.5, 0.2, 3000), rng.normal(3.0, 1.0, 1000)]
+    skewed = rng.lognormal(1.0, 1.0, 4000)
+    saturated = np.r_[rng.normal(2.0, 0.4, 3999), 65535.0]
+    rows = [(c, float(x)) for c, v in enumerate((two, skewed, saturated)) for x in v] + [(0, None), (1, None)]
+    got = labels.fit_mixtures(spark.createDataFrame(rows, "channel int, v double").repartition(7), [0, 1, 2, 3])
+    assert sorted(got) == [0, 1, 2]
+    for c, v in enumerate((two, skewed, saturated)):
+        w, m, s = plain_mixture(v)
+        assert np.allclose(got[c].weights, w, rtol=1e-8) and np.allclose(got[c].means, m, rtol=1e-8) and np.allclose(got[c].variances, s, rtol=1e-6)
+    assert labels.crossing_on_grid(got[0].weights, got[0].means, got[0].variances) == pytest.approx(1.1, abs=0.3)
+
+
+def test_mixture_of_a_constant_channel(spark):
+    df = spark.createDataFrame([(2.0, float(i % 2)) for i in range(80)], "ch00_true double, ch27_true double")
+    cuts = labels.gmm_intersection(df, TWO)
+    assert cuts[0] == 2.0 and 0.0 < cuts[27] < 1.0
+
+
 def test_consensus_votes(spark):
     df = spark.createDataFrame([(1, 1.0, True), (2, 2.5, False), (3, 3.5, False), (4, 9.0, False), (5, 3.0, True)], "id int, ch27_true double, ch27_pos boolean")
     taus = {27: {"gmm": 3.0, "otsu": 2.0, "quantile": 5.0}}
@@ -105,10 +148,7 @@ def cohort(spark, n=60, cores=("a", "b")):
     return spark.createDataFrame(rows, "basename string, cell_id long, ch00_true double, ch27_true double, ch00_pos_consensus boolean, ch27_pos_consensus boolean")
 
 
-@pytest.mark.parametrize("prototypes", [25, 4000])
-def test_every_cell_gets_a_cluster_also_in_large_cores(spark, monkeypatch, prototypes):
-    monkeypatch.setattr(cluster, "MAX_PROTOTYPES", prototypes)
-    monkeypatch.setattr(cluster, "CELLS_PER_SLICE", 16)
+def test_every_cell_gets_a_cluster_and_far_groups_share_none(spark):
     scaled = normalize.zscore_by_core(cohort(spark), TWO)
     got = cluster.cluster_cells(scaled, TWO, k=8, resolution=0.05).toPandas()
     assert len(got) == 120 and not got.duplicated(["basename", "cell_id"]).any()
@@ -198,6 +238,56 @@ def test_calibration(spark):
     assert report["CD68"].auc_logreg > 0.8 and report["CD68"].n_eval_cells == 400
 
 
+def test_logistic_models_of_all_markers_share_their_passes(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 3)) * [1.0, 5.0, 0.01] + [0, 2, 7]
+    y = rng.random((600, 2)) < 1 / (1 + np.exp(-(x[:, :2] - [0, 2]) * [2.0, 0.3]))
+    known = rng.random((600, 2)) < 0.9
+    rows = [(*map(float, a), *[float(v) if k else None for v, k in zip(b, c)]) for a, b, c in zip(x, y, known)]
+    design = spark.createDataFrame(rows, "a double, b double, c double, y0 double, y1 double").repartition(3)
+    scaler = calibrate._scaler(design, ["a", "b", "c"])
+    models = []
+    for i in range(2):
+        n, pos = known[:, i].sum(), (y[:, i] & known[:, i]).sum()
+        models.append(calibrate.Response(f"y{i}", (n / (2 * (n - pos)), n / (2 * pos)), np.zeros(4), np.zeros(4)))
+    passes = calibrate.fit_logistic(design, ["a", "b", "c"], scaler, models, 50)
+    assert passes < 15 and all(m.done for m in models)
+    z = np.column_stack([np.ones(600), (x - x.mean(axis=0)) / x.std(axis=0)])
+    for i, m in enumerate(models):
+        w = np.where(y[:, i], m.weights[1], m.weights[0]) * known[:, i]
+        p = 1 / (1 + np.exp(-z @ m.best))
+        assert np.abs(z.T @ (w * (p - y[:, i])) + np.r_[0, m.best[1:]]).max() < 1e-6  # the gradient is zero
+
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    scaled = design.select(*[((F.col(c) - scaler[c][0]) / scaler[c][1]).alias(c) for c in "abc"], "y0").filter("y0 is not null")
+    n = int(known[:, 0].sum())
+    weighted = VectorAssembler(inputCols=list("abc"), outputCol="x").transform(scaled).withColumn("w", F.when(F.col("y0") > 0, models[0].weights[1]).otherwise(models[0].weights[0]))
+    fitted = LogisticRegression(featuresCol="x", labelCol="y0", weightCol="w", regParam=1.0 / n, standardization=False, maxIter=500, tol=1e-12).fit(weighted)
+    assert np.allclose(np.r_[fitted.intercept, fitted.coefficients.toArray()], models[0].best, atol=1e-6)
+
+
+def test_missing_features_are_an_error_and_one_sided_markers_constant(spark):
+    df = spark.createDataFrame([("c", i, 0.1 * i, 0.5, True, i % 2 == 0) for i in range(10)], "basename string, cell_id long, ch00_pred double, ch27_pred double, ch00_pos boolean, ch27_pos boolean")
+    out = calibrate.calibrate_markers(df, df, TWO)[1].collect()
+    assert {r.ch00_prob_logreg for r in out} == {1.0} and all(0 < r.ch27_prob_logreg < 1 for r in out)
+    with pytest.raises(Exception, match="a feature is missing"):
+        calibrate.calibrate_markers(df.withColumn("ch27_pred", F.when(F.col("cell_id") < 5, F.col("ch27_pred"))), df, TWO)
+
+
+def test_stratified_sample_takes_the_first_of_every_stratum(spark):
+    import hashlib
+
+    rows = [("c", i, [None, "a", "b", "hot", "hot", "hot"][i % 6]) for i in range(3000)] + [("c", 9000, "small")]
+    df = spark.createDataFrame(rows, "basename string, cell_id long, stratum string").repartition(5)
+    got = sampling.stratified_sample(df, "stratum", 70, 5).collect()
+    by = {}
+    for b, i, s in rows:
+        by.setdefault(s, []).append((hashlib.md5(f"{b}|{i}|5".encode()).hexdigest(), i))
+    want = {(s, i) for s, v in by.items() for _, i in sorted(v)[:70]}
+    assert {(r.stratum, r.cell_id) for r in got} == want and len(got) == len(want) == 281
+
+
 def test_a_core_of_any_size_is_clustered_on_all_its_cells(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(0, 0.3, (9000, len(TWO.channels)))
