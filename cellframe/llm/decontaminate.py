@@ -135,24 +135,30 @@ def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def _shingle_sql(table: str, key: str) -> str:
+    """A row for every shingle of a table: its key, the number of words, the place and the shingle's hash."""
     return (
-        f"{table}w as (select {key}, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') as w from {table}), "
-        f"{table}s as (select {key}, len(w) as n, p, array_to_string(list_slice(w, p, p + {SHINGLE - 1}), ' ') as s from "
-        f"(select {key}, w, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) as p from {table}w where len(w) > 0))"
+        f"{table}w as materialized (select {key}, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') as w from {table}), "
+        f"{table}p as materialized (select {key}, w, len(w) as n, unnest(range(1, greatest(len(w) - {SHINGLE - 1}, 1) + 1)) as p from {table}w where len(w) > 0), "
+        f"{table}s as materialized (select {key}, n, p, hash(array_to_string(list_slice(w, p, p + {SHINGLE - 1}), ' ')) as s from {table}p)"
     )
 
 
-#: The leaks by trying every window of every document and item that share a shingle, in DuckDB's SQL.
+#: The leaks by trying every window of every document and item that share a shingle, in DuckDB's SQL. Steps are
+#: materialised and joined on numbers.
 ORACLE_SQL = f"""
 with {_shingle_sql('documents', 'doc_id')}, {_shingle_sql('benchmark', 'item_id')},
-sizes as (select item_id, any_value(n) as n_words, count(*) as size from benchmarks group by item_id),
-weights as (select item_id, s, count(*) as weight from benchmarks group by item_id, s),
-lengths as (select doc_id, any_value(n) as n from documentss group by doc_id),
-pairs as (select distinct doc_id, item_id from documentss d join benchmarks b on d.s = b.s),
-starts as (select doc_id, item_id, n_words, size, unnest(range(0, greatest(n - n_words, 0) + 1)) as start from pairs join sizes using (item_id) join lengths using (doc_id)),
-counted as (select t.doc_id, t.item_id, t.start, t.n_words, t.size, d.s, count(*) as times from starts t join documentss d on d.doc_id = t.doc_id and d.p > t.start and d.p <= t.start + t.size group by all),
-summed as (select doc_id, item_id, start, n_words, size, sum(least(times, coalesce(weight, 0)))::bigint as both_, sum(times)::bigint as all_ from counted left join weights using (item_id, s) group by all),
-likeness as (select *, both_::double / (all_ + size - both_) as similarity from summed)
+sizes as materialized (select item_id, max(n) as n_words, count(*) as size from benchmarks group by item_id),
+weights as materialized (select item_id, s, count(*) as weight from benchmarks group by item_id, s),
+lengths as materialized (select doc_id, max(n) as n from documentss group by doc_id),
+pairs as materialized (select distinct doc_id, item_id from documentss d join weights b on d.s = b.s),
+sized as materialized (select doc_id, item_id, n_words, size, n from pairs join sizes using (item_id) join lengths using (doc_id)),
+starts as materialized (select doc_id, item_id, n_words, size, unnest(range(0, greatest(n - n_words, 0) + 1)) as start from sized),
+places as materialized (select doc_id, item_id, start, n_words, size, unnest(range(start + 1, start + size + 1)) as p from starts),
+counted as materialized (select t.doc_id, t.item_id, t.start, t.n_words, t.size, d.s, count(*) as times from places t join documentss d on d.doc_id = t.doc_id and d.p = t.p group by all),
+summed as materialized (
+    select c.doc_id, c.item_id, c.start, c.n_words, c.size, sum(least(c.times, coalesce(w.weight, 0)))::bigint as both_, sum(c.times)::bigint as all_
+    from counted c left join weights w on w.item_id = c.item_id and w.s = c.s group by all),
+likeness as materialized (select *, both_::double / (all_ + size - both_) as similarity from summed)
 select doc_id, item_id, start, n_words, similarity from likeness where similarity >= {SIMILAR}
 qualify row_number() over (partition by doc_id, item_id order by similarity desc, start) = 1
 """
