@@ -1,8 +1,9 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped first: comments, scripts, styles and other elements without text of their own go, and so do
-elements that hold menus, headers, footers, sidebars, notices, adverts, forms and reader comments, told by their tag
-or by the words of their class, id or role. What is left are lines: one for each block, with character references
+elements that hold menus, headers, footers, sidebars, notices, adverts, forms and reader comments, told by their tag or
+by a class, id or role that names nothing else (``cookie-notice``, not ``social-science``); inside an article only by one
+that names an advert, comment or form. A tag that the page's end cuts off is no text. What is left are lines: one for each block, with character references
 decoded and white space turned into single spaces. A line weighs as many characters as it has outside of links.
 
 The weights are summed over blocks of BLOCK lines. The text surges at the first line whose block reaches the
@@ -37,14 +38,21 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements of a head; any other ends it.
 HEAD = frozenset("base link meta noscript script style template title".split())
 SECTION = frozenset("article main section div td body".split())
-#: Words of a class, id or role that tell what is no part of the article, and those of a wrapper around all of it.
+#: Words of a class, id or role that tell what is no part of the article, those that may go with them in one name, and
+#: those of a wrapper around all of the article.
 APART_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments cookie cookies consent copyright disclaimer disqus footer login "
     "masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup promo promoted related replies search share "
     "sharing sidebar signup social sponsor sponsored subscribe toolbar widget complementary contentinfo alert".split()
 )
-HEADER_WORDS = frozenset(("header", "site-header"))
+PLAIN_WORDS = frozenset(
+    "a area articles bar block bottom box btn button buttons col column desktop fixed form global group header holder icon icons inner item items left link "
+    "links list media message mobile module outer panel policy posts primary right row secondary section site slot sticky stories top unit wrap zone".split()
+)
 WRAPPER_WORDS = frozenset("article body container content entry has main no page post story with wrapper".split())
+#: Of these words, those that hold inside an article too.
+INNER_WORDS = frozenset(
+    "ad ads advert advertisement adverts banner comment comments disqus login newsletter promo promoted replies signup sponsor sponsored subscribe".split())
 
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<silent>script|style|noscript|template|svg|math|canvas|iframe|object|textarea|select|audio|video)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=silent)\s*>|\Z)"
@@ -54,7 +62,14 @@ TAG = re.compile(
 )
 NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 HIDDEN = re.compile(r"""\s(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
-WORD = re.compile(r"[A-Za-z]+")
+WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+OPEN = re.compile(r"<[a-zA-Z/!?]")
+
+
+def names_apart(token: str, telling: frozenset[str]) -> bool:
+    """Whether a name is made of telling words and plain ones alone."""
+    words = {w.lower() for w in WORD.findall(token)}
+    return bool(words & telling) and words <= APART_WORDS | PLAIN_WORDS
 
 
 def is_apart(name: str, rest: str, in_article: bool) -> bool:
@@ -65,10 +80,19 @@ def is_apart(name: str, rest: str, in_article: bool) -> bool:
         return False
     if HIDDEN.search(rest):
         return True
-    words = {w.lower() for _, v in NAMED.findall(rest) for w in WORD.findall(v)}
-    if words & WRAPPER_WORDS:
+    named = [(kind.lower(), token) for kind, value in NAMED.findall(rest) for token in value.strip("\"'").split()]
+    if any(w.lower() in WRAPPER_WORDS for _, token in named for w in WORD.findall(token)):
         return False
-    return bool(words & APART_WORDS) or not in_article and "header" in words
+    if any(kind == "role" and token.lower() in APART_WORDS for kind, token in named):
+        return True
+    telling = INNER_WORDS if in_article else APART_WORDS | {"header"}
+    return any(names_apart(token, telling) for _, token in named)
+
+
+def whole_tags(page: str) -> str:
+    """The page up to a tag that never ends: no pattern has to look for its end from every ``<`` again."""
+    cut = OPEN.search(page, page.rfind(">") + 1)
+    return page[: cut.start()] if cut else page
 
 
 def lines(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int]]]:
@@ -79,6 +103,7 @@ def lines(page: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int]]]
     stack: list[tuple[str, bool, int]] = [("", False, 0)]  # name, apart, container
     containers = [("", 0)]
     links, articles, at = 0, 0, 0
+    page = whole_tags(page)
 
     def close() -> None:
         nonlocal linked

@@ -2,6 +2,7 @@
 
 import html as entities
 import re
+import time
 
 from cellframe.llm import html
 
@@ -35,6 +36,30 @@ def test_short_and_broken_pages():
     assert html.main_text('<a href="' * 2000) is not None
 
 
+def test_names_that_only_hold_a_telling_word_stay():
+    other = LONG.replace("sentence", "passage")
+    for name in ("social-science", "related-work", "adSense-study", "searchlight", "ads2020-paper", "plain"):
+        for around in ("article", "div"):
+            for tag in ("p", "section"):
+                assert html.main_text(page(f"<{around}><p>{LONG}</p><{tag} class='{name}'>{other}</{tag}><p>{LONG}</p></{around}>")).split("\n") == [LONG, other, LONG], (name, around, tag)
+    for name in ("ad", "ad-slot top", "commentsList", "newsletter_signup", "sponsored-links"):
+        assert html.main_text(page(f"<article><p>{LONG}</p><div class='{name}'>{other}</div><p>{LONG}</p></article>")).split("\n") == [LONG, LONG], name
+    for name in ("cookie-notice", "site-header", "related-posts", "nav"):
+        assert html.main_text(page(f"<div id='{name}'><p>{other}</p></div><div><p>{LONG}</p><p>{LONG}</p></div>")).split("\n") == [LONG, LONG], name
+        assert other in html.main_text(page(f"<article><p>{LONG}</p><div class='{name}'>{other}</div><p>{LONG}</p></article>")), name
+    assert html.main_text(page(f"<article><p>{LONG}</p><div role=navigation>{other}</div><p>{LONG}</p></article>")).split("\n") == [LONG, LONG]
+
+
+def test_open_tags_take_no_quadratic_time():
+    start = time.time()
+    for piece in ("<a ", "<a", "</", "<!", '<a "', "<a '", '<a "x" ', "<script ", "<p <b ", "<!-- "):
+        body = f"<article><p>{LONG}</p><p>{LONG}</p></article>" + piece * (1_000_000 // len(piece))
+        assert html.main_text(page(body)[: -len("</body></html>")]).startswith(f"{LONG}\n{LONG}"), piece
+        html.main_text(piece * (1_000_000 // len(piece)) + "'>")
+        html.main_text(piece * (1_000_000 // len(piece)))
+    assert time.time() - start < 30
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
     want = {}
