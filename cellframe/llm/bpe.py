@@ -27,6 +27,8 @@ from cellframe.llm.pieces import PieceIds, Slots
 from cellframe.llm.text import mix, ragged
 
 LEAF = 32
+#: Bytes whose leaves are merged together; a place among them takes PLACE_BITS bits.
+PASS_BYTES, PLACE_BITS = 1 << 21, 22
 NONE = np.int64(1) << 40
 #: Ids of one leaf of the decoding tree.
 DECODE_LEAF = 1 << 16
@@ -57,7 +59,12 @@ class Merges:
         return mix((left << 32 | right).astype(np.uint64))
 
     def leaves(self, parts: list[bytes]) -> list[list[int]]:
-        """Encode many short byte strings: in each round, every one merges its leftmost pair of lowest rank."""
+        """Encode many byte strings of at most LEAF bytes, in passes of PASS_BYTES."""
+        step = PASS_BYTES // LEAF
+        return [ids for at in range(0, len(parts), step) for ids in self._leaves(parts[at : at + step])]
+
+    def _leaves(self, parts: list[bytes]) -> list[list[int]]:
+        """In each round, every string merges its leftmost pair of lowest rank."""
         out: list[list[int]] = [[] for _ in parts]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         owner, tokens = np.repeat(np.arange(len(parts)), sizes), self.byte_id[np.frombuffer(b"".join(parts), np.uint8)]
@@ -67,8 +74,8 @@ class Merges:
             to = self.pairs.get(self._key(tokens[:-1], tokens[1:])).astype(np.int64)
             rank[:-1] = np.where(same & (to >= 0), to, NONE)
             heads = np.flatnonzero(np.concatenate([[True], ~same]))
-            best = np.minimum.reduceat(rank << 22 | np.arange(len(tokens)), heads)
-            done = (best >> 22) >= NONE
+            best = np.minimum.reduceat(rank << PLACE_BITS | np.arange(len(tokens)), heads)
+            done = (best >> PLACE_BITS) >= NONE
             if done.any():
                 counts = np.diff(np.append(heads, len(tokens)))
                 flat, ended = tokens.tolist(), heads[done]
@@ -78,8 +85,8 @@ class Merges:
                 keep = np.repeat(~done, counts)
             else:
                 keep = np.ones(len(tokens), bool)
-            at = best & ((1 << 22) - 1)
-            tokens[at] = best >> 22
+            at = best & ((1 << PLACE_BITS) - 1)
+            tokens[at] = best >> PLACE_BITS
             keep[at + 1] = False
             tokens, owner = tokens[keep], owner[keep]
         return out
@@ -125,11 +132,8 @@ class Merges:
         parts = [s.encode() for s in strings]
         out: list[list[int]] = [[]] * len(parts)
         short = [i for i, p in enumerate(parts) if len(p) <= LEAF]
-        step = (1 << 21) // LEAF
-        for at in range(0, len(short), step):
-            some = short[at : at + step]
-            for i, ids in zip(some, self.leaves([parts[i] for i in some])):
-                out[i] = ids
+        for i, ids in zip(short, self.leaves([parts[i] for i in short])):
+            out[i] = ids
         for i, p in enumerate(parts):
             if len(p) > LEAF:
                 out[i] = self.tree(p)
