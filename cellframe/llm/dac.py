@@ -5,8 +5,8 @@ whether another chunk follows. The ids with a further chunk keep their order on
 there is the number of set bits before it: a directory holds that count for every 64-bit word. Any id is read by
 itself from one chunk, one bit and one count a level, without decoding a block.
 
-A file holds the ids of consecutive documents in ascending order of doc_id (nulls first, equal ids in order of text),
-with the documents' ids and their first places. Files are rows of a Parquet table written by Spark to the shared
+A file holds the ids of consecutive documents in ascending order of doc_id (nulls first, equal ids in order of a hash of
+their text), with the documents' ids and their first places. Files are rows of a Parquet table written by Spark to the shared
 folder, so a task that runs again leaves no half-written file: (part, seq, n_ids, file). ``part`` follows the order
 of doc_id and ``seq`` counts within it.
 
@@ -16,6 +16,7 @@ A null text is an empty one and has the end id alone; repeated rows are kept.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,6 +36,8 @@ CHUNK = 8
 END_ID = 0
 #: Ids after which a file is closed.
 FILE_IDS = 1 << 20
+#: Ids looked up together.
+READ_IDS = 1 << 16
 
 
 class Codes:
@@ -88,18 +91,12 @@ class Codes:
             shift += CHUNK
         return out
 
-
-    def read_all(self) -> np.ndarray:
-        """All values in order: the values with a further chunk are those of the next level, one after the other."""
-        out, mine = np.zeros(self.n, np.uint64), None
-        for shift, (chunks, bits, _) in zip(range(0, 64, CHUNK), self.levels):
-            part = chunks.astype(np.uint64) << np.uint64(shift)
-            if mine is None:
-                out, mine = part, np.flatnonzero(np.unpackbits(bits.view(np.uint8), count=len(chunks), bitorder="little"))
-            else:
-                out[mine] |= part
-                mine = mine[np.unpackbits(bits.view(np.uint8), count=len(chunks), bitorder="little").astype(bool)]
-        return out
+    def checksum(self, first: int, n: int) -> int:
+        """CRC-32 of n values from a place on, as little-endian unsigned 32-bit integers; READ_IDS of them at a time."""
+        crc = 0
+        for at in range(first, first + n, READ_IDS):
+            crc = zlib.crc32(self.read(np.arange(at, min(at + READ_IDS, first + n))).astype("<u4").tobytes(), crc)
+        return crc
 
 
 def pack_file(doc_ids: list[int | None], firsts: np.ndarray, ids: np.ndarray) -> bytes:
@@ -118,16 +115,47 @@ def read_file(data: bytes) -> tuple[list[int | None], np.ndarray, Codes]:
     return [d if k else None for d, k in zip(own.tolist(), known.tolist())], firsts, Codes(data, 12 + 17 * n)
 
 
-@lru_cache(2)
-def library(path: str) -> PieceIds:
-    """Ids by the tokenizers library, which gets every different match of its split pattern once in a while."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    # the library takes some microseconds a piece, so the table has room for two million
-    return PieceIds(lambda strings: [e.ids for e in tokenizer.encode_batch_fast(strings, add_special_tokens=False)], bits=22)
+class LibraryIds:
+    """Ids by the tokenizers library, which gets every different match of its split pattern once in a while.
+
+    Added tokens (``<|endoftext|>``) in a text are matched before the pattern, as the library does by default.
+    """
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        # the library takes some microseconds a piece, so the table has room for two million
+        self.pieces = PieceIds(lambda strings: [e.ids for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)], bits=22)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = {t.content: i for i, t in added.items()}
+        #: Tokens that take white space with them, or hold as whole words alone, are left to the library.
+        self.plain = not any(t.lstrip or t.rstrip or t.single_word or t.normalized and not t.special for t in added.values())
+        self.cuts = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+
+    def of_texts(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text, in order."""
+        held: list[str] = []
+        for text in texts:
+            if self.cuts is None or not self.cuts.search(text):
+                held.append(text)
+                continue
+            yield from self.pieces.of_texts(held)
+            held = []
+            if not self.plain:
+                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                continue
+            parts = self.cuts.split(text)  # every second one is an added token
+            between = self.pieces.of_texts(parts[::2])
+            ids = [next(between)]
+            for token, more in zip(parts[1::2], between):
+                ids += [np.array([self.added[token]], np.uint32), more]
+            yield np.concatenate(ids)
+        yield from self.pieces.of_texts(held)
+
+
+library = lru_cache(2)(LibraryIds)
 
 
 def write(docs: DataFrame, path: str, folder: str | None = None) -> str:
@@ -159,7 +187,8 @@ def write(docs: DataFrame, path: str, folder: str | None = None) -> str:
         if owners:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     files = ordered.mapInArrow(run, "part int, seq long, n_ids long, file binary")
     files.write.option("compression", "zstd").parquet(folder)
     return folder
@@ -178,8 +207,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             for part, seq, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 owners, firsts, codes = read_file(data)
                 counts = np.diff(np.append(firsts, codes.n))
-                ids = codes.read_all().astype("<u4")
-                crc = [zlib.crc32(ids[a : a + n].tobytes()) for a, n in zip(firsts.tolist(), counts.tolist())]
+                crc = [codes.checksum(a, n) for a, n in zip(firsts.tolist(), counts.tolist())]
                 n = len(owners)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x) for x in (np.full(n, part, np.int32), np.full(n, seq))] + [pa.array(owners, pa.int64()), pa.array(firsts.astype(np.int64)), pa.array(counts.astype(np.int64)), pa.array(crc, pa.int64())],
