@@ -155,7 +155,10 @@ class LibraryIds:
         yield from self.pieces.of_texts(held)
 
 
-library = lru_cache(2)(LibraryIds)
+@lru_cache(2)
+def library(path: str) -> LibraryIds:
+    """The ids of one tokenizer file, made once in a process."""
+    return LibraryIds(path)
 
 
 def write(docs: DataFrame, path: str, folder: str | None = None) -> str:
