@@ -41,8 +41,9 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    calls, results = toolcalls.from_conversations(table(spark, sf_dir, "conversations"))
-    return toolcalls.linked(calls, results, toolcalls.tool_table(spark))
+    turns = table(spark, sf_dir, "conversations")
+    calls, results = toolcalls.from_conversations(turns)
+    return toolcalls.linked(calls, results, toolcalls.tool_table(spark)).unionByName(toolcalls.other_turns(turns))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,7 @@ from cellframe.session import cut
 
 #: Fields of the tools that the query on conversations uses: tool, field, kind, required.
 TOOLS = (("answer", "limit", "integer", True), ("answer", "question", "string", True), ("answer", "strict", "boolean", False), ("lookup", "language", "string", False), ("lookup", "words", "integer", True))
+ROLES = ("user", "assistant", "system")
 #: The names that schema_of_variant gives to the kinds.
 KINDS = {"integer": ("BIGINT",), "number": ("BIGINT", "DOUBLE", "DECIMAL"), "string": ("STRING",), "boolean": ("BOOLEAN",), "array": ("ARRAY",), "object": ("OBJECT",)}
 
@@ -106,15 +107,25 @@ def linked(calls: DataFrame, results: DataFrame, tools: DataFrame) -> DataFrame:
     return sent.unionByName(given)
 
 
+def other_turns(rows: DataFrame) -> DataFrame:
+    """A row like those of :func:`linked` for every turn whose role is null or none of ROLES: kind ``turn``, status ``unknown role``."""
+    other = rows.where(F.col("role").isNull() | ~F.col("role").isin(*ROLES))
+    text = F.concat(F.lit('{"content":'), json_text(F.col("text")), F.lit(',"role":'), json_text(F.col("role")), F.lit(',"type":"turn"}'))
+    return other.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.lit("turn").alias("kind"), F.lit(None).cast("string").alias("call_id"), F.col("turn").cast("long").alias("turn"),
+        F.lit(None).cast("long").alias("depth"), F.lit("unknown role").alias("status"), text.alias("json"))
+
+
 def from_conversations(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results that stand for the turns of plain conversations.
 
     A user's turn is a call of ``answer`` with the turn's text as the question, an assistant's turn its result; a
     system turn is a call of ``lookup`` without a result. A call waits for the user's turn two before it. So that every
-    check has work, the turn and conversation numbers leave out, mistype or misname some fields.
+    check has work, the turn and conversation numbers leave out, mistype or misname some fields. Turns of other roles are
+    neither; :func:`other_turns` has them.
     """
     t, c, text = F.col("turn").cast("long"), F.col("conv_id").cast("long"), F.coalesce("text", F.lit(""))
-    rows = rows.where(F.col("role").isin("user", "assistant", "system")).select(c.alias("conv_id"), t.alias("turn"), "role", text.alias("text"))
+    rows = rows.where(F.col("role").isin(*ROLES)).select(c.alias("conv_id"), t.alias("turn"), "role", text.alias("text"))
     name = lambda n: F.concat(F.lit("c"), n.cast("string"))
     limit = F.when(F.col("conv_id") % 7 == 0, F.lit("")).when(F.col("conv_id") % 11 == 0, F.lit('"limit": "ten", ')).otherwise(F.concat(F.lit('"limit": '), (F.col("turn") * 10).cast("string"), F.lit(", ")))
     strict = F.when(F.col("conv_id") % 13 == 0, F.lit(', "extra": [1, {"b": 2, "a": null}]')).when(F.col("conv_id") % 2 == 0, F.lit(', "strict": true')).otherwise(F.lit(""))
@@ -164,4 +175,7 @@ union all
 select s.conv_id, 'result', 'c' || (s.turn - 1), s.turn, a.depth, case when a.turn is null then 'orphan' else 'ok' end,
   '{"content":' || to_json(s.text) || ',"id":"c' || (s.turn - 1) || '","type":"tool_result"}'
 from r s left join args a on a.conv_id = s.conv_id and a.turn = s.turn - 1 where s.role = 'assistant'
+union all
+select conv_id, 'turn', null, turn, null, 'unknown role', '{"content":' || coalesce(to_json(text)::varchar, 'null') || ',"role":' || coalesce(to_json(role)::varchar, 'null') || ',"type":"turn"}'
+from conversations where role is null or role not in ('user', 'assistant', 'system')
 """

@@ -52,3 +52,18 @@ def test_validation_and_canonical_json(spark):
 def test_empty(spark):
     assert run(spark, [], []) == []
     assert [r[5] for r in run(spark, [], [(1, "a", "b", 1)])] == ["orphan"]
+
+
+def test_turns_of_any_other_role_have_a_row(spark):
+    import duckdb
+
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "tool", 'x "y"'), (1, 3, None, None), (2, 0, "function", "f"), (2, 1, "system", "s"), (None, 5, "User", "case")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    calls, results = toolcalls.from_conversations(turns)
+    got = [tuple(r) for r in toolcalls.linked(calls, results, toolcalls.tool_table(spark)).unionByName(toolcalls.other_turns(turns)).collect()]
+    assert len(got) == len(rows)
+    assert sorted((r[0] or 0, r[3]) for r in got if r[5] == "unknown role") == [(0, 5), (1, 2), (1, 3), (2, 0)]
+    con = duckdb.connect()
+    con.execute("create table conversations (conv_id bigint, turn bigint, role varchar, text varchar)")
+    con.executemany("insert into conversations values (?, ?, ?, ?)", rows)
+    assert sorted(got, key=str) == sorted(con.execute(toolcalls.ORACLE_SQL).fetchall(), key=str)
