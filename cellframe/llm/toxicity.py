@@ -39,11 +39,13 @@ FOLDS = 5
 #: Labelled rows that the model is fitted on, at most.
 EXAMPLES = 10_000
 NEIGHBOURS, BLOCK = 16, 64
-#: A term of more than one in COMMON examples is multiplied as a row of a matrix, for GROUP texts at a time.
-COMMON, GROUP = 20, 64
+#: A term of more than one in COMMON examples is multiplied as a row of a matrix.
+COMMON = 20
+#: Texts that are searched together, and entries of the lists of block maxima that they may have (more in a text alone).
+GROUP, GROUP_LISTS = 64, 1 << 19
 EVIDENCE = 3
 PRIOR_WEIGHT = 1.0
-PASS = 1 << 20
+PASS = 1 << 18
 
 
 def word_spans(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -116,15 +118,15 @@ class BlockMaxIndex:
         common = self.row[term] >= 0
         self.common = np.zeros((len(often), self.n_blocks * BLOCK), np.float32)
         self.common[self.row[term[common]], at[common]] = weight[common]
-        #: The largest error of a sum of products of unit vectors in single precision.
+        #: The largest error of a sum of products of unit vectors with weights in single precision.
         self.slack = (len(often) + 8) * 2.0**-24 + 1e-9
         rare = np.flatnonzero(~common)
         rare = rare[np.lexsort((at[rare], term[rare]))]
-        self.at, self.weight, term = at[rare], weight[rare], term[rare]
+        self.at, self.weight, term = at[rare], weight[rare].astype(np.float32), term[rare]
         block = self.at // BLOCK
         heads = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])])) if len(term) else np.empty(0, np.int64)
         self.block, self.head, self.size = block[heads], heads.astype(np.int32), np.diff(np.append(heads, len(term))).astype(np.int32)
-        self.peak = np.maximum.reduceat(self.weight, heads) if len(heads) else np.empty(0)
+        self.peak = np.maximum.reduceat(self.weight, heads) if len(heads) else np.empty(0, np.float32)
         self.first = np.searchsorted(term[heads], np.arange(n_terms + 1))
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,55 +134,81 @@ class BlockMaxIndex:
         return next(self.nearest_many(np.array([0, len(term)]), term, weight, k))
 
     def nearest_many(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` of every text, whose terms lie from ``first`` to the next one's."""
+        """``nearest`` of every text, whose terms lie from ``first`` to the next one's; up to GROUP texts are searched together."""
         dense = np.zeros(self.n_terms)
-        for a in range(0, len(first) - 1, GROUP):
-            some = first[a : a + GROUP + 1]
-            mine = slice(some[0], some[-1])
-            row = self.row[term[mine]]
-            often = row >= 0
-            asked = np.zeros((len(some) - 1, len(self.common)), np.float32)
-            asked[np.repeat(np.arange(len(some) - 1), np.diff(some))[often], row[often]] = weight[mine][often]
-            sums = (asked @ self.common).reshape(len(some) - 1, self.n_blocks, BLOCK)
-            peaks = sums.max(2) if self.n else np.zeros((len(some) - 1, 0), np.float32)
-            for i, (b, e) in enumerate(zip(some[:-1], some[1:])):
-                yield self.search(term[b:e], weight[b:e], k, sums[i], peaks[i], dense)
-
-    def search(self, term: np.ndarray, weight: np.ndarray, k: int, sums: np.ndarray, peaks: np.ndarray, dense: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lists = np.append(0, np.cumsum(self.first[term + 1] - self.first[term]))
+        a = 0
+        while a < len(first) - 1:
+            upto = min(len(first) - 1, a + GROUP, int(np.searchsorted(lists[first], lists[first[a]] + GROUP_LISTS, "right")) - 1)
+            upto = max(upto, a + 1)
+            mine = slice(first[a], first[upto])
+            yield from self.search(first[a : upto + 1] - first[a], term[mine], weight[mine], k, dense)
+            a = upto
+
+    def search(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, dense: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        n, blocks = len(first) - 1, self.n_blocks
+        text = np.repeat(np.arange(n), np.diff(first))
+        row = self.row[term]
+        often = row >= 0
+        asked = np.zeros((n, len(self.common)), np.float32)
+        asked[text[often], row[often]] = weight[often]
+        sums = (asked @ self.common).reshape(n, blocks, BLOCK)
         counts = self.first[term + 1] - self.first[term]
         lists = ragged(self.first[term], counts)
-        share, block = np.repeat(weight, counts), self.block[lists]
-        bound = peaks + np.bincount(block, self.peak[lists] * share, self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[: int(np.count_nonzero(bound > 0))]
-        best, near = np.empty(0), np.empty(0, np.int64)
-        done, step, least = 0, 8, 0.0
-        while done < len(order) and (len(best) < k or bound[order[done]] + 2 * self.slack >= least):
-            opened = order[done : done + step]
-            local = np.full(self.n_blocks, -1)
-            local[opened] = np.arange(len(opened)) * BLOCK
-            mine = np.flatnonzero(local[block] >= 0)
-            sizes = self.size[lists[mine]]
-            posts = ragged(self.head[lists[mine]], sizes)
-            at = np.repeat(local[block[mine]], sizes) + self.at[posts] % BLOCK
-            total = sums[opened].ravel() + np.bincount(at, self.weight[posts] * np.repeat(share[mine], sizes), len(opened) * BLOCK)
-            found = np.flatnonzero((total > 0) & (total + 2 * self.slack >= least))
-            near = np.concatenate([near, opened[found // BLOCK] * BLOCK + found % BLOCK])
+        share, cell = np.repeat(weight, counts), np.repeat(text * blocks, counts) + self.block[lists]
+        bound = np.bincount(cell, self.peak[lists] * share, n * blocks).astype(float).reshape(n, blocks)
+        if self.n:
+            bound += sums.max(2)
+        order = np.argsort(-bound, axis=1, kind="stable")
+        falling = np.take_along_axis(bound, order, 1)
+        owner, near, best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        least, held = np.zeros(n), np.zeros(n, np.int64)
+        local = np.full(n * blocks, -1)
+        done, step = 0, 8
+        while done < blocks:
+            # bounds fall along the order, so a text that opens nothing now is finished
+            ahead = falling[:, done : done + step]
+            want = (ahead > 0) & ((held < k)[:, None] | (ahead + 2 * self.slack >= least[:, None]))
+            if not want.any():
+                break
+            asks, at = np.nonzero(want)
+            opened = order[asks, done + at]
+            local[asks * blocks + opened] = np.arange(len(asks)) * BLOCK
+            some = np.flatnonzero(local[cell] >= 0)
+            sizes = self.size[lists[some]]
+            posts = ragged(self.head[lists[some]], sizes)
+            place = np.repeat(local[cell[some]], sizes) + self.at[posts] % BLOCK
+            total = sums[asks, opened].ravel() + np.bincount(place, self.weight[posts] * np.repeat(share[some], sizes), len(asks) * BLOCK)
+            local[asks * blocks + opened] = -1
+            whose = np.repeat(asks, BLOCK)
+            found = np.flatnonzero((total > 0) & (total + 2 * self.slack >= least[whose]))
+            owner, near = np.concatenate([owner, whose[found]]), np.concatenate([near, opened[found // BLOCK] * BLOCK + found % BLOCK])
             best = np.concatenate([best, total[found]])
-            if len(best) > k:  # what may be among the k nearest once its sum is exact
-                least = np.partition(best, len(best) - k)[len(best) - k]
-                keep = best + 2 * self.slack >= least
-                near, best = near[keep], best[keep]
+            # what may be among a text's k nearest once its sum is exact
+            by = np.lexsort((-best, owner))
+            owner, near, best = owner[by], near[by], best[by]
+            starts = np.searchsorted(owner, np.arange(n + 1))
+            held = np.diff(starts)
+            full = held >= k
+            least[full] = best[starts[:-1][full] + k - 1]
+            keep = best + 2 * self.slack >= least[owner]
+            owner, near, best = owner[keep], near[keep], best[keep]
+            held = np.bincount(owner, minlength=n)
             done, step = done + step, step * 2
-        if not len(near):
-            return near, best
-        dense[term] = weight
-        sizes = self.own_first[near + 1] - self.own_first[near]
-        lists = ragged(self.own_first[near], sizes)
-        best = np.bincount(np.repeat(np.arange(len(near)), sizes), dense[self.own_term[lists]] * self.own_weight[lists], len(near))
-        dense[term] = 0
-        keep = np.lexsort((near, -best))[:k]
-        return self.place[near[keep]], np.minimum(best[keep], 1.0)
+        starts = np.searchsorted(owner, np.arange(n + 1))
+        for i in range(n):
+            own = near[starts[i] : starts[i + 1]]
+            if not len(own):
+                yield own, np.empty(0)
+                continue
+            mine = slice(first[i], first[i + 1])
+            dense[term[mine]] = weight[mine]
+            sizes = self.own_first[own + 1] - self.own_first[own]
+            posts = ragged(self.own_first[own], sizes)
+            exact = np.bincount(np.repeat(np.arange(len(own)), sizes), dense[self.own_term[posts]] * self.own_weight[posts], len(own))
+            dense[term[mine]] = 0
+            keep = np.lexsort((own, -exact))[:k]
+            yield self.place[own[keep]], np.minimum(exact[keep], 1.0)
 
 
 def vote(labels: np.ndarray, cosine: np.ndarray, prior: float) -> float:
@@ -203,7 +231,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def table_of(terms: np.ndarray) -> Slots:
-    slots = Slots(max(4, int(np.ceil(np.log2(4 * len(terms) + 1)))))
+    slots = Slots(max(4, int(np.ceil(np.log2(2 * len(terms) + 1)))))
     slots.add(terms, np.arange(len(terms), dtype=np.int32))
     return slots
 
@@ -234,6 +262,13 @@ class Model:
             self.prepared = table_of(self.terms), BlockMaxIndex(self.first, self.term, self.weight, len(self.terms))
         return self.prepared
 
+    def settled(self) -> Model:
+        """For a worker that only searches: the index stays, the arrays it was made of go."""
+        if self.prepared is None:
+            self.ready()
+            self.terms = self.term = self.weight = None
+        return self
+
     def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         slots, _ = self.ready()
         return unit(*term_counts(texts, slots), self.factor, len(texts))
@@ -340,7 +375,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared.value.settled()
         for batch in batches:
             first, term, weight = model.vectors([x or "" for x in batch.column(1).to_pylist()])
             scores, evidence = [], []
@@ -363,7 +398,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared.value.settled()
         for batch in batches:
             near = model.near(*model.vectors([x or "" for x in batch.column(at).to_pylist()]))
             keep = [model.score(vote(model.labels[example], cosine, model.prior)) < 0.5 for example, cosine in near]

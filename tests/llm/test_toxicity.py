@@ -1,8 +1,11 @@
 """The block-max index against brute force, and held-out accuracy."""
 
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
+import regex
 
 from cellframe.llm import toxicity
 
@@ -101,3 +104,56 @@ def test_texts_without_words_of_the_label_meet_their_examples(spark):
     out = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
     assert len(out[900].evidence) == 3 and all(e.toxic == 0 for e in out[900].evidence)
     assert 0 < out[901].evidence[0].cosine < 0.8  # one word of an example in a long text of others
+
+
+def brute_scores(rows, toxic):
+    """Every score by dictionaries: weights, all cosines, votes and the curve."""
+    words = [[w.lower() for w in regex.findall(r"\p{L}+", t or "")] for _, t in rows]
+    chosen = sorted((i for i, (d, _) in enumerate(rows) if d in toxic and zlib.crc32(str(d).encode()) % 5), key=lambda i: rows[i][0])
+    rate = np.mean([toxic[rows[i][0]] for i in chosen])
+    df, hot = Counter(), Counter()
+    for i in chosen:
+        for w in set(words[i]):
+            df[w] += 1
+            hot[w] += toxic[rows[i][0]]
+    corpus = Counter(w for ws in words for w in set(ws))
+    part = lambda seen, n, p: seen * np.log(seen / (n * p)) if seen else 0.0
+    factor = {w: np.log1p(len(rows) / corpus[w]) * np.sqrt(1 + max(0.0, 2 * (part(hot[w], df[w], rate) + part(df[w] - hot[w], df[w], 1 - rate)))) for w in df}
+    unknown = np.log1p(len(chosen) + 1)
+
+    def vector(ws):
+        v = {w: (1 + np.log(c)) * factor.get(w, unknown) for w, c in Counter(ws).items()}
+        norm = np.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / norm for w, x in v.items() if w in factor}
+
+    vectors = [vector(ws) for ws in words]
+    labels = np.array([toxic[rows[i][0]] for i in chosen])
+
+    def vote(v, leave):
+        near = sorted((-min(1.0, sum(x * vectors[j].get(w, 0.0) for w, x in v.items())), n) for n, j in enumerate(chosen) if n != leave)
+        near = [(-c, n) for c, n in near if c < 0][: toxicity.NEIGHBOURS]
+        weight = np.array([c / (1.05 - c) for c, _ in near])
+        return (sum(w * labels[n] for w, (_, n) in zip(weight, near)) + rate) / (weight.sum() + 1)
+
+    a, b = toxicity.logistic(np.array([vote(vectors[j], n) for n, j in enumerate(chosen)]), labels.astype(float))
+    return [1 / (1 + np.exp(-(a * vote(v, None) + b))) for v in vectors]
+
+
+def test_scores_equal_brute_force(spark):
+    rnd = random.Random(3)
+    vocabulary = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}é" for i in range(90)]
+    rows, toxic = [], {}
+    for i in range(260):
+        bad = rnd.random() < 0.3
+        words = rnd.choices(vocabulary[60:] if bad else vocabulary, k=rnd.randint(1, 25))
+        rows.append((i, " ".join(w.upper() if rnd.random() < 0.1 else w for w in words) + rnd.choice(["", " 12", " new" + chr(98 + i % 20)])))
+        if rnd.random() < 0.8:
+            toxic[i] = int(bad)
+    rows += [(300, None), (301, "123 456"), (302, "unseen " + vocabulary[3] * 40), (303, "word " * 20_000 + vocabulary[70])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(d, None, t) for d, t in toxic.items()], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, labels)).collect()}
+    want = dict(zip((d for d, _ in rows), brute_scores(rows, toxic)))
+    # equal cosines of different examples may be taken in another order at the k-th place
+    off = [d for d in want if abs(got[d] - want[d]) > 1e-6]
+    assert len(off) <= 3, [(d, got[d], want[d]) for d in off]
