@@ -3,8 +3,8 @@
 A paragraph (a line; a text without line breaks is one) is hashed to a wide vector. Its first EXACT lanes are the
 32-bit words of its SHA-256. The others come from its sentences: each one adds its length to the counters of the bits
 that are set in two pieces of its MD5, packed two counters to a long. A text's fingerprint is the sum of its paragraphs'
-vectors, the exact lanes modulo 2^32 and the counters modulo 2^30. So the order of paragraphs doesn't matter, and a paragraph is
-inserted or deleted by adding or subtracting its vector (``combine``), without the rest of the text.
+vectors, the exact lanes modulo 2^32; a counter has 30 bits, which hold the length of any text of fewer than 2^30 code points. So
+the order of paragraphs doesn't matter, and a paragraph is inserted or deleted by adding or subtracting its vector (``combine``), without the rest of the text.
 
 A counter c of a text whose sentences have n code points is the sum 2 c - n of lengths with random signs. The products
 of two texts' sums estimate the squared lengths of the sentences they share, so ``likeness`` is the cosine of the two
