@@ -29,7 +29,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.core.broadcast import Broadcast
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellframe.llm.pieces import LETTER, Slots, classes, code_points
@@ -38,7 +39,7 @@ from cellframe.llm.text import mix, ragged, span_hashes
 FOLDS = 5
 #: Labelled rows that the model is fitted on, at most.
 EXAMPLES = 10_000
-NEIGHBOURS, BLOCK = 16, 64
+NEIGHBOURS, BLOCK = 16, 256
 #: A term of more than one in COMMON examples is multiplied as a row of a matrix.
 COMMON = 20
 #: Texts that are searched together, and entries of the lists of block maxima that they may have (more in a text alone).
@@ -244,6 +245,7 @@ class Model:
     #: The weight of each term at one occurrence, and last that of a word of no example.
     factor: np.ndarray
     doc_ids: np.ndarray
+    marks: np.ndarray
     labels: np.ndarray
     first: np.ndarray
     term: np.ndarray
@@ -252,10 +254,17 @@ class Model:
     curve: tuple[float, float]
 
     def __post_init__(self):
-        self.prepared = None
+        self.prepared = self.shared = None
 
     def __getstate__(self):
-        return self.__dict__ | {"prepared": None}
+        return self.__dict__ | {"prepared": None, "shared": None}
+
+    def share(self, spark: SparkSession) -> Broadcast:
+        """The model for the tasks, once for all jobs; the driver keeps labels and curve alone."""
+        if self.shared is None:
+            self.shared = spark.sparkContext.broadcast(self)
+            self.terms = self.factor = self.term = self.weight = None
+        return self.shared
 
     def ready(self) -> tuple[Slots, BlockMaxIndex]:
         if self.prepared is None:
@@ -273,14 +282,15 @@ class Model:
         slots, _ = self.ready()
         return unit(*term_counts(texts, slots), self.factor, len(texts))
 
-    def near(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Nearest examples of every text; ``own``: the texts are the examples, and each is left out of its own."""
-        for i, (example, cosine) in enumerate(self.ready()[1].nearest_many(first, term, weight, NEIGHBOURS + own)):
-            keep = np.flatnonzero(example != i)[:NEIGHBOURS] if own else slice(None)
+    def near(self, first: np.ndarray, term: np.ndarray, weight: np.ndarray, own: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Nearest examples of every text; ``own``: the texts are these examples, and each is left out of its own."""
+        for i, (example, cosine) in enumerate(self.ready()[1].nearest_many(first, term, weight, NEIGHBOURS + (own is not None))):
+            keep = np.flatnonzero(example != own[i])[:NEIGHBOURS] if own is not None else slice(None)
             yield example[keep], cosine[keep]
 
-    def score(self, v: float) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.curve[0] * v + self.curve[1], -30, 30))))
+
+def calibrated(v: float, curve: tuple[float, float]) -> float:
+    return float(1 / (1 + np.exp(-np.clip(curve[0] * v + curve[1], -30, 30))))
 
 
 def unit(row: np.ndarray, term: np.ndarray, count: np.ndarray, factor: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,7 +326,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     total, n_toxic = chosen.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     rate = n_toxic / max(1, total)
-    model = Model(np.empty(0, np.uint64), np.ones(1), *[np.empty(0, np.int64)] * 2, np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0), rate, (0.0, -30.0))
+    model = Model(np.empty(0, np.uint64), np.ones(1), *[np.empty(0, np.int64)] * 3, np.zeros(1, np.int64), np.empty(0, np.int64), np.empty(0), rate, (0.0, -30.0))
     if not 0 < n_toxic < total:
         return model
     counted = chosen.select("text", "toxic").mapInArrow(words, "term long, toxic long").groupBy("term").agg(F.count("*").alias("df"), F.sum("toxic").alias("hot")).toArrow()
@@ -359,20 +369,32 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     # at most EXAMPLES rows
     held = chosen.select("doc_id", "text", F.col("toxic").cast("long"), F.xxhash64("text").alias("mark")).mapInArrow(vectors, "doc_id long, toxic long, mark long, term array<int>, weight array<double>").toArrow()
     held = held.sort_by([("doc_id", "ascending"), ("mark", "ascending")]).combine_chunks()
-    model.doc_ids, model.labels = held.column("doc_id").to_numpy(), held.column("toxic").to_numpy()
+    model.doc_ids, model.marks, model.labels = (held.column(x).to_numpy() for x in ("doc_id", "mark", "toxic"))
     model.first = np.append(0, np.cumsum(pc.list_value_length(held.column("term")).to_numpy()))
     model.term, model.weight = (pc.list_flatten(held.column(x)).to_numpy() for x in ("term", "weight"))
-    model.prepared = None
-    own = [vote(model.labels[example], cosine, rate) for example, cosine in model.near(model.first, model.term, model.weight, True)]
-    model.curve = logistic(np.array(own), model.labels.astype(float))
-    model.prepared = None
+    labels_of = dict(zip(zip(model.doc_ids.tolist(), model.marks.tolist()), model.labels.tolist()))
+    del held
+    shared = model.share(spark)
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value.settled()
+        place = {key: i for i, key in enumerate(zip(model.doc_ids.tolist(), model.marks.tolist()))}
+        for batch in batches:
+            own = [place[key] for key in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            found = model.near(*model.vectors(batch.column(1).to_pylist()), own)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([vote(model.labels[example], cosine, model.prior) for example, cosine in found], pa.float64())], ["doc_id", "mark", "vote"])
+
+    # every example's vote without itself: at most EXAMPLES rows
+    marked = chosen.select("doc_id", "text", F.xxhash64("text").alias("mark")).repartition(2 * spark.sparkContext.defaultParallelism)
+    voted = marked.mapInArrow(votes, "doc_id long, mark long, vote double").toArrow().sort_by([("doc_id", "ascending"), ("mark", "ascending")])
+    y = [labels_of[key] for key in zip(voted.column("doc_id").to_pylist(), voted.column("mark").to_pylist())]
+    model.curve = logistic(voted.column("vote").to_numpy(), np.array(y, float))
     return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted and the evidence (doc_id, toxic and cosine of the nearest examples)."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared, curve = model.share(docs.sparkSession), model.curve
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value.settled()
@@ -381,7 +403,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             scores, evidence = [], []
             for example, cosine in model.near(first, term, weight):
                 labels = model.labels[example]
-                scores.append(model.score(vote(labels, cosine, model.prior)))
+                scores.append(calibrated(vote(labels, cosine, model.prior), curve))
                 best = range(min(EVIDENCE, len(example)))
                 evidence.append([{"doc_id": int(model.doc_ids[example[i]]), "toxic": int(labels[i]), "cosine": float(cosine[i])} for i in best])
             kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
@@ -394,14 +416,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs``, with all their columns, that score below 0.5; each is judged by its text alone."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, curve = model.share(docs.sparkSession), model.curve
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value.settled()
         for batch in batches:
             near = model.near(*model.vectors([x or "" for x in batch.column(at).to_pylist()]))
-            keep = [model.score(vote(model.labels[example], cosine, model.prior)) < 0.5 for example, cosine in near]
+            keep = [calibrated(vote(model.labels[example], cosine, model.prior), curve) < 0.5 for example, cosine in near]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
