@@ -47,6 +47,15 @@ GROUP, GROUP_LISTS = 64, 1 << 19
 EVIDENCE = 3
 PRIOR_WEIGHT = 1.0
 PASS = 1 << 18
+#: Rows whose words a task holds at a time.
+SLICE = 512
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of SLICE rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
 
 
 def word_spans(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -101,9 +110,13 @@ class BlockMaxIndex:
         example = np.repeat(np.arange(self.n, dtype=np.int32), np.diff(first))
         # examples that share their heaviest term lie together, so that block maxima are tight
         top = np.full(self.n, n_terms)
-        heavy = np.lexsort((-weight, example))
-        own, at = np.unique(example[heavy], return_index=True)
-        top[own] = term[heavy][at]
+        sizes = np.diff(first)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            heavy = np.flatnonzero(weight == np.repeat(np.maximum.reduceat(weight, first[some]), sizes[some]))
+            own, at = np.unique(example[heavy], return_index=True)
+            top[own] = term[heavy][at]
+            del heavy
         self.place = np.argsort(top, kind="stable")
         position = np.empty(self.n, np.int32)
         position[self.place] = np.arange(self.n)
@@ -112,6 +125,7 @@ class BlockMaxIndex:
         order = np.argsort(at, kind="stable")
         self.own_term, self.own_weight = term[order].astype(np.int32), weight[order]
         self.own_first = np.searchsorted(at[order], np.arange(self.n + 1))
+        del order, example
         df = np.bincount(term, minlength=n_terms)
         often = np.flatnonzero(df * COMMON > self.n)
         self.row = np.full(n_terms, -1, np.int32)
@@ -319,7 +333,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = cut(examples(docs, labels))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             row, term, _ = term_counts(batch.column(0).to_pylist())
             toxic = batch.column(1).to_numpy(zero_copy_only=False)[row]
             yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(toxic.astype(np.int64))], ["term", "toxic"])
@@ -344,7 +358,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, n = table_of(known.value), 0
         df = np.zeros(len(known.value) + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             n += batch.num_rows
             df += np.bincount(term_counts([x or "" for x in batch.column(0).to_pylist()], slots)[1] + 1, minlength=len(df))
         df[0] = n
@@ -360,7 +374,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, factor = bare.value
         slots = table_of(terms)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).to_pylist()
             first, term, weight = unit(*term_counts(texts, slots), factor, len(texts))
             lists = [pa.ListArray.from_arrays(first.astype(np.int32), pa.array(x)) for x in (term.astype(np.int32), weight)]
@@ -379,7 +393,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value.settled()
         place = {key: i for i, key in enumerate(zip(model.doc_ids.tolist(), model.marks.tolist()))}
-        for batch in batches:
+        for batch in slices(batches):
             own = [place[key] for key in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
             found = model.near(*model.vectors(batch.column(1).to_pylist()), own)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([vote(model.labels[example], cosine, model.prior) for example, cosine in found], pa.float64())], ["doc_id", "mark", "vote"])
@@ -398,7 +412,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value.settled()
-        for batch in batches:
+        for batch in slices(batches):
             first, term, weight = model.vectors([x or "" for x in batch.column(1).to_pylist()])
             scores, evidence = [], []
             for example, cosine in model.near(first, term, weight):
@@ -421,7 +435,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value.settled()
-        for batch in batches:
+        for batch in slices(batches):
             near = model.near(*model.vectors([x or "" for x in batch.column(at).to_pylist()]))
             keep = [calibrated(vote(model.labels[example], cosine, model.prior), curve) < 0.5 for example, cosine in near]
             yield batch.filter(pa.array(keep, pa.bool_()))
