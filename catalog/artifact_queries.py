@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from catalog import derived as D
 from catalog.derived import CELLS, MANIFEST, MODEL, P, SCORED, cc, r6
-from catalog.metric_queries import KEY, _best, _k, long_sql, pr_sql
+from catalog.metric_queries import KEY, _AP, _best, _k, long_sql, pr_sql
 from catalog.registry import add
-from catalog.stat_queries import splits
+from catalog.stat_queries import MERGED, splits
 from cellframe.functions.running import group_quantiles
 from cellframe.operators import calibrate as CB
 from cellframe.operators import labels as L
@@ -125,4 +125,16 @@ def rebuilt(spark, d):
     return registry.select("id", "position", "macro_marker_ap", "macro_phenotype_ap", F.size("per_marker_ap").alias("n_markers"), "n_cells")
 
 
-add("j3_rebuild_registry", rebuilt)
+def _registry_sql():
+    """Macro means of both models, each over the names with a positive cell."""
+    second = long_sql(D.MODEL2, "merged", channels=D.MODEL2_CHANNELS).replace("long as (", "long2 as (", 1)
+    ap = lambda tag: f"select {_k}, {_AP} as ap from pr{tag} group by {_k} having max(p) > 0"
+    one = lambda name, position, tag: (
+        f"select '{name}' as id, cast({position} as bigint) as position, {r6(f'(select avg(ap) from m{tag} where kind = $$marker$$)', 'macro_marker_ap')}, "
+        f"{r6(f'(select avg(ap) from m{tag} where kind = $$phenotype$$)', 'macro_phenotype_ap')}, (select count(*) from m{tag} where kind = 'marker') as n_markers, (select count(*) from cells) as n_cells")
+    return (
+        f"with {MERGED}, {SCORED.removeprefix(CELLS + ', ')}, {long_sql()}, {second}, {pr_sql(KEY)}, {pr_sql(KEY, src='long2', tag='2')}, "
+        f"m as ({ap('')}), m2x as ({ap('2')}) " + one(MODEL, 1, "") + " union all " + one(D.MODEL2, 0, "2x"))
+
+
+add("j3_rebuild_registry", rebuilt, _registry_sql())

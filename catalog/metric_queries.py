@@ -277,32 +277,63 @@ add("c5_label_cores",
         F.count("*").alias("n_cells"), F.count_if("ch27_pos_spacec").alias("cd68"), F.count_if(ph("immune_cd45", "call_spacec")).alias("immune")))
 
 
-def c6(spark, d):
+def optimum(fit, evaluation):
     """Every marker's model: at the optimum of a balanced fit the mean residuals of both classes are equal."""
-    fit, ev = CB.calibrate_markers(splits(spark, d, "train"), splits(spark, d, "val"), P, MODEL)
-
     def long(df, part):
         return stack_columns(df, [], [
             {"part": F.lit(part), "channel": F.lit(c), "y": F.col(ch(c, "pos")), "p": F.col(ch(c, "prob_logreg"))} for c in P.channels])
 
     p, y = F.col("p"), F.col("y")
     gap = F.avg(F.when(y, 1.0 - p)) - F.avg(F.when(~y, p))
-    return long(fit, "fit").unionByName(long(ev, "evaluation")).groupBy("part", "channel").agg(
-        F.count_if(p.between(0, 1)).alias("n"), F.count_if("y").alias("n_pos"), (F.round(F.when(F.col("part") == "fit", gap), 3) + 0.0).alias("residual"))
+    return long(fit, "fit").unionByName(long(evaluation, "evaluation")).groupBy("part", "channel").agg(
+        F.count_if(p.between(0, 1)).alias("n"), F.count_if("y").alias("n_pos"), (F.round(F.when(F.col("part") == "fit", gap), 6) + 0.0).alias("residual"))
+
+
+def c6(spark, d):
+    return optimum(*CB.calibrate_markers(splits(spark, d, "train"), splits(spark, d, "val"), P, MODEL))
+
+
+def _optimum_sql(lead=""):
+    return " union all ".join(
+        f"select {lead}'{part}' as part, cast({c} as bigint) as channel, count(*) as n, cast(sum(cast({cc(c)}_pos as int)) as bigint) as n_pos, {value} as residual "
+        f"from cells join cores using (basename) where split = '{split}'" for part, split, value in (("fit", "train", "0.0e0"), ("evaluation", "val", "cast(null as double)")) for c in P.channels)
 
 
-add("c6_calibrate_markers", c6,
-    f"with {CELLS}, {MANIFEST} " + " union all ".join(
-        f"select '{part}' as part, cast({c} as bigint) as channel, count(*) as n, cast(sum(cast({cc(c)}_pos as int)) as bigint) as n_pos, {value} as residual "
-        f"from cells join cores using (basename) where split = '{split}'" for part, split, value in (("fit", "train", "0.0e0"), ("evaluation", "val", "cast(null as double)")) for c in P.channels))
+add("c6_calibrate_markers", c6, f"with {CELLS}, {MANIFEST} {_optimum_sql()}")
 
 
 def c7(spark, d):
+    """Core means as features: the run's metrics per marker."""
     out = CB.calibration_run(splits(spark, d, "train"), splits(spark, d, "val"), P, MODEL, core_mean=True)
-    return out["marker_metrics"]
+    return out["marker_metrics"].select("channel", "name", "n_eval_cells", "positive_fraction", "auc_raw", "ap_raw", "train_best_raw_threshold", "balanced_acc_train_best_raw_threshold", "f1_train_best_raw_threshold")
+
+
+def _raw_metrics_sql():
+    """What the run says of the raw scores, with the operating cut from the training cells."""
+    ev = long_sql(src="ev", phenotypes=False).replace("long as (", "evl as (", 1)
+    return (
+        f"with {CELLS}, {MANIFEST}, tr as (select cells.* from cells join cores using (basename) where split = 'train'), ev as (select cells.* from cells join cores using (basename) where split = 'val'), "
+        f"{long_sql(src='tr', phenotypes=False)}, {pr_sql(KEY)}, {_best.format(k=_k)}, cut as (select name, score as cut from br where r_ = 1), {ev}, {pr_sql(KEY, src='evl', tag='e')}, "
+        f"rk as (select name, max(t) as n, max(p) as np, case when {BOTH} then {_AUC} end as auc, case when {BOTH} then {_AP} end as ap from pre group by {_k}), "
+        "cf as (select name, cut, sum(cast(y and score > cut as int)) as tp, sum(cast(not y and score > cut as int)) as fp, sum(cast(y and not score > cut as int)) as fn, sum(cast(not y and not score > cut as int)) as tn "
+        "from evl join cut using (name) group by 1, 2), "
+        "nm as (" + " union all ".join(f"select cast({c} as bigint) as channel, '{n}' as name" for n, c in P.pairs) + ") "
+        f"select channel, name, cast(n as bigint) as n_eval_cells, {r6('np/cast(n as double)', 'positive_fraction')}, {r6('auc', 'auc_raw')}, {r6('ap', 'ap_raw')}, {r6('cut', 'train_best_raw_threshold')}, "
+        f"{r6('(tp/cast(tp+fn as double)+tn/cast(tn+fp as double))/2', 'balanced_acc_train_best_raw_threshold')}, {r6('2.0*tp/(2*tp+fp+fn)', 'f1_train_best_raw_threshold')} from rk join cf using (name) join nm using (name)")
+
+
+add("c7_calibration_run", c7, _raw_metrics_sql())
+
+
+def c7_control(spark, d):
+    """Neighbour features on, real and shuffled: both arms at their optimum, with the counts that shuffling leaves."""
+    arms = CB.calibration_with_control(splits(spark, d, "train"), splits(spark, d, "val"), 11, P, MODEL, ks=(4, 16), features=("mean", "posfrac"))
+    rows = [optimum(out["train"], out["eval"]).withColumn("arm", F.lit(arm)) for arm, out in arms.items()]
+    return rows[0].unionByName(rows[1])
 
 
-add("c7_calibration_run", c7)
+add("c7_shuffle_control", c7_control,
+    f"with {CELLS}, {MANIFEST} " + " union all ".join(_optimum_sql(f"'{arm}' as arm, ") for arm in ("real", "shuffled")))
 
 # ---- sampling
 

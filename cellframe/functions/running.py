@@ -1,17 +1,18 @@
 """Ordered aggregates over groups of any size.
 
 A window over a whole group puts the group into one task. The helpers here
-order a group by value without that: ties are collapsed first, the values are
-cut into nested bins of about equal count, whose edges come from a quantile
-sketch, only the few bin totals are accumulated per group, and the exact running
-sum is finished inside a bin. A bin's edges may be a little off; the sums are not.
+order a group by value without that: ties are collapsed first, and the values make
+a tree of bins. Its top are static bins (signed decades); a bin of more than
+ROWS_PER_BIN rows is cut into up to FAN bins of about equal count, whose edges come
+from a quantile sketch, and so on until none is larger. Sums before a bin are prefix
+sums among its siblings plus those before its parent, so a window holds at most FAN
+bins, and the exact running sum is finished inside a bin. A bin's edges may be a
+little off; the sums are not. Groups that need no cut make no sketch.
 
 Joins with the statistics of a group carry a salt of the row in their key, so a
 group with a third of all rows is dealt over SALTS tasks (:func:`join_salted`).
 
-Group keys must not be null. All branches read the same tie table. Counting rows over every column keeps the
-table's shuffle identical in each branch, so Spark runs it once and reuses the
-exchange.
+Group keys must not be null. The tie table is written once and read by every step.
 """
 
 from __future__ import annotations
@@ -21,9 +22,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cellframe.session import cut
+
 ROWS_PER_BIN = 4096
-#: Edges per static bin, as LEVELS groups of LEVELS.
+#: Bins that one is cut into, as LEVELS groups of LEVELS, and how often at most.
 LEVELS = 32
+FAN = LEVELS * LEVELS
+MAX_DEPTH = 6
 #: Slices of a group in joins with its statistics.
 SALTS = 16
 
@@ -66,42 +71,72 @@ def join_salted(big: DataFrame, small: DataFrame, keys: Sequence[str], row: Colu
     return salted.join(spread, [*keys, "__salt"], how)
 
 
-def _binned(ties: DataFrame, by: Sequence[str], value: str, sums: Sequence[str]) -> DataFrame:
-    """Number nested bins: the static one, then equal counts of about ROWS_PER_BIN rows inside it."""
-    first = ties.withColumn("__b1", _coarse(F.col(value)))
-    keys = [*by, "__b1"]
-    n = LEVELS * LEVELS
-    edges = F.percentile_approx(value, [i / n for i in range(1, n)], 4 * n)
-    span = first.groupBy(*keys).agg(edges.alias("__edges"), F.expr(f"count({', '.join(sums)})").alias("__rows"))
-    # a static bin with few rows uses every k-th edge only
+BIN = ("__b1", "__b2")
+
+
+def _sizes(rows: DataFrame, by: Sequence[str]) -> tuple[DataFrame, int]:
+    """Rows of every bin, and of the largest."""
+    sizes = rows.groupBy(*by, *BIN).agg(F.count("*").alias("__rows"))
+    return sizes, sizes.agg(F.max("__rows")).first()[0] or 0
+
+
+def _split(rows: DataFrame, sizes: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """One level further down: crowded bins are cut at equal counts, all rows of the others go to their first child."""
+    keys = [*by, *BIN]
+    edges = F.percentile_approx(value, [i / FAN for i in range(1, FAN)], 4 * FAN)
+    crowded = join_salted(rows, sizes.where(F.col("__rows") > ROWS_PER_BIN), keys, F.col(value))
+    span = crowded.groupBy(*keys, "__rows").agg(edges.alias("__edges"))
+    # a bin with few rows uses every k-th edge only
     span = span.select(
-        *keys, "__edges", F.greatest(F.lit(1), F.floor(F.lit(n) / F.ceil(F.col("__rows") / ROWS_PER_BIN))).cast("int").alias("__each"),
-        F.transform(F.sequence(F.lit(LEVELS), F.lit(n - LEVELS), F.lit(LEVELS)), lambda i: F.get("__edges", i - 1)).alias("__tops"),
+        *keys, "__edges", F.greatest(F.lit(1), F.floor(F.lit(FAN) / F.ceil(F.col("__rows") / ROWS_PER_BIN))).cast("int").alias("__each"),
+        F.transform(F.sequence(F.lit(LEVELS), F.lit(FAN - LEVELS), F.lit(LEVELS)), lambda i: F.get("__edges", i - 1)).alias("__tops"),
     )
     below = lambda edges: F.size(F.filter(edges, lambda e: e < F.col(value)))
     top = below(F.col("__tops"))
     place = top * LEVELS + below(F.slice("__edges", top * LEVELS + 1, F.lit(LEVELS - 1)))
-    return (
-        join_salted(first, span, keys, F.col(value))
-        .withColumn("__b2", F.floor(place / F.col("__each")).cast("int"))
-        .drop("__edges", "__tops", "__each", "__salt")
-    )
+    child = F.when(F.col("__edges").isNotNull(), F.floor(place / F.col("__each"))).otherwise(F.lit(0))
+    return join_salted(rows, span, keys, F.col(value), "left").withColumn("__b2", F.col("__b2") * FAN + child).select(rows.columns)
 
 
-def _offsets(binned: DataFrame, by: Sequence[str], sums: Sequence[str], descending: bool) -> DataFrame:
-    """Per bin: the sum of everything ordered before it, its own sum and the group's total."""
-    order = [F.col("__b1"), F.col("__b2")]
-    if descending:
-        order = [c.desc() for c in order]
+def _binned(ties: DataFrame, by: Sequence[str], value: str) -> tuple[DataFrame, int]:
+    """The ties with their bin, and the depth of the tree: ``__b1`` is static, ``__b2`` the path below it in base FAN."""
+    rows = cut(ties.withColumns({"__b1": _coarse(F.col(value)), "__b2": F.lit(0).cast("long")}))
+    sizes, most = _sizes(rows, by)
+    depth = 0
+    while most > ROWS_PER_BIN and depth < MAX_DEPTH:
+        rows = cut(_split(rows, sizes, by, value))
+        sizes, most = _sizes(rows, by)
+        depth += 1
+    return rows, depth
+
+
+def _offsets(binned: DataFrame, by: Sequence[str], sums: Sequence[str], descending: bool, depth: int) -> DataFrame:
+    """Per bin: the sum of everything ordered before it, its own sum and the group's total.
+
+    Bottom up, bins are added to their parents; top down, what lies before the parent is added to what lies before a bin
+    among its siblings.
+    """
+    def before(parent: Sequence[str], column: str) -> Window:
+        order = F.col(column).desc() if descending else F.col(column)
+        return Window.partitionBy(*parent).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def among(totals: DataFrame, parent: Sequence[str], column: str) -> list[Column]:
+        return [F.coalesce(F.sum(f"__t_{s}").over(before(parent, column)), F.lit(0)).alias(f"__o_{s}") for s in sums]
+
+    levels = [binned.groupBy(*by, *BIN).agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])]
+    for _ in range(depth):
+        up = levels[-1].withColumn("__b2", F.expr(f"__b2 div {FAN}"))
+        levels.append(up.groupBy(*by, *BIN).agg(*[F.sum(f"__t_{s}").alias(f"__t_{s}") for s in sums]))
     whole = Window.partitionBy(*by)
-    before = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    totals = binned.groupBy(*by, "__b1", "__b2").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
-    return totals.select(
-        *by, "__b1", "__b2",
-        *[F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__o_{s}") for s in sums],
-        *[F.col(f"__t_{s}") for s in sums],
-        *[F.sum(f"__t_{s}").over(whole).alias(f"tot_{s}") for s in sums],
-    )
+    found = levels[-1].select(
+        *by, *BIN, *among(levels[-1], by, "__b1"), *[F.col(f"__t_{s}") for s in sums], *[F.sum(f"__t_{s}").over(whole).alias(f"tot_{s}") for s in sums])
+    for totals in reversed(levels[:-1]):
+        up = found.select(*by, "__b1", F.col("__b2").alias("__up"), *[F.col(f"__o_{s}").alias(f"__p_{s}") for s in sums], *[f"tot_{s}" for s in sums])
+        own = totals.withColumn("__up", F.expr(f"__b2 div {FAN}"))
+        own = own.select("*", *among(own, [*by, "__b1", "__up"], "__b2")).join(up, [*by, "__b1", "__up"])
+        found = own.select(
+            *by, *BIN, *[(F.col(f"__o_{s}") + F.col(f"__p_{s}")).alias(f"__o_{s}") for s in sums], *[f"__t_{s}" for s in sums], *[f"tot_{s}" for s in sums])
+    return found
 
 
 def _within_bins(
@@ -127,8 +162,8 @@ def running_totals(
     ``ties`` must have one row per (group, value), as :func:`tie_totals` gives;
     ``by`` must not be empty.
     """
-    binned = _binned(ties, by, value, sums)
-    offsets = _offsets(binned, by, sums, descending)
+    binned, depth = _binned(ties, by, value)
+    offsets = _offsets(binned, by, sums, descending, depth)
     return _within_bins(binned, offsets, by, value, sums, descending)
 
 
@@ -143,8 +178,8 @@ def group_quantiles(
     """
     keys = list(by) or ["__all"]
     src = df if by else df.withColumn("__all", F.lit(0))
-    binned = _binned(tie_totals(src, keys, value, {"n": F.lit(1)}), keys, value, ["n"])
-    offsets = _offsets(binned, keys, ["n"], False)
+    binned, depth = _binned(tie_totals(src, keys, value, {"n": F.lit(1)}), keys, value)
+    offsets = _offsets(binned, keys, ["n"], False, depth)
     ranks = [
         (q if isinstance(q, Column) else F.lit(float(q))) * (F.col("tot_n") - F.lit(1))
         for q in quantiles.values()

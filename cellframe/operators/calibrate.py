@@ -292,6 +292,20 @@ def calibration_run(
     }
 
 
+def calibration_with_control(
+    train: DataFrame, evaluation: DataFrame, shuffle_seed: int, panel: MarkerPanel = DEFAULT_PANEL, model: str | None = None, **settings,
+) -> dict[str, dict[str, DataFrame]]:
+    """The run as it is (``real``) beside its control (``shuffled``), whose labels and scores are moved within their cores.
+
+    A cell of the control keeps its place but has another cell's values, so what neighbours add there is what they add by
+    chance. Both arms share all other settings.
+    """
+    return {
+        "real": calibration_run(train, evaluation, panel, model, **settings),
+        "shuffled": calibration_run(train, evaluation, panel, model, shuffle_seed=shuffle_seed, **settings),
+    }
+
+
 def prevalence(df: DataFrame, panel: MarkerPanel = DEFAULT_PANEL) -> DataFrame:
     """Share of positive cells per marker."""
     agg = df.agg(*[

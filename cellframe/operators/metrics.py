@@ -127,23 +127,18 @@ def fit_operating_threshold(
 Item = tuple[str, int, str]
 
 
-def melt_items(
-    df: DataFrame, model: str | None, panel: MarkerPanel = DEFAULT_PANEL,
-    keep: Sequence[str] = (), pred: str = "pred", truth: str = "pos",
-    markers: bool = True, phenotypes: bool = True,
-) -> tuple[DataFrame, list[Item]]:
-    """Long ``item, y, score`` rows of every marker and phenotype that has both columns.
-
-    ``item`` indexes the returned ``(kind, position, name)`` list: a small integer is
-    shuffled instead of the names.
-    """
+def item_rows(
+    columns: Sequence[str], model: str | None, panel: MarkerPanel = DEFAULT_PANEL, pred: str = "pred", truth: str = "pos",
+    markers: bool = True, phenotypes: bool = True, first: int = 0,
+) -> tuple[list[dict[str, Column]], list[Item]]:
+    """The ``item, y, score`` entry of every marker and phenotype that has both columns, numbered from ``first`` on."""
     items: list[Item] = []
     rows = []
 
     def include(kind: str, position: int, name: str, score: str, label: str) -> None:
-        if score in df.columns and label in df.columns:
+        if score in columns and label in columns:
             rows.append({
-                "item": F.lit(len(items)), "y": truthy(F.col(label)), "score": nan_to_null(F.col(score)),
+                "item": F.lit(first + len(items)), "y": truthy(F.col(label)), "score": nan_to_null(F.col(score)),
             })
             items.append((kind, position, name))
 
@@ -155,6 +150,16 @@ def melt_items(
             include("phenotype", i, n, ph(n, "score", model), ph(n, "label"))
     if not rows:
         raise ValueError(f"no evaluable predictions for model {model!r}")
+    return rows, items
+
+
+def melt_items(df: DataFrame, model: str | None, panel: MarkerPanel = DEFAULT_PANEL, keep: Sequence[str] = (), **options) -> tuple[DataFrame, list[Item]]:
+    """Long ``item, y, score`` rows of every marker and phenotype that has both columns.
+
+    ``item`` indexes the returned ``(kind, position, name)`` list: a small integer is
+    shuffled instead of the names.
+    """
+    rows, items = item_rows(df.columns, model, panel, **options)
     return stack_columns(df, keep, rows), items
 
 
@@ -177,19 +182,32 @@ def melt_scored(df: DataFrame, model: str | None, panel: MarkerPanel = DEFAULT_P
 METRIC_KEY = ("kind", "position", "name")
 
 
-def model_metrics(df: DataFrame, model: str, panel: MarkerPanel = DEFAULT_PANEL) -> DataFrame:
-    """AP per marker and phenotype on rows that have both values, plus the macro mean per kind.
+def models_metrics(df: DataFrame, models: Sequence[str], panel: MarkerPanel = DEFAULT_PANEL) -> DataFrame:
+    """:func:`model_metrics` of several models, which are ranked together in one pass over the cells.
 
-    Names without positives are left out; a kind without any evaluable name is an error.
+    Adds ``model``. A model without any score column is an error; its kinds without an evaluable name have no row.
     """
-    long, items = melt_items(df, model, panel)
-    ap = average_precision(long, ["item"], "y", "score", single_class_null=False).filter(
+    rows, items, owners = [], [], []
+    for model in dict.fromkeys(models):
+        more, named = item_rows(df.columns, model, panel, first=len(items))
+        rows += more
+        items += named
+        owners += [model] * len(named)
+    ap = average_precision(stack_columns(df, [], rows), ["item"], "y", "score", single_class_null=False).filter(
         (F.col("n") >= 2) & F.col("ap").isNotNull()
     )
-    ap = name_items(ap, items)
-    # one row per configured name, so the window holds a few dozen rows
-    macro = F.avg("ap").over(Window.partitionBy("kind"))
-    return ap.select(*METRIC_KEY, "n", "n_pos", "ap", macro.alias("macro_ap"))
+    ap = name_items(ap.withColumn("model", F.get(F.array(*[F.lit(m) for m in owners]), F.col("item"))), items)
+    # one row per model and configured name, so the window holds a few dozen rows
+    macro = F.avg("ap").over(Window.partitionBy("model", "kind"))
+    return ap.select("model", *METRIC_KEY, "n", "n_pos", "ap", macro.alias("macro_ap"))
+
+
+def model_metrics(df: DataFrame, model: str, panel: MarkerPanel = DEFAULT_PANEL) -> DataFrame:
+    """AP per marker and phenotype on rows that have both values, plus the macro mean per kind.
+
+    Names without positives are left out; a kind without any evaluable name has no row.
+    """
+    return models_metrics(df, [model], panel).drop("model")
 
 
 def within_core_lift(

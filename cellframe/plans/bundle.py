@@ -47,32 +47,34 @@ def rebuild_cell_tables(
     cells = cut(joins.add_models(bundle.cells, predictions, thr, panel))
     order = joins.ordered_models([m for m, _ in predictions], default)
     known = [m for m in order if m in dict(predictions)]
-    registry = None
-    for m in known:
-        rows = metrics.model_metrics(cells, m, panel)
-        entry = model_entry(rows, m)
-        registry = entry if registry is None else registry.unionByName(entry)
+    registry = model_entries(metrics.models_metrics(cells, known, panel), known)
     position = F.lit(len(order))
     for i, m in enumerate(order):
         position = F.when(F.col("id") == m, F.lit(i)).otherwise(position)
     return cells, registry.join(metadata, "id").withColumn("position", position)
 
 
-def model_entry(rows: DataFrame, model: str) -> DataFrame:
-    """Registry maps and macro values from the per-name metrics (a few dozen rows)."""
+def model_entries(rows: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Registry maps and macro values per model from the per-name metrics (a few dozen rows a model)."""
     def table(kind: str):
         entry = F.when(F.col("kind") == kind, F.struct("name", "ap"))
         return F.map_from_entries(F.sort_array(F.collect_list(entry)))
 
     def macro(kind: str):
         value = F.max(F.when(F.col("kind") == kind, F.col("macro_ap")))
-        missing = F.raise_error(F.lit(f"no evaluable {kind} predictions for model {model!r}"))
+        missing = F.raise_error(F.concat(F.lit(f"no evaluable {kind} predictions for model "), F.col("id")))
         return F.coalesce(value, missing.cast("double"))
 
-    return rows.agg(
+    ids = rows.sparkSession.range(1).select(F.explode(F.array(*[F.lit(m) for m in models])).alias("id"))
+    return ids.join(rows.withColumnRenamed("model", "id"), "id", "left").groupBy("id").agg(
         macro("marker").alias("macro_marker_ap"), macro("phenotype").alias("macro_phenotype_ap"),
         table("marker").alias("per_marker_ap"), table("phenotype").alias("per_phenotype_ap"),
-    ).withColumn("id", F.lit(model))
+    )
+
+
+def model_entry(rows: DataFrame, model: str) -> DataFrame:
+    """The registry entry of one model."""
+    return model_entries(rows.withColumn("model", F.lit(model)), [model])
 
 
 def spatial_summary(

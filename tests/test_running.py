@@ -23,11 +23,17 @@ def skewed():
     return pd.DataFrame({"g": group, "v": value, "y": rng.random(n) < 0.3})
 
 
-@pytest.mark.parametrize("rows_per_bin", [7, 4096])
-def test_running_totals_match_a_plain_cumulative_sum(spark, skewed, monkeypatch, rows_per_bin):
+@pytest.mark.parametrize("rows_per_bin, levels", [(7, 4), (7, 32), (4096, 32)])
+def test_running_totals_match_a_plain_cumulative_sum(spark, skewed, monkeypatch, rows_per_bin, levels):
     monkeypatch.setattr(running, "ROWS_PER_BIN", rows_per_bin)
+    monkeypatch.setattr(running, "LEVELS", levels)
+    monkeypatch.setattr(running, "FAN", levels * levels)
     df = spark.createDataFrame(skewed)
     ties = running.tie_totals(df, ["g"], "v", {"tp": F.col("y").cast("long"), "n": F.lit(1)})
+    binned, depth = running._binned(ties, ["g"], "v")
+    # no window holds more: neither rows of a bin nor bins under one parent
+    assert binned.groupBy("g", "__b1", "__b2").count().agg(F.max("count")).first()[0] <= rows_per_bin
+    assert depth == {4: 3, 32: 2}[levels] if rows_per_bin == 7 else depth == 0
     for descending in (False, True):
         got = running.running_totals(ties, ["g"], "v", ["tp", "n"], descending).toPandas()
         for g, part in got.groupby("g"):
@@ -115,8 +121,8 @@ def test_bins_hold_equal_counts(spark):
 
     n = 400_000
     df = spark.range(n).select(F.lit("g").alias("g"), F.when(F.col("id") == 0, 0.11).when(F.col("id") == 1, 0.89).otherwise(0.5 + F.col("id") * 1e-10).alias("v"))
-    binned = running._binned(running.tie_totals(df, ["g"], "v", {"n": F.lit(1)}), ["g"], "v", ["n"])
+    binned, depth = running._binned(running.tie_totals(df, ["g"], "v", {"n": F.lit(1)}), ["g"], "v")
     largest = binned.groupBy("__b1", "__b2").count().agg(F.max("count")).first()[0]
-    assert largest < 3 * running.ROWS_PER_BIN
+    assert largest <= running.ROWS_PER_BIN and depth >= 1
     out = running.group_quantiles(df, ["g"], "v", {"q": 0.5}).first()
     assert out.n == n and abs(out.q - (0.5 + (n / 2 + 0.5) * 1e-10)) < 1e-12
