@@ -1,6 +1,7 @@
 """Readers, writers, manifests, quality checks and region tables."""
 
 import json
+import hashlib
 import os
 
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from cellframe.operators import joins, quality, regions, registry
 from cellframe.panel import DEFAULT_PANEL as P
 from cellframe.panel import Thresholds
-from cellframe.sources import artifacts, listing, sinks, tables, versions
+from cellframe.sources import artifacts, files, listing, sinks, tables, versions
 
 
 def artifact():
@@ -195,10 +196,10 @@ def test_listing(spark, tmp_path):
     names = ["B-2.tif", "A-1.tif", "A-3.tif", "not-a-core.tif", "C-x.tif", "p_HE.npy", "p_CODEX.npy", "q_HE.npy"]
     for n in names:
         (tmp_path / n).write_text(n)
-    files = listing.list_files(spark, str(tmp_path))
-    cores = listing.discover_cores(files).orderBy("row", "col")
+    listed = listing.list_files(spark, str(tmp_path))
+    cores = listing.discover_cores(listed).orderBy("row", "col")
     assert [(r.row, r.col) for r in cores.collect()] == [("A", 1), ("A", 3), ("B", 2)]
-    assert [r.basename for r in listing.discover_pairs(files).collect()] == ["p"]
+    assert [r.basename for r in listing.discover_pairs(listed).collect()] == ["p"]
     hashes = listing.artifact_hashes(spark, str(tmp_path), "*.tif").collect()
     assert len(hashes) == 5 and all(len(r.sha256) == 64 and not r.duplicate_name for r in hashes)
     lattice = regions.dense_lattice(cores.withColumn("tma", F.lit("t"))).collect()
@@ -207,6 +208,37 @@ def test_listing(spark, tmp_path):
     assert [r.core for r in regions.core_sort(ids).collect()] == ["A-2", "A-10", "B-1"]
 
 
+def test_files_of_any_size_are_hashed_in_blocks(spark, tmp_path):
+    (tmp_path / "deep" / "er").mkdir(parents=True)
+    (tmp_path / "deep" / "er" / "a.bin").write_bytes(b"abc")
+    (tmp_path / "a.bin").write_bytes(b"")
+    (tmp_path / "_hidden.bin").write_bytes(b"x")
+    (tmp_path / ".part").mkdir()
+    (tmp_path / ".part" / "b.bin").write_bytes(b"x")
+    size = (2 << 30) + 12345
+    with open(tmp_path / "huge.bin", "wb") as out:
+        out.truncate(size)  # a hole: takes no disk
+    want = hashlib.sha256()
+    for at in range(0, size, 1 << 24):
+        want.update(bytes(min(1 << 24, size - at)))
+    got = sorted((r.name, r.bytes, r.sha256, r.duplicate_name) for r in listing.artifact_hashes(spark, str(tmp_path), "*.bin").collect())
+    empty, abc = (hashlib.sha256(x).hexdigest() for x in (b"", b"abc"))
+    assert got == sorted([("a.bin", 0, empty, True), ("a.bin", 3, abc, True), ("huge.bin", size, want.hexdigest(), False)])
+    assert listing.artifact_hashes(spark, f"file:{tmp_path}/deep").first().sha256 == abc
+    assert listing.list_files(spark, str(tmp_path), "none*").count() == 0
+
+
+def test_listing_reads_no_content_and_deals_files_by_size(tmp_path, monkeypatch):
+    for i in range(6):
+        (tmp_path / f"{i}").write_bytes(bytes(100 * i))
+    monkeypatch.setattr(files, "PARTITION_BYTES", 300)
+    monkeypatch.setattr(files.FileReader, "sha256", None)
+    listed = files.FileReader(str(tmp_path), "*", False)
+    assert [len(p.files) for p in listed.partitions()] == [6]
+    assert [r[2] for r in listed.read(listed.partitions()[0])] == [None] * 6
+    assert [[n for _, n in p.files] for p in files.FileReader(str(tmp_path), "*", True).partitions()] == [[0, 100, 200], [300], [400], [500]]
+
+
 def test_manifest_repair(spark):
     man = spark.createDataFrame(
         [("t", "A-1", "cached", 2.0, ""), ("t", "A-2", "bad_alignment", 200.0, "x"), ("t", "A-3", "bad_alignment", 50.0, "x"), ("t", "A-4", "ok", 1.0, "")],
