@@ -23,6 +23,8 @@ counts. Without any label the score is 0.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -52,10 +54,18 @@ SLICE = 512
 
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of SLICE rows."""
+    """The batches in parts of SLICE rows; what a batch took goes back to the system."""
     for batch in batches:
         for at in range(0, batch.num_rows, SLICE):
             yield batch.slice(at, SLICE)
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: a worker stays on for the stages that follow."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def word_spans(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -246,7 +256,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def table_of(terms: np.ndarray) -> Slots:
-    slots = Slots(max(4, int(np.ceil(np.log2(2 * len(terms) + 1)))))
+    slots = Slots(max(4, int(np.ceil(np.log2(1.5 * len(terms) + 1)))))
     slots.add(terms, np.arange(len(terms), dtype=np.int32))
     return slots
 
@@ -290,6 +300,7 @@ class Model:
         if self.prepared is None:
             self.ready()
             self.terms = self.term = self.weight = None
+            give_back()
         return self
 
     def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
